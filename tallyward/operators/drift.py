@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyward.functions.scalars import contains_any, drift_badge, drift_severity, has_token
 from tallyward.functions.tails import upper_gamma
@@ -213,7 +214,7 @@ def chi_squared(
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([upper_gamma(d / 2.0, s / 2.0) for s, d in zip(statistic, dof)])
 

@@ -48,24 +48,32 @@ def class_balance(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFr
     return df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stratified_folds(
-    df: DataFrame, label: str, row_key: Sequence[str], folds: int = 5, seed: int = 42, size: Size | None = None
+def dealt(
+    df: DataFrame, stratum: Sequence[str], row_key: Sequence[str], seed: int = 42, size: Size | None = None
 ) -> DataFrame:
-    """Add ``fold``: rows of each label dealt evenly in a seeded order that does not depend on partitioning.
+    """Add ``place``: 0, 1, 2, ... inside each stratum, in a seeded order that does not depend on partitioning.
 
     The order is cut into slices by hash, ranked inside each slice, and continued across slices by
-    their counts, so no task ranks a whole label.
+    their counts, so no task ranks a whole stratum. ``row_key`` must tell rows apart.
     """
     size = size or measure(df)
     slices = max(1, math.ceil(size.rows / SLICE_ROWS))
     spread = F.xxhash64(*row_key, F.lit(seed))
     rows = df.withColumns({"spread": spread, "slice": F.pmod(spread, F.lit(slices))})
-    counts = rows.groupBy(label, "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(label).orderBy("slice")) - F.col("n")
-    rows = attach(rows, counts.select(label, "slice", before.alias("before")), [label, "slice"], size)
-    inside = F.row_number().over(Window.partitionBy(label, "slice").orderBy("spread", *row_key))
-    fold = F.pmod(F.col("before") + inside - 1, F.lit(folds)).cast("int")
-    return rows.withColumn("fold", fold).drop("spread", "slice", "before")
+    counts = rows.groupBy(*stratum, "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*stratum).orderBy("slice")) - F.col("n")
+    offsets = counts.select(*stratum, "slice", before.alias("before"))
+    rows = attach(rows, offsets, [*stratum, "slice"], size)
+    inside = F.row_number().over(Window.partitionBy(*stratum, "slice").orderBy("spread", *row_key))
+    return rows.withColumn("place", F.col("before") + inside - 1).drop("spread", "slice", "before")
+
+
+def stratified_folds(
+    df: DataFrame, label: str, row_key: Sequence[str], folds: int = 5, seed: int = 42, size: Size | None = None
+) -> DataFrame:
+    """Add ``fold``: the rows of each label dealt evenly to the folds."""
+    rows = dealt(df, [label], row_key, seed, size)
+    return rows.withColumn("fold", F.pmod("place", F.lit(folds)).cast("int")).drop("place")
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
