@@ -14,7 +14,7 @@ from tallyward.functions.scalars import INTEGERS, numbers, whole_number
 from tallyward.operators.quality import collapse_copies
 from tallyward.operators.quantiles import exact_quantiles
 from tallyward.operators.schema import CANONICAL, WHOLE_NUMBERS
-from tallyward.operators.settling import Size, attach, measure
+from tallyward.operators.settling import Size, attach, measure, stage
 
 # Fallback day count, warning limits in percent, smallest usable run.
 FULL_MONTH = 23
@@ -68,6 +68,9 @@ def trace_cleaning(df: DataFrame, run: str = "run_id", size: Size | None = None)
     have = set(df.columns)
     figures = [c for c in WHOLE_NUMBERS if c in have]
     rows = collapse_copies(df)
+    if not size.small:
+        # Removing copies moves every row once; the passes below then read the result.
+        rows = stage(rows, "distinct")
     kinds = dict(df.dtypes)
     fractional = {c: x for c, x in numbers(df, figures).items() if kinds[c] not in INTEGERS}
     rows = rows.withColumns(fractional) if fractional else rows

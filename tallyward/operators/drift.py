@@ -49,19 +49,20 @@ def psi(
     size = size or measure(df)
     pairs = (run_pairs(df, run) if pairs is None else pairs).where("reference_run IS NOT NULL")
     inner = [i / BINS for i in range(1, BINS)]
+    names = F.array(*[F.lit(c) for c in columns])
+    number = (F.array_position(names, F.col("column")) - 1).cast("int")
     edges = exact_quantiles(df, [run], columns, inner, size).select(
-        run, "column", F.col("quantiles").alias("edges")
+        run, number.alias("col_no"), F.col("quantiles").alias("edges")
     )
     theirs = edges.select(
-        F.col(run).alias("reference_run"), "column", F.col("edges").alias("reference_edges")
+        F.col(run).alias("reference_run"), "col_no", F.col("edges").alias("reference_edges")
     )
-    of_reference = pairs.join(theirs, "reference_run").select(run, "column", "reference_edges")
-    both = edges.join(of_reference, [run, "column"], "left")
+    of_reference = pairs.join(theirs, "reference_run").select(run, "col_no", "reference_edges")
+    # A run without values has no edges of its own but may still be compared.
+    both = edges.join(of_reference, [run, "col_no"], "left")
 
-    names = F.array(*[F.lit(c) for c in columns])
-    long = melt(df, [run], columns).withColumn("column", F.element_at(names, F.col("col_no") + 1))
-    binned = attach(long, both, [run, "column"], size).select(
-        run, "column",
+    binned = attach(melt(df, [run], columns), both, [run, "col_no"], size).select(
+        run, F.element_at(names, F.col("col_no") + 1).alias("column"),
         F.inline(
             F.array(
                 F.struct(F.lit(True).alias("as_reference"), bin_of(F.col("x"), F.col("edges")).alias("bin")),

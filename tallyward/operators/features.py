@@ -81,5 +81,4 @@ def robust_z(
 
 def feature_table(df: DataFrame, run: str = "run_id", size: Size | None = None) -> DataFrame:
     """Clean records to the full feature table. The derived columns are staged, as the z-scores pass over them."""
-    size = size or measure(df)
     return robust_z(stage(pay_features(df, run, size), "features"), run=run, size=size)

@@ -12,27 +12,45 @@ from tallyward.operators.settling import Size, attach, measure
 SIGMA_RULES = ["salary_diff", "salary_dev_pct"]
 
 
+def _checked(df: DataFrame) -> list[str]:
+    return [c for c in SIGMA_RULES if c in df.columns]
+
+
+def run_statistics(df: DataFrame) -> list[Column]:
+    """The per-run aggregates the rules need."""
+    stats = [F.stddev_samp(c).alias(f"{c}_sigma") for c in _checked(df)]
+    if "overtime_hours" in df.columns:
+        stats += [F.avg("overtime_hours").alias("all_mean"), F.stddev_samp("overtime_hours").alias("all_sigma")]
+    return stats
+
+
+def group_statistics(df: DataFrame, run: str = "run_id") -> DataFrame | None:
+    """Overtime mean and deviation per department, where both columns exist."""
+    if not {"overtime_hours", "department"} <= set(df.columns):
+        return None
+    return df.groupBy(run, "department").agg(
+        F.avg("overtime_hours").alias("own_mean"), F.stddev_samp("overtime_hours").alias("own_sigma")
+    )
+
+
 def with_rules(df: DataFrame, run: str = "run_id", size: Size | None = None) -> DataFrame:
     """Attach sigmas and limits, ``breaks_*`` flags, ``rules_evaluated`` and ``rules_violated``.
 
     A sigma of null or 0 takes its rule out of the count. The overtime rule counts whenever the column exists.
     """
     size = size or measure(df)
-    checked = [c for c in SIGMA_RULES if c in df.columns]
-    hours = "overtime_hours" if "overtime_hours" in df.columns else None
-    grouped = hours is not None and "department" in df.columns
-
-    # All statistics come from the rows as given, so the plan holds them once per grouping.
-    stats = [F.stddev_samp(c).alias(f"{c}_sigma") for c in checked]
-    if hours:
-        stats += [F.avg(hours).alias("all_mean"), F.stddev_samp(hours).alias("all_sigma")]
+    stats, own = run_statistics(df), group_statistics(df, run)
     out = attach(df, df.groupBy(run).agg(*stats), [run], size) if stats else df
-    if grouped:
-        own = df.groupBy(run, "department").agg(
-            F.avg(hours).alias("own_mean"), F.stddev_samp(hours).alias("own_sigma")
-        )
+    if own is not None:
         out = attach(out, own, [run, "department"], size)
+    return apply_rules(out)
+
 
+def apply_rules(out: DataFrame) -> DataFrame:
+    """The rules on rows that already carry their run and group statistics."""
+    checked = _checked(out)
+    hours = "overtime_hours" in out.columns
+    grouped = "own_mean" in out.columns
     evaluated, violated = F.lit(0), F.lit(0)
     added: dict[str, Column] = {}
     for c in checked:
@@ -48,7 +66,7 @@ def with_rules(df: DataFrame, run: str = "run_id", size: Size | None = None) ->
         evaluated = evaluated + F.lit(1)
     out = out.withColumns(added)
     if hours:
-        hit = F.coalesce(F.col(hours) > F.col("overtime_limit"), F.lit(False))
+        hit = F.coalesce(F.col("overtime_hours") > F.col("overtime_limit"), F.lit(False))
         out = out.withColumn("breaks_overtime", hit)
         out = out.drop("all_mean", "all_sigma", "own_mean", "own_sigma")
     for c in [f"breaks_{c}" for c in checked] + (["breaks_overtime"] if hours else []):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import fixed, is_high_risk, mean_present, min_max, risk_tier
-from tallyward.operators.rules import rule_score, with_rules
+from tallyward.operators.rules import apply_rules, group_statistics, rule_score, run_statistics
 from tallyward.operators.settling import Size, attach, measure
 
 # Weights of the score components.
@@ -21,6 +21,29 @@ def z_mean(df: DataFrame) -> Column:
     return mean_present([F.abs(c) for c in used]) if used else F.lit(0.0)
 
 
+def _oddness(df: DataFrame, decision: str) -> Column:
+    return -F.col(decision) if decision in df.columns else F.lit(0.0)
+
+
+def component_bounds(df: DataFrame, decision: str = "decision") -> list[Column]:
+    """The per-run aggregates the two scaled components need."""
+    z, odd = z_mean(df), _oddness(df, decision)
+    return [
+        F.min(z).alias("z_low"), F.max(z).alias("z_high"), F.min(odd).alias("odd_low"), F.max(odd).alias("odd_high")
+    ]
+
+
+def apply_components(df: DataFrame, decision: str = "decision") -> DataFrame:
+    """Add ``z_component`` and ``model_component`` to rows that carry the bounds of their run."""
+    out = df.withColumns(
+        {
+            "z_component": min_max(z_mean(df), F.col("z_low"), F.col("z_high")),
+            "model_component": min_max(_oddness(df, decision), F.col("odd_low"), F.col("odd_high")),
+        }
+    )
+    return out.drop("z_low", "z_high", "odd_low", "odd_high")
+
+
 def with_components(
     df: DataFrame, run: str = "run_id", decision: str = "decision", size: Size | None = None
 ) -> DataFrame:
@@ -29,19 +52,8 @@ def with_components(
     A flat component is 0, and so is the model component of a table without forest decisions.
     """
     size = size or measure(df)
-    oddness = -F.col(decision) if decision in df.columns else F.lit(0.0)
-    z = z_mean(df)
-    bounds = df.groupBy(run).agg(
-        F.min(z).alias("z_low"), F.max(z).alias("z_high"),
-        F.min(oddness).alias("odd_low"), F.max(oddness).alias("odd_high"),
-    )
-    out = attach(df, bounds, [run], size).withColumns(
-        {
-            "z_component": min_max(z, F.col("z_low"), F.col("z_high")),
-            "model_component": min_max(oddness, F.col("odd_low"), F.col("odd_high")),
-        }
-    )
-    return out.drop("z_low", "z_high", "odd_low", "odd_high")
+    bounds = df.groupBy(run).agg(*component_bounds(df, decision))
+    return apply_components(attach(df, bounds, [run], size), decision)
 
 
 def score_records(
@@ -51,10 +63,18 @@ def score_records(
     absent: Sequence[str] = (),
     size: Size | None = None,
 ) -> DataFrame:
-    """Features (with an optional forest decision) to ``final_anomaly_score``, ``risk_tier``, ``explanation``."""
+    """Features (with an optional forest decision) to ``final_anomaly_score``, ``risk_tier``, ``explanation``.
+
+    Two aggregates precede the scoring pass: one per run for all components, one per department.
+    """
     size = size or measure(df)
     features = [c for c in df.columns if c != decision]
-    parts = with_rules(with_components(df, run, decision, size), run, size)
+    stats = df.groupBy(run).agg(*component_bounds(df, decision), *run_statistics(df))
+    rows = attach(df, stats, [run], size)
+    own = group_statistics(df, run)
+    if own is not None:
+        rows = attach(rows, own, [run, "department"], size)
+    parts = apply_rules(apply_components(rows, decision))
     final = (
         RULE_WEIGHT * rule_score()
         + Z_WEIGHT * F.col("z_component")

@@ -1033,16 +1033,16 @@ def append_history(spark, d):
     return store.read_history(spark, path).select(RUN, "n")
 
 
-_as_runs = """run_events AS (SELECT CONCAT('run_', CAST(o_custkey AS VARCHAR)) AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'run' WHEN 1 THEN 'feature' ELSE 'drift_monitoring' END AS step,
+_as_runs = """run_events AS (SELECT CONCAT('run_', STRFTIME(o_orderdate, '%Y%m%d')) AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'run' WHEN 1 THEN 'feature' ELSE 'drift_monitoring' END AS step,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status, o_orderdate + TO_MICROSECONDS(o_orderkey) AS moment FROM orders)"""
 
 
 def run_events(spark: SparkSession, d: str) -> DataFrame:
-    """Orders read as ledger events: the customer is the run, the status the outcome of a step."""
+    """Orders read as ledger events: the day is the run, the status the outcome of a step."""
     step = F.element_at(F.array(F.lit("run"), F.lit("feature"), F.lit("drift_monitoring")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("FAILED")
     return adapters.table(spark, d, "orders").select(
-        F.concat(F.lit("run_"), F.col("o_custkey").cast("string")).alias(RUN), step.alias("step"), status.alias("status"),
+        F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyyMMdd")).alias(RUN), step.alias("step"), status.alias("status"),
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey").cast("decimal(18,6)") / 1000000)).alias("at"),
         F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("string").alias("error"),
     )
@@ -1066,16 +1066,16 @@ def reference_runs(spark, d):
     return ledger.reference_runs(run_events(spark, d))
 
 
-_as_files = """files AS (SELECT doc_id, MD5(text) AS file_hash FROM documents),
-done AS (SELECT MIN(CONCAT('run_', CAST(doc_id AS VARCHAR))) AS run_id, file_hash FROM files WHERE doc_id % 4 = 0 GROUP BY file_hash)"""
+_as_files = """files AS (SELECT doc_id, lang, MD5(text) AS file_hash FROM documents),
+done AS (SELECT MIN(CONCAT('run_', CAST(doc_id AS VARCHAR))) AS run_id, file_hash FROM files WHERE lang = 'en' GROUP BY file_hash)"""
 
 
 def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents read as incoming files; those with an id divisible by 4 were read by a completed run, by 2 by a failed one."""
-    files = adapters.table(spark, d, "documents").select("doc_id", F.md5("text").alias("file_hash"))
-    read = files.where("doc_id % 2 = 0").select(
+    """Documents read as incoming files; English ones were read by completed runs, the others by failed runs."""
+    files = adapters.table(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("file_hash"))
+    read = files.select(
         F.concat(F.lit("run_"), F.col("doc_id").cast("string")).alias(RUN), F.lit("run").alias("step"),
-        F.when(F.col("doc_id") % 4 == 0, "COMPLETE").otherwise("FAILED").alias("status"),
+        F.when(F.col("lang") == "en", "COMPLETE").otherwise("FAILED").alias("status"),
         F.lit("2024-01-01").cast("timestamp").alias("at"), "file_hash", F.lit(None).cast("string").alias("error"),
     )
     return files, read
@@ -1093,14 +1093,14 @@ def known_files(spark, d):
     return ledger.known_runs(files, events).select("doc_id", "file_hash", RUN)
 
 
-_as_models = """model_events AS (SELECT event_type AS model_name, CONCAT('v', CAST(user_id AS VARCHAR)) AS version_id, CAST(event_id AS BIGINT) AS attempt,
+_as_models = """model_events AS (SELECT event_type AS model_name, CONCAT('v', STRFTIME(ts, '%Y%m%d%H')) AS version_id, CAST(event_id AS BIGINT) AS attempt,
   CASE WHEN event_id % 3 = 0 THEN 'promoted' ELSE 'registered' END AS event, ts AS moment, value AS metric FROM events)"""
 
 
 def model_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events read as a model ledger: the type is the model, the user its version."""
+    """Events read as a model ledger: the type is the model, the hour its version."""
     return adapters.table(spark, d, "events").select(
-        F.col("event_type").alias("model_name"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("version_id"),
+        F.col("event_type").alias("model_name"), F.concat(F.lit("v"), F.date_format("ts", "yyyyMMddHH")).alias("version_id"),
         F.col("event_id").alias("attempt"), F.when(F.col("event_id") % 3 == 0, "promoted").otherwise("registered").alias("event"),
         F.col("ts").alias("at"), F.col("value").alias("metric"),
     )
