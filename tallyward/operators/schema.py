@@ -87,6 +87,19 @@ def to_canonical(df: DataFrame, roles: RoleMap, keep: Sequence[str] = ()) -> Dat
     return df.select(*[k for k in keep if k in df.columns], *chosen)
 
 
+def with_role_names(df: DataFrame, roles: RoleMap, keep: Sequence[str] = ()) -> DataFrame:
+    """Mapped columns under their canonical names, all other columns kept.
+
+    A column that has a canonical name without playing that role gets the suffix ``_raw``.
+    """
+    role_of = {source: role for role, source in roles.mapped.items()}
+    names = []
+    for c in df.columns:
+        spare = f"{c}_raw" if c in SYNONYMS and c not in keep else c
+        names.append(role_of.get(c, spare))
+    return df.toDF(*names)
+
+
 def role_report(df: DataFrame, roles: RoleMap) -> DataFrame:
     """One row per role: its source column, or null."""
     rows = [(r, roles.mapped.get(r), roles.confidence) for r in SYNONYMS]
