@@ -58,7 +58,6 @@ def psi(
         F.col(run).alias("reference_run"), "col_no", F.col("edges").alias("reference_edges")
     )
     of_reference = pairs.join(theirs, "reference_run").select(run, "col_no", "reference_edges")
-    # A run without values has no edges of its own but may still be compared.
     both = edges.join(of_reference, [run, "col_no"], "left")
 
     binned = attach(melt(df, [run], columns), both, [run, "col_no"], size).select(

@@ -193,10 +193,10 @@ def regression_cv(series: DataFrame, value: str, keys: Sequence[str], index: str
 
     one, ty, tt = F.lit(1.0), F.col("t") * F.col("y"), F.col("t") * F.col("t")
     sums = rows.select(
-        *keys, "n", "fold", "y", "t", left(one).alias("k"), left(F.col("t")).alias("st"),
+        *keys, "n", "fold", "y", "t", left(one).alias("n_left"), left(F.col("t")).alias("st"),
         left(F.col("y")).alias("sy"), left(ty).alias("sty"), left(tt).alias("stt"),
     )
-    k, st, sy = F.col("k"), F.col("st"), F.col("sy")
+    k, st, sy = F.col("n_left"), F.col("st"), F.col("sy")
     slope = F.coalesce(F.try_divide(k * F.col("sty") - st * sy, k * F.col("stt") - st * st), F.lit(0.0))
     guess = sy / k + slope * (F.col("t") - st / k)
     miss = F.col("y") - guess
