@@ -13,7 +13,7 @@ from tallyward.functions.scalars import contains_any, drift_badge, drift_severit
 from tallyward.functions.tails import upper_gamma
 from tallyward.operators.profile import category_counts, moments
 from tallyward.operators.quantiles import exact_quantiles, melt
-from tallyward.operators.settling import Size, attach, measure
+from tallyward.operators.settling import Size, attach, measure, settle
 
 # Number of bins, share of an empty bin, weight added to each contingency cell.
 BINS = 10
@@ -74,12 +74,23 @@ def psi(
         .groupBy(run, "column", "as_reference", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    later = pairs.select(F.col(run).alias("later_run"), F.col("reference_run").alias(run))
-    as_reference = counted.where("as_reference").join(later, run).select(
-        F.col("later_run").alias(run), "column", "as_reference", "bin", "n"
+    # Looking the comparison up, rather than filtering either side out, keeps this one pass.
+    cells = counted.join(_comparisons(pairs, run), [run, "as_reference"]).select(
+        F.col("compared").alias(run), "column", "as_reference", "bin", "n"
+    )
+    return _psi_from_cells(cells, pairs, columns, run)
+
+
+def _comparisons(pairs: DataFrame, run: str) -> DataFrame:
+    """(run, as_reference, compared): in which runs' comparison a run takes part, and on which side."""
+    return pairs.select(
+        F.inline(
+            F.array(
+                F.struct(F.col(run).alias(run), F.lit(False).alias("as_reference"), F.col(run).alias("compared")),
+                F.struct(F.col("reference_run").alias(run), F.lit(True).alias("as_reference"), F.col(run).alias("compared")),
+            )
+        )
     )
-    cells = counted.where("NOT as_reference").select(run, "column", "as_reference", "bin", "n")
-    return _psi_from_cells(cells.unionByName(as_reference), pairs, columns, run)
 
 
 def _psi_from_cells(cells: DataFrame, pairs: DataFrame, columns: Sequence[str], run: str) -> DataFrame:
@@ -140,7 +151,7 @@ def mean_change(
 ) -> DataFrame:
     """(run, column, mean_change_pct): how far the mean moved from the reference run, in percent."""
     pairs = run_pairs(df, run) if pairs is None else pairs
-    means = moments(df, [run], columns).select(run, "column", "mean")
+    means = settle(moments(df, [run], columns).select(run, "column", "mean"))
     theirs = means.select(F.col(run).alias("reference_run"), "column", F.col("mean").alias("reference_mean"))
     apart = F.abs(F.col("mean") - F.col("reference_mean"))
     base = F.greatest(F.abs("reference_mean"), F.lit(1e-6))
@@ -170,15 +181,14 @@ def chi_squared(
     """
     pairs = (run_pairs(df, run) if pairs is None else pairs).where("reference_run IS NOT NULL")
     counts = category_counts(df, columns, run)
-    current = counts.join(pairs.select(run), run).select(
-        run, "column", "category", F.col("n").alias("c"), F.lit(0).cast("bigint").alias("r")
-    )
-    reference = counts.withColumnRenamed(run, "reference_run").join(pairs, "reference_run").select(
-        run, "column", "category", F.lit(0).cast("bigint").alias("c"), F.col("n").alias("r")
-    )
     scope = [run, "column"]
-    table = current.unionByName(reference).groupBy(*scope, "category").agg(
-        F.sum("c").alias("c"), F.sum("r").alias("r")
+    sided = counts.join(_comparisons(pairs, run), run).drop(run).withColumnRenamed("compared", run)
+    # A category one side lacks counts as 0 there.
+    table = settle(
+        sided.groupBy(*scope, "category").agg(
+            F.sum(F.when(F.col("as_reference"), 0).otherwise(F.col("n"))).alias("c"),
+            F.sum(F.when(F.col("as_reference"), F.col("n")).otherwise(0)).alias("r"),
+        )
     )
     totals = table.groupBy(*scope).agg(
         F.sum("c").alias("c_all"), F.sum("r").alias("r_all"), F.count(F.lit(1)).alias("categories")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import drift_multiplier
+from tallyward.operators.settling import settle
 
 # Shortest series for a trend, spike limit, fold limits.
 TREND_PERIODS = 3
@@ -36,6 +37,7 @@ def densify(totals: DataFrame, period: str, group: str, value: str) -> DataFrame
 
     The period list is a single value handed to every group, so nothing is cross joined.
     """
+    totals = settle(totals)
     periods = totals.agg(F.sort_array(F.collect_set(period)).alias("periods"))
     grid = (
         totals.select(group).distinct()
@@ -90,6 +92,7 @@ def group_forecast(totals: DataFrame, period: str, group: str, value: str) -> Da
     nothing to the sums of y, while the sums of 1..m are known. So no grid is built.
     Groups with fewer than three active periods grow at the overall rate.
     """
+    totals = settle(totals)
     by_period = with_index(totals.groupBy(period).agg(F.sum(value).alias("all_value")), period)
     overall = growth_rate(by_period, "all_value")
     span = by_period.agg(F.max("t").alias("n_periods"))

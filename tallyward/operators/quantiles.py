@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import numbers
-from tallyward.operators.settling import BROADCAST_ROWS, Size, measure, settle
+from tallyward.operators.settling import BROADCAST_ROWS, Size, measure, settle, stage
 
 COARSE_BITS = 10
 FINE_BITS = 24
@@ -116,7 +116,7 @@ def exact_quantiles(
     )
     scope_in = [*scope, "chunk"]
     if held["largest"] is not None and held["largest"] > interval_rows:
-        values = settle(values.withColumn("fine", interval(F.col("x"), FINE_BITS)))
+        values = stage(values.withColumn("fine", interval(F.col("x"), FINE_BITS)), "values")
         fine = values.groupBy(*scope_in, "fine").agg(F.sum("n").alias("n"))
         wanted = _find(fine, scope_in, "fine", wanted)
         scope_in = [*scope_in, "fine"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions import scalars
@@ -12,7 +12,7 @@ from tallyward.operators import (
     alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, profile, quality, quantiles,
     risk, rules, schema, scoring,
 )
-from tallyward.operators.settling import Size, attach, settle, stage
+from tallyward.operators.settling import Size, stage
 from tallyward.plans import adapters, reports
 from tallyward.plans.oracle_parts import using
 from tallyward.session import fresh_path
@@ -61,7 +61,8 @@ def zed(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Scored with a stand-in decision, so that the check engine can follow."""
-    return scoring.score_records(zed(spark, d).withColumn("decision", -F.abs("salary_diff")))
+    table = stage(zed(spark, d), "features")
+    return scoring.score_records(table.withColumn("decision", -F.abs("salary_diff")))
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
@@ -586,8 +587,6 @@ decay AS (SELECT *, mape - LAG(mape) OVER (ORDER BY run_id) AS delta, LAG(mape)
 
 def forecast_errors(spark: SparkSession, d: str) -> DataFrame:
     """(run, mape): how far the forecast made one run earlier was off."""
-    from pyspark.sql import Window
-
     history = forecast.expanding_forecast(run_totals(spark, d), RUN, "total_payroll")
     made = F.lag("prediction").over(Window.orderBy(RUN))
     off = F.abs(F.col("actual") - F.col("made")) / F.col("actual")
@@ -750,8 +749,6 @@ SELECT 'company' AS model, {R('AVG(ABS(actual - made)) / 1000', 3)} AS drift_sco
 FROM (SELECT *, LAG(prediction) OVER (ORDER BY run_id) AS made FROM expanding) e
 """)
 def decay_score(spark, d):
-    from pyspark.sql import Window
-
     history = forecast.expanding_forecast(run_totals(spark, d), RUN, "total_payroll")
     made = history.withColumn("made", F.lag("prediction").over(Window.orderBy(RUN))).withColumn("model", F.lit("company"))
     out = forecast.decay_score(made, "actual", "made", ["model"])
@@ -996,11 +993,7 @@ def json_scan(spark, d):
     path = fresh_path(spark, "report") + ".json"
     store.write_json_report(pay(spark, d), path)
     kinds = ", ".join(f"{c} {'bigint' if c in schema.WHOLE_NUMBERS else 'string'}" for c in [*schema.CANONICAL, RUN])
-    return tidy_json(spark, path, kinds)
-
-
-def tidy_json(spark: SparkSession, path: str, kinds: str) -> DataFrame:
-    """Reports are one record per line, so they split across tasks."""
+    # One record per line, so the scan splits across tasks.
     return spark.read.schema(kinds).json(path)
 
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tallyward.errors import MissingRoleError
+from tallyward.functions.scalars import drift_multiplier
 from tallyward.operators import (
     alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, profile, quality, risk, rules,
     schema, scoring,
@@ -53,7 +55,10 @@ class Place:
     def model_events(self) -> DataFrame:
         try:
             return self.spark.read.schema(ledger.MODEL_EVENTS).parquet(self.path("model_events"))
-        except Exception:  # noqa: BLE001 - no model was ever registered
+        except AnalysisException as error:
+            # No model was ever registered.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], ledger.MODEL_EVENTS)
 
     def run(self, name: str, run_id: str) -> DataFrame:
@@ -195,7 +200,7 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
     tries += [("", n, held[n], lower, False) for n, _, _, lower in metrics if n in held]
     decided = evaluation.champion_decisions(
         spark.createDataFrame(tries, f"{RUN} string, model_name string, metric double, lower_is_better boolean, always_promote boolean")
-        .withColumn("always_promote", F.max("always_promote").over(_per_model()))
+        .withColumn("always_promote", F.max("always_promote").over(Window.partitionBy("model_name")))
     ).where(F.col(RUN) == run_id)
     steady = spark.createDataFrame([(n, s) for n, _, s, _ in metrics], "model_name string, stability_score double")
     decided = decided.join(steady, "model_name", "left").withColumn("attempt", F.lit(attempt))
@@ -211,12 +216,6 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
     fired.append(alerts.retrain_alerts(decided))
 
 
-def _per_model():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("model_name")
-
-
 def _production(place: Place, name: str) -> str | None:
     found = ledger.production_models(place.model_events().where(F.col("model_name") == name)).first()
     return found["version_id"] if found else None
@@ -270,7 +269,7 @@ def predict(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     hours = forecast.trend_next(series, "overtime_hours").select(F.col("prediction").alias("predicted_overtime"))
     before = place.history("drift", DRIFT).agg(F.max_by("overall_severity", RUN).alias("severity"))
     trained = place.spark.read.parquet(place.path("training")).where((F.col(RUN) == run_id) & (F.col("model_name") == PAYROLL))
-    factor = F.coalesce(scalars_multiplier(F.col("severity")), F.lit(1.0))
+    factor = F.coalesce(drift_multiplier(F.col("severity")), F.lit(1.0))
     entry = series.where(F.col(RUN) == run_id).select(RUN, F.col("total_payroll").cast("double").alias("actual_total"))
     entry = entry.withColumns(
         {
@@ -292,12 +291,6 @@ def predict(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     fired.append(alerts.spike_alerts(told))
 
 
-def scalars_multiplier(severity):
-    from tallyward.functions.scalars import drift_multiplier
-
-    return drift_multiplier(severity)
-
-
 def assess(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     rows = rules.overtime_abuse(place.run("scored", run_id))
     version = _production(place, AWAY)

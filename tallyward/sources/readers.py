@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from tallyward.operators.schema import tidy_names
 
@@ -23,16 +24,19 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if kind not in ("csv", "json", "parquet"):
         raise ValueError(f"unsupported file type: {path}")
-    if not _exists(spark, path):
-        raise FileNotFoundError(path)
-    if kind == "csv":
-        df = read_csv(spark, path, schema)
-    elif kind == "json":
-        # The whole file is one array, or one record per line.
-        reader = spark.read.option("multiLine", True)
-        df = (reader.schema(schema) if schema else reader).json(path)
-    else:
-        df = spark.read.parquet(path)
+    try:
+        if kind == "csv":
+            df = read_csv(spark, path, schema)
+        elif kind == "json":
+            # The whole file is one array, or one record per line.
+            reader = spark.read.option("multiLine", True)
+            df = (reader.schema(schema) if schema else reader).json(path)
+        else:
+            df = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from error
+        raise
     return tidy_names(df)
 
 
@@ -71,14 +75,6 @@ def with_inferred_types(text: DataFrame) -> DataFrame:
     return text.select(*chosen)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(place)
-    return found is not None and len(found) > 0
-
-
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_hash) of every file under a path. Suits uploaded batch files, read whole."""
     files = spark.read.format("binaryFile").load(path)

@@ -30,7 +30,9 @@ def read_history(spark: SparkSession, path: str, run: str = "run_id") -> DataFra
     try:
         df = spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException as error:
-        raise FileNotFoundError(path) from error
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise FileNotFoundError(path) from error
+        raise
     return df.withColumn(run, F.col(run).cast("string"))
 
 
