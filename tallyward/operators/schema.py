@@ -100,12 +100,6 @@ def with_role_names(df: DataFrame, roles: RoleMap, keep: Sequence[str] = ()) ->
     return df.toDF(*names)
 
 
-def role_report(df: DataFrame, roles: RoleMap) -> DataFrame:
-    """One row per role: its source column, or null."""
-    rows = [(r, roles.mapped.get(r), roles.confidence) for r in SYNONYMS]
-    return df.sparkSession.createDataFrame(rows, "role string, source_column string, confidence double")
-
-
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """All numeric columns by schema. Identifiers are no measurements and are left out."""
     skip = {"employee_id", *exclude}

@@ -924,7 +924,7 @@ def high_risk_report(spark, d):
 
 
 @query("entity_risk", using("assessed", "scored") + f"""
-SELECT a.employee_id, a.run_id AS last_run_id, {R('a.score')} AS current_score, trend, CASE WHEN risk_tier IN ('HIGH', 'CRITICAL') THEN {_explained.replace('score)', 's.score)').replace('. ', '. ')} ELSE '' END AS explanation
+SELECT a.employee_id, a.run_id AS last_run_id, {R('a.score')} AS current_score, trend, CASE WHEN risk_tier IN ('HIGH', 'CRITICAL') THEN {_explained.replace('score)', 's.score)')} ELSE '' END AS explanation
 FROM assessed a JOIN scored s ON s.employee_id = a.employee_id AND s.run_id = a.run_id
 WHERE a.run_id = (SELECT MAX(run_id) FROM pay p WHERE p.employee_id = a.employee_id)
 """)
@@ -1238,3 +1238,120 @@ def oversampled_balance(spark, d):
 def classifier_folds(spark, d):
     rows, inputs = _labelled(spark, d)
     return classifier.cross_validate(rows, inputs, "away", ROW, trees=10, depth=5)
+
+
+# --- further reports and alerts --------------------------------------------------------------------
+
+@query("drift_report", using("psi", "drift", "expanding", "pairs") + f""", {_errors}, lead AS (SELECT run_id, col FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY psi DESC) AS place FROM psi) q WHERE place = 1)
+SELECT d.run_id, {R('max_psi')} AS max_psi, overall_severity, lead.col AS root_cause, CAST(3 AS BIGINT) AS n_top, CAST(4 AS BIGINT) AS n_psi, CAST(2 AS BIGINT) AS n_categories,
+  {R('COALESCE(delta * 100, 0)')} AS accuracy_decay_pct FROM drift d JOIN lead USING (run_id) LEFT JOIN decay USING (run_id)
+""")
+def drift_report(spark, d):
+    rows = stage(swung(spark, d), "swung")
+    pairs = drift.run_pairs(rows)
+    psi = drift.psi(rows, SWUNG, pairs=pairs)
+    top = drift.top_drift(psi, drift.mean_change(rows, SWUNG, pairs=pairs))
+    tails = drift.with_p_value(drift.chi_squared(pay(spark, d), ["department", "designation"], pairs=pairs))
+    decay = drift.accuracy_decay(forecast_errors(spark, d))
+    report = reports.drift_report(drift.severity_by_run(psi), top, tails, decay, psi)
+    return report.select(
+        RUN, r("max_psi").alias("max_psi"), "overall_severity", F.col("root_cause.column").alias("root_cause"),
+        F.size("top_features").cast("bigint").alias("n_top"), F.size("feature_psi_map").cast("bigint").alias("n_psi"),
+        F.size("categorical_drift_p_values").cast("bigint").alias("n_categories"), r("accuracy_decay_pct").alias("accuracy_decay_pct"),
+    )
+
+
+@query("schema_report", using("dirty") + """
+SELECT run_id, CAST(0.6 AS DOUBLE) AS schema_confidence, 'department,designation,lop_days,overtime_hours' AS unmapped,
+  CASE WHEN (COUNT(*) - COUNT(DISTINCT (employee_id, base_salary, present_days, total_working_days, overtime_pay_per_hour, net_salary))) / COUNT(*) > 0.05
+  THEN 'SCHEMA_MISMATCH_WARNING,DUPLICATE_DATA_WARNING' ELSE 'SCHEMA_MISMATCH_WARNING' END AS warnings FROM dirty GROUP BY run_id
+""")
+def schema_report(spark, d):
+    """Six of ten roles present, so the schema warning shows."""
+    part = dirty(spark, d).drop("department", "designation", "overtime_hours", "lop_days")
+    report = reports.schema_report(quality.quality_report(part, schema.map_roles(part.columns)))
+    return report.select(
+        RUN, r("schema_confidence").alias("schema_confidence"),
+        F.concat_ws(",", F.sort_array("unmapped_columns")).alias("unmapped"), F.concat_ws(",", "warnings").alias("warnings"),
+    )
+
+
+def _forecast_tries(spark: SparkSession, d: str) -> DataFrame:
+    """One forecaster per department, judged each run by how far its growing trend is off."""
+    totals = forecast.period_totals(pay(spark, d), RUN, {"total": "net_salary"}, "department")
+    series = totals.withColumn("before", F.lag("total").over(Window.partitionBy("department").orderBy(RUN)))
+    off = F.round(F.abs(F.col("total") - F.col("before")) / F.col("total"), 6)
+    return series.where("before IS NOT NULL").select(
+        RUN, F.col("department").alias("model_name"), off.alias("metric"), F.lit(True).alias("lower_is_better"),
+        (F.col("department") == "MACHINERY").alias("always_promote"),
+    )
+
+
+_tries = """tries AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY model_name ORDER BY run_id) AS i FROM (SELECT department AS model_name, run_id,
+  ROUND(ABS(total - LAG(total) OVER (PARTITION BY department ORDER BY run_id)) / total, 6) AS metric FROM (SELECT department, run_id, CAST(SUM(net_salary) AS BIGINT) AS total FROM pay GROUP BY department, run_id) t) u WHERE metric IS NOT NULL),
+walk AS (SELECT model_name, i, run_id, metric, CAST(NULL AS DOUBLE) AS champion, TRUE AS promoted, metric AS standing FROM tries WHERE i = 1
+  UNION ALL SELECT n.model_name, n.i, n.run_id, n.metric, w.standing, n.model_name = 'MACHINERY' OR NOT (n.metric > w.standing * 0.95 AND w.standing > 0),
+  CASE WHEN n.model_name <> 'MACHINERY' AND n.metric > w.standing * 0.95 AND w.standing > 0 THEN w.standing ELSE n.metric END FROM walk w JOIN tries n ON n.model_name = w.model_name AND n.i = w.i + 1)"""
+
+
+@query("champion_forecasters", using("pay").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_tries} SELECT model_name, run_id, {R('metric')} AS challenger, {R('champion')} AS champion, promoted FROM walk")
+def champion_forecasters(spark, d):
+    """Lower error wins; one model is always promoted."""
+    out = evaluation.champion_decisions(_forecast_tries(spark, d))
+    return out.select("model_name", RUN, r("challenger").alias("challenger"), r("champion").alias("champion"), "promoted")
+
+
+@query("retrain_alerts", using("pay").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_tries} SELECT run_id, model_name AS affected_entity, 'RETRAIN_FAILED' AS alert_type, 'WARNING' AS severity,
+{R('metric')} AS trigger_value, {R('champion * 0.95')} AS threshold_value FROM walk WHERE NOT promoted""")
+def retrain_alerts(spark, d):
+    fired = alerts.retrain_alerts(evaluation.champion_decisions(_forecast_tries(spark, d)))
+    return fired.select(RUN, "affected_entity", "alert_type", "severity", r("trigger_value").alias("trigger_value"), r("threshold_value").alias("threshold_value"))
+
+
+@query("model_health", using("pay", "judged").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_tries}, {_confused.replace('run_id', 'department')},
+steady AS (SELECT department, 1 - STDDEV_POP(f1) AS s FROM m GROUP BY department)
+SELECT run_id, model_name, {R('metric')} AS metric, promoted, {R('s')} AS stability_score FROM walk JOIN steady ON department = model_name""")
+def model_health(spark, d):
+    """Each department's model with its real fold stability."""
+    rows = rules.rule_target(derived(spark, d)).withColumns(
+        {"fold": F.substring(ENTITY, 2, 20).cast("bigint") % 5, "p": F.abs("salary_dev_pct") > 40}
+    )
+    steady = evaluation.fold_summary(evaluation.confusion(rows, "rule_target", "p", ["department", "fold"]), ["department"])
+    decided = evaluation.champion_decisions(_forecast_tries(spark, d))
+    folds = decided.select(RUN, "model_name").join(steady.withColumnRenamed("department", "model_name"), "model_name")
+    health = reports.model_health(decided, folds)
+    return health.select(RUN, "model_name", r("metric").alias("metric"), "promoted", r("stability_score").alias("stability_score"))
+
+
+@query("spike_alerts", using("forecasts") + f"""
+SELECT run_id, 'FORECAST_PAYROLL_SPIKE_ALERT' AS alert_type, {R('predicted_total / 1000', 3)} AS trigger_value, {R('prior_total * 1.2 / 1000', 3)} AS threshold_value
+FROM (SELECT *, LAG(actual) OVER (ORDER BY run_id) * CAST(0.6 AS DOUBLE) AS prior_total FROM forecasts) f WHERE predicted_total > prior_total * 1.2
+""")
+def spike_alerts(spark, d):
+    """The last actual total is taken at 60 percent, so that some forecasts stand out."""
+    history = forecast_history(spark, d).withColumn("actual_total", F.col("actual") * 0.6)
+    fired = alerts.spike_alerts(forecast.spikes(history))
+    return fired.select(
+        RUN, "alert_type", r(F.col("trigger_value") / 1000, 3).alias("trigger_value"), r(F.col("threshold_value") / 1000, 3).alias("threshold_value")
+    )
+
+
+@query("failure_alerts", f"""WITH {_as_runs} SELECT run_id, 'PIPELINE_FAILURE_ALERT' AS alert_type, 'CRITICAL' AS severity, 'system' AS affected_entity
+FROM run_events WHERE step = 'run' GROUP BY run_id HAVING MAX_BY(status, moment) = 'FAILED'""")
+def failure_alerts(spark, d):
+    failed = ledger.run_status(run_events(spark, d)).where("status = 'FAILED'")
+    return alerts.failure_alerts(failed).select(RUN, "alert_type", "severity", "affected_entity")
+
+
+@query("risk_report_without_flags", using("scored") + f"""
+SELECT run_id, employee_id, department, designation, CAST(0.0 AS DOUBLE) AS absenteeism_score, FALSE AS absenteeism_flag, overtime_hours, FALSE AS overtime_abuse_flag,
+  CAST(0.0 AS DOUBLE) AS salary_manipulation_score, FALSE AS salary_manipulation_flag, {R('score')} AS final_anomaly_score, risk_tier FROM scored
+""")
+def risk_report_without_flags(spark, d):
+    """The report a run without risk flags falls back to."""
+    return reports.risk_report(scored(spark, d)).withColumn("final_anomaly_score", r("final_anomaly_score"))
+
+
+@query("one_run_lookup", using("pay") + "SELECT employee_id, net_salary FROM pay WHERE run_id = 'run_1999'")
+def one_run_lookup(spark, d):
+    return reports.of_run(pay(spark, d), "run_1999").select(ENTITY, "net_salary")

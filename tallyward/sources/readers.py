@@ -75,6 +75,13 @@ def with_inferred_types(text: DataFrame) -> DataFrame:
     return text.select(*chosen)
 
 
+def batch_hash(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_hash) of a batch as one row; a batch of several files hashes their sorted hashes."""
+    each = file_hashes(spark, path).agg(F.sort_array(F.collect_list("file_hash")).alias("all"))
+    one = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.md5(F.concat_ws(",", "all")))
+    return each.select(F.lit(path).alias("path"), one.alias("file_hash"))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_hash) of every file under a path. Suits uploaded batch files, read whole."""
     files = spark.read.format("binaryFile").load(path)

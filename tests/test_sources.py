@@ -86,6 +86,9 @@ def test_equal_files_hash_alike(spark, tmp_path):
         (tmp_path / name).write_text(text)
     hashes = {r["path"].rsplit("/", 1)[-1]: r["file_hash"] for r in readers.file_hashes(spark, str(tmp_path)).collect()}
     assert hashes["a.csv"] == hashes["b.csv"] != hashes["c.csv"]
+    single = readers.batch_hash(spark, str(tmp_path / "a.csv")).first()["file_hash"]
+    whole = readers.batch_hash(spark, str(tmp_path)).first()["file_hash"]
+    assert single == hashes["a.csv"] and whole not in hashes.values()
 
 
 def test_rollback(spark):
