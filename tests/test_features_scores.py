@@ -140,3 +140,11 @@ def test_median_of_runs(spark, pay, path_taken):
     got = {r["run_id"]: r["quantiles"][0] for r in quantiles.exact_quantiles(pay, ["run_id"], ["base_salary"], [0.5]).collect()}
     want = pay.toPandas().groupby("run_id").base_salary.median()
     assert got == want.to_dict()
+
+
+def test_scoring_a_large_table_moves_no_rows(spark, pay, monkeypatch):
+    from tallyward.operators import settling
+
+    monkeypatch.setattr(settling, "SMALL_ROWS", 0)
+    plan = scoring.score_records(features.feature_table(pay))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
