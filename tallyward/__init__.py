@@ -1 +1,8 @@
-"""Record-quality, risk, drift and forecast analytics over periodic records, on Spark."""
+"""Record-quality, risk and drift analytics on Spark."""
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
