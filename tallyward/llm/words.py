@@ -15,6 +15,17 @@ import xxhash
 #: Bytes of text handled at once in a task; one longer text is handled alone.
 SLICE_BYTES = 4 << 20
 
+IN_WORD = np.ones(256, bool)
+IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+_rng = np.random.default_rng(19260817)
+VALUES = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
+LOWER_VALUES = VALUES.copy()
+LOWER_VALUES[65:91] = VALUES[97:123]
+#: 5 modulo 8, so that its powers keep as many bits apart as they can.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of at most ``SLICE_BYTES`` of text, so that memory does not follow batch sizes."""
@@ -29,31 +40,58 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             start = end
 
 
-def coded(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Code of every word, bounds of each text among the codes, and the distinct words that the codes stand for."""
-    texts = pc.fill_null(texts, "")
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    before = np.concatenate(([0], np.cumsum(real)))
-    bounds = before[np.concatenate(([0], ends))].astype(np.int64)
-    found = flat.filter(pa.array(real)).dictionary_encode()
-    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds, found.dictionary
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one separator after each, and where each text begins (and the last ends)."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = b"\n".join(pc.fill_null(texts, "").cast(pa.binary()).to_pylist()) + b"\n"
+    data = np.frombuffer(joined if len(texts) else b"", np.uint8)
+    return data, np.concatenate(([0], np.cumsum(size + 1)))
 
 
-def hash_each(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+def places(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-the-last byte of every word, and the bounds of each text among the words."""
+    inside = np.concatenate(([False], IN_WORD[data]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    return first, last, np.searchsorted(first, begins).astype(np.int64)
 
 
 def hashed(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the bounds of each text among them."""
-    codes, bounds, words = coded(texts, lower)
-    return hash_each(words)[codes], bounds
+    """64-bit hash of every word and the bounds of each text among them.
+
+    Each byte stands for a random 64-bit number; a word is the value of the polynomial with these coefficients,
+    taken from running sums, and scrambled.
+    """
+    data, begins = bytes_of(texts)
+    first, last, bounds = places(data, begins)
+    value = (LOWER_VALUES if lower else VALUES)[data]
+    powers = _powers(len(data))
+    value *= powers
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    # The factor that brings the word to power zero is the inverse power at its first byte.
+    out = (total[last] - total[first]) * _inverses(len(data))[first]
+    return mix(out + (last - first).astype(np.uint64)), bounds
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    found = _POWERS.get(base)
+    if found is None or len(found) < n:
+        size = max(n, 1 << 16)
+        found = np.full(size, base, np.uint64)
+        found[0] = 1
+        _POWERS[base] = found = np.cumprod(found, dtype=np.uint64)
+    return found[:n]
+
+
+def _powers(n: int) -> np.ndarray:
+    return _table(BASE, n)
+
+
+def _inverses(n: int) -> np.ndarray:
+    return _table(INVERSE, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
