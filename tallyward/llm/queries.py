@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import near_dup, substring_dedup
+from tallyward.llm import near_dup, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,10 +15,14 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
+def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(_read(spark, folder, "documents"))
+
+
 def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {}
