@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import near_dup, substring_dedup, suffix_tree
+from tallyward.llm import near_dup, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
+def op3_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(_read(spark, folder, "documents"))
 
@@ -23,6 +28,6 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op9_suffix_tree_scores, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {}
