@@ -8,8 +8,9 @@ How large groups of copies stay cheap without losing a link:
 
 * Equal sets are one class, so exact copies never meet each other.
 * First every class of a bucket is compared with the bucket's smallest class only.
-* Then only pairs of a bucket that are not yet in one component are compared, in tiles of bounded size, where
-  packed signatures are compared by bit counts inside the task; only likely pairs leave it.
+* Then only pairs of a bucket that are not yet in one component are compared, in tiles of bounded size. Bit counts
+  and, after them, sets of half-width hashes are compared inside the task, so that of a group of copies only about as
+  many pairs leave it as it has members.
 
 Defined results: a document without words (null or blank text) has an empty set and is linked with nothing.
 A null ``doc_id`` comes back unlinked and kept, with a null component. Repeated rows of one id are kept as they
@@ -37,6 +38,8 @@ BANDS, ROWS = 25, 5
 SLACK = 5.0
 #: Classes on one side of a tile.
 TILE = 256
+#: How far half-width hashes can put a similarity off, with a wide margin.
+DOUBT = 0.01
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -136,29 +139,51 @@ def estimate(left, right):
     return ((1 - apart / F.lit(float(HASHES))) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _tile_pairs(least_estimate: float):
-    """Likely pairs of different components inside one tile, by bit counts of packed signatures."""
+def _tile_pairs(percent: int):
+    """Pairs of different components in one tile that may be links, by bit counts and then by half-width sets.
+
+    A pair is looked at in the first band that it shares. Of pairs that surely are links only those that join two
+    components go out; pairs within ``DOUBT`` of the threshold all do. The full sets decide afterwards.
+    """
+    floor, share, bit = floor_of(percent), percent / 100, np.uint64(0x1111111111111111)
 
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_pylist()
-        label = np.array(table.column("label").to_pylist(), dtype=object)
+        node, side = table.column("node").to_pylist(), table.column("side").to_numpy()
+        parent: dict[bytes, bytes] = {}
+        label = table.column("label").to_pylist()
         sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
-        side = table.column("side").to_numpy()
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), -1)
+        here = int(np.flatnonzero(bands[0] == table.column("band")[0].as_py())[0])
+        sets = [np.unique(x.values.to_numpy()) for x in table.column("folded")]
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not len(two)
         two = one if within else two
-        bit = np.uint64(0x1111111111111111)
         left, right = [], []
+
+        def root(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         for k in one:
             x = sig[two] ^ sig[k]
             x = (x | (x >> np.uint64(1)) | (x >> np.uint64(2)) | (x >> np.uint64(3))) & bit
             same = 1 - np.bitwise_count(x).sum(axis=1) / HASHES
-            likely = ((same - 2.0**-BITS) / (1 - 2.0**-BITS) >= least_estimate) & (label[two] != label[k])
+            likely = (same - 2.0**-BITS) / (1 - 2.0**-BITS) >= floor
+            likely &= (bands[two] == bands[k]).argmax(axis=1) == here
             if within:
                 likely &= two > k
             for j in two[likely]:
-                left.append(min(node[k], node[j]))
-                right.append(max(node[k], node[j]))
+                ours, theirs = root(label[k]), root(label[j])
+                if ours == theirs:
+                    continue
+                common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                close = common / (len(sets[k]) + len(sets[j]) - common)
+                if close >= share - DOUBT:
+                    left.append(min(node[k], node[j]))
+                    right.append(max(node[k], node[j]))
+                    if close >= share + DOUBT:
+                        parent[max(ours, theirs)] = min(ours, theirs)
         return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
     return run
@@ -218,14 +243,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     open_rows = placed.join(mixed.select("band"), "band").withColumn("tiles", tiles)
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     copies = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = copies.select(
+    folded = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("folded")
+    detail = sets.select("node", folded).join(classes.select("node", "sig", "bands"), "node")
+    tiled = copies.join(detail, "node").select(
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "label",
-    )
-    pairs = (
-        tiled.join(signatures, "node").groupBy("band", "i", "j")
-        .applyInArrow(_tile_pairs(floor_of(percent)), "a binary, b binary").distinct()
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "label", "sig", "bands", "folded",
     )
+    pairs = tiled.groupBy("band", "i", "j").applyInArrow(_tile_pairs(percent), "a binary, b binary").distinct()
     rest = shelf.put(confirmed(pairs.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
     labels = components(links.union(rest))
 
