@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import near_dup, packing, substring_dedup, suffix_tree
+from tallyward.llm import line_quality, near_dup, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.judged(_read(spark, folder, "documents")).drop("cleaned_text", "lost_words")
+
+
 def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(_read(spark, folder, "documents"))
 
@@ -28,6 +32,34 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op9_suffix_tree_scores, op10_repeated_spans)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op9_suffix_tree_scores, op10_repeated_spans)}
+
+ORACLE: dict[str, str] = {
+    "op4_line_quality": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        g AS (SELECT doc_id, i, words[i:i+2] AS gram
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (
+                SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (
+                  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+                     length(x) - length(replace(replace(x, '|', ''), '»', '')) AS seps,
+                     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS syms,
+                     len(regexp_extract_all(x || ' ', '!![\x20\x09-\x0D]')) AS shouts,
+                     regexp_matches(x, '(?i)\b(all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|cookie policy|accept cookies|click here|read more|sign up|log ?in|subscribe|share (this|on)|javascript)\b') AS boiler,
+                     regexp_matches(x, '[.,!?:;…]') AS punct
+              FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
+        b AS (SELECT doc_id, sum(n) AS lost FROM l
+              WHERE seps >= 3 OR 100 * syms > 30 * n OR 100 * shouts > 50 * n OR boiler OR (n >= 12 AND NOT punct) GROUP BY doc_id),
+        f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                     coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+              FROM w LEFT JOIN r USING (doc_id) LEFT JOIN b USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 40 * n_words AS kept
+        FROM f""",
+}
