@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import line_quality, near_dup, packing, substring_dedup, suffix_tree
+from tallyward.llm import decontaminate, line_quality, near_dup, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.judged(_read(spark, folder, "documents")).drop("cleaned_text", "lost_words")
 
 
+def op8_benchmark_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op9_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(_read(spark, folder, "documents"))
 
@@ -32,7 +36,8 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op9_suffix_tree_scores, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op8_benchmark_overlaps,
+    op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {
     "op4_line_quality": r"""
@@ -62,4 +67,19 @@ ORACLE: dict[str, str] = {
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 40 * n_words AS kept
         FROM f""",
+    # Eleven of thirteen tokens that agree hold four in a row, so runs of four find every candidate.
+    "op8_benchmark_overlaps": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+        bt AS (SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM b),
+        dg AS (SELECT doc_id, i, w[i:i+3] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)),
+        bg AS (SELECT item_id, i, w[i:i+3] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM b WHERE len(w) >= 13)),
+        c AS (SELECT DISTINCT doc_id, item_id, dg.i - bg.i AS shift FROM dg JOIN bg USING (g)),
+        e AS (SELECT c.doc_id, c.item_id, shift, bt.p, (dt.t IS NOT NULL AND dt.t = bt.t)::INT AS same
+              FROM c JOIN bt USING (item_id) LEFT JOIN dt ON dt.doc_id = c.doc_id AND dt.p = bt.p + c.shift),
+        s AS (SELECT doc_id, item_id, shift, p, sum(same) OVER k AS matched, count(*) OVER k AS width
+              FROM e WINDOW k AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
+        SELECT doc_id, item_id, max(matched)::BIGINT AS matched, min(greatest(shift + p - 13, 0))::BIGINT AS first_token
+        FROM s WHERE width = 13 AND matched >= 11 GROUP BY doc_id, item_id""",
 }
