@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.llm import decontaminate, line_quality, near_dup, packing, substring_dedup, suffix_tree
+from tallyward.llm import decontaminate, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.judged(_read(spark, folder, "documents")).drop("cleaned_text", "lost_words")
 
 
+def op6_quality_grades(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return ordinal.graded(docs, ordinal.train(docs, _read(spark, folder, "labels")))
+
+
 def op8_benchmark_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -36,8 +41,8 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op8_benchmark_overlaps,
-    op9_suffix_tree_scores, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op6_quality_grades,
+    op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {
     "op4_line_quality": r"""

@@ -19,7 +19,7 @@ class Shelf:
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
