@@ -4,27 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyward.llm import near_dup
+from tallyward.llm import decontaminate, line_dedup, near_dup, ordinal, packing
 from tallyward.llm.staging import Shelf, keep
 
 #: No SQL says these stages (a fitted model, an alignment, a packing); tests compare them with plain versions.
 ORACLE_SQL = None
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``; documents without an id stay."""
+    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are probably not of the top grade go."""
+    model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdict = keep(ordinal.graded(docs, model).select("doc_id", "kept"), "verdict")
+    return _without(docs, verdict.where("not kept").select("doc_id"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document holds go; the character count follows. Every document stays."""
+    cleaned = line_dedup.dedup_lines(docs).where("doc_id is not null and n_removed > 0")
+    new = cleaned.select("doc_id", F.col("text").alias("_text")).dropDuplicates(["doc_id"])
+    changed = F.col("_text").isNotNull()
+    columns = {"text": F.coalesce("_text", "text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.char_length("_text").cast(kind)).otherwise(F.col("n_chars"))
+    return docs.join(new, "doc_id", "left").withColumns(columns).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id."""
-    verdict = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_dup.near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return _without(docs, decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as token sequences of at most 1,024, one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_dedup", near_dedup),
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_copies),
+    ("decontamination", leaks),
+    ("packing", packed),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote is removed when the next one has been written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Shelf(spark)
     for name, stage in STAGES:
         own = Shelf(spark)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyward.llm import decontaminate, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
+from tallyward.llm import decontaminate, line_dedup, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op6_quality_grades(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal.graded(docs, ordinal.train(docs, _read(spark, folder, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, folder, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
 def op8_benchmark_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -42,7 +48,7 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op6_quality_grades,
-    op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
+    op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {
     "op4_line_quality": r"""
