@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import decontaminate, line_dedup, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
+from tallyward.llm import chat_repair, decontaminate, line_dedup, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.repair(_read(spark, folder, "conversations"))
+
+
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, folder, "documents"), percent=85)
 
@@ -47,7 +51,7 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_packed_sequences, op4_line_quality, op6_quality_grades,
+QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op6_quality_grades,
     op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {
