@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import chat_repair, decontaminate, line_dedup, line_quality, near_dup, ordinal, packing, substring_dedup, suffix_tree
+from tallyward.llm import (
+    chat_repair,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    line_quality,
+    near_dup,
+    ordinal,
+    packing,
+    substring_dedup,
+    suffix_tree,
+)
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +40,10 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.judged(_read(spark, folder, "documents")).drop("cleaned_text", "lost_words")
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(_read(spark, folder, "documents"))
+
+
 def op6_quality_grades(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     return ordinal.graded(docs, ordinal.train(docs, _read(spark, folder, "labels")))
@@ -51,7 +66,7 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op6_quality_grades,
+QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op5_license_scan, op6_quality_grades,
     op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
 
 ORACLE: dict[str, str] = {

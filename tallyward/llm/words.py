@@ -18,6 +18,9 @@ SLICE_BYTES = 4 << 20
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
+#: Words of letters, digits and everything outside ASCII, without punctuation.
+PLAIN_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+
 _rng = np.random.default_rng(19260817)
 VALUES = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
 LOWER_VALUES = VALUES.copy()
@@ -48,22 +51,22 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(size + 1)))
 
 
-def places(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places(data: np.ndarray, begins: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-last byte of every word, and the bounds of each text among the words."""
-    inside = np.concatenate(([False], IN_WORD[data]))
+    inside = np.concatenate(([False], in_word[data]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edges[::2], edges[1::2]
     return first, last, np.searchsorted(first, begins).astype(np.int64)
 
 
-def hashed(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: pa.Array, lower: bool, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word and the bounds of each text among them.
 
     Each byte stands for a random 64-bit number; a word is the value of the polynomial with these coefficients,
     taken from running sums, and scrambled.
     """
     data, begins = bytes_of(texts)
-    first, last, bounds = places(data, begins)
+    first, last, bounds = places(data, begins, in_word)
     value = (LOWER_VALUES if lower else VALUES)[data]
     powers = _powers(len(data))
     value *= powers
