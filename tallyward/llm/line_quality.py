@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: The characters between words, and the symbols that are counted.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Bits for the place of a word in its text, 33 million at most.
+PLACE_BITS = 25
 BETWEEN = r"[\x20\x09-\x0D]+"
 
 
@@ -60,22 +62,36 @@ def count_of(text: Column, characters: str) -> Column:
 def with_repeats(docs: DataFrame, words: str, out: str) -> DataFrame:
     """Add how many words lie in a window of three words that the text holds at least twice.
 
-    The windows' hashes are sorted with their places; equal neighbours are the repeated ones, and their places in
-    order tell how many words they cover together. Each step is its own projection, so no array is built twice.
+    Every window becomes one number, hash bits above its place, and the numbers are sorted. Windows whose hash bits meet
+    those of a neighbour are compared word by word with the neighbours next to them; the places of equal ones, in order,
+    tell how many words they cover together. Each step is its own projection, so no array is built twice.
     """
-    n = F.size(words)
-    hashes = F.transform(
-        F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    docs = docs.withColumn("_sorted", F.array_sort(hashes))
+    n, low = F.size(words), (1 << PLACE_BITS) - 1
+
+    def number(w: Column, i: Column) -> Column:
+        hashed = F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+        return hashed.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))
+
+    numbers = F.transform(F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0))), number)
+    docs = docs.withColumn("_sorted", F.sort_array(numbers))
+
+    def meets(x: Column, k: Column) -> Column:
+        bits, none = F.shiftright(x, PLACE_BITS), F.lit(False)
+        before, after = (F.shiftright(F.get("_sorted", k + d), PLACE_BITS) for d in (-1, 1))
+        return F.coalesce(bits == before, none) | F.coalesce(bits == after, none)
+
+    docs = docs.withColumn("_near", F.transform(F.filter("_sorted", meets), lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
+    docs = docs.drop("_sorted")
+
+    def same(i: Column, j: Column) -> Column:
+        parts = [F.get(words, i + d) == F.get(words, j + d) for d in range(3)]
+        return F.coalesce(parts[0] & parts[1] & parts[2], F.lit(False))
 
-    def repeated(x: Column, k: Column) -> Column:
-        before, after = F.get("_sorted", k - 1)["h"], F.get("_sorted", k + 1)["h"]
-        return F.coalesce(x["h"] == before, F.lit(False)) | F.coalesce(x["h"] == after, F.lit(False))
+    def repeated(i: Column, k: Column) -> Column:
+        # Two steps each way, in case one window with other words but the same hash bits lies between.
+        return same(i, F.get("_near", k - 1)) | same(i, F.get("_near", k + 1)) | same(i, F.get("_near", k - 2)) | same(i, F.get("_near", k + 2))
 
-    places = F.transform(F.filter("_sorted", repeated), lambda x: x["i"])
-    docs = docs.withColumn("_places", F.array_sort(places)).drop("_sorted")
+    docs = docs.withColumn("_places", F.sort_array(F.filter("_near", repeated))).drop("_near")
     fresh = F.transform("_places", lambda p, k: F.least(F.lit(3), F.coalesce(p - F.get("_places", k - 1), F.lit(3))))
     return docs.withColumn(out, F.aggregate(fresh, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_places")
 
