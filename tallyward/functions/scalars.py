@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 
 INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def number(c: Column | str, kind: str = "string") -> Column:
@@ -19,8 +21,11 @@ def number(c: Column | str, kind: str = "string") -> Column:
     x = F.col(c) if isinstance(c, str) else c
     if kind in INTEGERS:
         return x.cast("double")
-    # NaN counts as larger than infinity, so one comparison covers both.
     d = x.try_cast("double")
+    if kind == "string":
+        # The cast also takes a trailing d or f, which no number here has.
+        d = F.when(x.rlike(NUMBER), d)
+    # NaN counts as larger than infinity, so one comparison covers both.
     return F.when(F.abs(d) < float("inf"), d)
 
 
@@ -31,8 +36,14 @@ def numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 
 def whole_number(c: Column | str, kind: str = "string") -> Column:
-    """Numeric coercion to a 64-bit integer: unusable text gives 0, fractions are cut off."""
-    return F.coalesce(number(c, kind), F.lit(0.0)).cast("bigint")
+    """Numeric coercion to a 64-bit integer: unusable text gives 0, fractions are cut off. Whole numbers stay exact."""
+    x = F.col(c) if isinstance(c, str) else c
+    if kind in INTEGERS:
+        return F.coalesce(x.cast("bigint"), F.lit(0).cast("bigint"))
+    rounded = F.coalesce(number(c, kind), F.lit(0.0)).cast("bigint")
+    if kind != "string":
+        return rounded
+    return F.coalesce(F.when(x.rlike(WHOLE), x.try_cast("bigint")), rounded)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -123,5 +134,6 @@ def contains_any(name: Column, parts: Sequence[str]) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, ties to even."""
-    # A rounded minus zero prints without its sign.
-    return F.bround(x.cast("decimal(38,12)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    # A rounded minus zero prints without its sign. Values beyond the decimal's range have no digits to round.
+    near = F.bround(x.try_cast("decimal(38,12)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.coalesce(near, F.format_string(f"%.{digits}f", x.cast("double")))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.operators.settling import Size, attach, measure
+from tallyward.operators.settling import Size, attach, measure, stage
 
 # Promotion margins.
 GAIN, REDUCTION = 1.05, 0.95
@@ -51,15 +51,16 @@ def class_balance(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFr
 def dealt(
     df: DataFrame, stratum: Sequence[str], row_key: Sequence[str], seed: int = 42, size: Size | None = None
 ) -> DataFrame:
-    """Add ``place``: 0, 1, 2, ... inside each stratum, in a seeded order that does not depend on partitioning.
+    """Add ``place``: 0, 1, 2, ... inside each stratum, in the order of a seeded hash and the key.
 
-    The order is cut into slices by hash, ranked inside each slice, and continued across slices by
-    their counts, so no task ranks a whole stratum. ``row_key`` must tell rows apart.
+    The order is cut into ranges of the hash, ranked inside each, and continued across ranges by their counts, so
+    no task ranks a whole stratum, and the order is the same for any number of ranges. ``row_key`` must tell rows apart.
     """
     size = size or measure(df)
     slices = max(1, math.ceil(size.rows / SLICE_ROWS))
     spread = F.xxhash64(*row_key, F.lit(seed))
-    rows = df.withColumns({"spread": spread, "slice": F.pmod(spread, F.lit(slices))})
+    share = spread.cast("double") / F.lit(2.0**64) + 0.5
+    rows = df.withColumns({"spread": spread, "slice": F.floor(share * slices)})
     counts = rows.groupBy(*stratum, "slice").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*stratum).orderBy("slice")) - F.col("n")
     offsets = counts.select(*stratum, "slice", before.alias("before"))
@@ -77,9 +78,22 @@ def stratified_folds(
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): sorted distinct values numbered from 0. One row per distinct value."""
+    """(column, code): sorted distinct values numbered from 0. One row per distinct value.
+
+    The values are ranged over tasks, numbered inside each range, and moved up by the counts of the ranges before,
+    which are as many as there are tasks.
+    """
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(values.repartitionByRange(ranges, column).withColumn("range", F.spark_partition_id()), "codes")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("range").count().collect()):
+        offsets.append((r["range"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, "range int, before long")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(column))
+    coded = ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range")
+    return coded.select(column, (F.col("before") + F.col("inside") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, column: str, size: Size | None = None) -> DataFrame:

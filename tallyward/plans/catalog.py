@@ -994,7 +994,7 @@ def json_scan(spark, d):
     store.write_json_report(pay(spark, d), path)
     kinds = ", ".join(f"{c} {'bigint' if c in schema.WHOLE_NUMBERS else 'string'}" for c in [*schema.CANONICAL, RUN])
     # One record per line, so the scan splits across tasks.
-    return spark.read.schema(kinds).json(path)
+    return readers.read_records(spark, path, kinds)
 
 
 @query("run_partitions", using("pay") + """
@@ -1194,8 +1194,8 @@ def forest_outlier_count(spark, d):
     """The second forest flags just the rows its contamination allows."""
     table = stage(zed(spark, d), "features")
     wanted = schema.manipulation_features(table)
-    forest = isolation.fit_forest(table, wanted, ROW, isolation.MANIPULATION_CONTAMINATION)
-    return forest.decide(table).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") < 0).alias("outliers"))
+    _, decided = isolation.fit_and_decide(table, wanted, ROW, isolation.MANIPULATION_CONTAMINATION)
+    return decided.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") < 0).alias("outliers"))
 
 
 @query("forest_scored_records")
@@ -1203,8 +1203,8 @@ def forest_scored_records(spark, d):
     """Full scoring: contamination from the rules, forest on all features, score, tier and explanation."""
     table = stage(zed(spark, d), "features")
     rate = rules.rule_target(table).agg(F.avg(F.col("rule_target").cast("double"))).first()[0]
-    forest = isolation.fit_forest(table, schema.detector_features(table), ROW, min(0.5, max(0.05, rate)))
-    return scoring.score_records(stage(forest.decide(table), "decided"))
+    _, decided = isolation.fit_and_decide(table, schema.detector_features(table), ROW, min(0.5, max(0.05, rate)))
+    return scoring.score_records(decided)
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:

@@ -97,10 +97,10 @@ def ingest(place: Place, path: str, run_id: str | None = None) -> str:
             stage()
             place.note(run_id, step, "COMPLETE")
     except Exception as error:
-        failure = spark.createDataFrame([(run_id, str(error)[:1000])], f"{RUN} string, error string")
-        place.save("alerts", alerts.failure_alerts(failure))
+        failure = spark.createDataFrame([(run_id, str(error))], f"{RUN} string, error string")
+        _save_alerts(place, [*fired, alerts.failure_alerts(failure)])
         place.note(run_id, step, "FAILED")
-        place.note(run_id, "run", "FAILED", file_hash, str(error)[:1000])
+        place.note(run_id, "run", "FAILED", file_hash, str(error))
         raise
     place.note(run_id, "run", "COMPLETE", file_hash)
     return run_id
@@ -370,12 +370,16 @@ def handle(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     fired.append(alerts.policy_alerts(policy))
 
 
-def publish(place: Place, run_id: str, fired: list[DataFrame]) -> None:
+def _save_alerts(place: Place, fired: list[DataFrame]) -> None:
+    """Write the alerts of a run, also of one that failed."""
     together = fired[0]
     for part in fired[1:]:
         together = together.unionByName(part)
-    stamped = alerts.dedupe_alerts(together).withColumn("timestamp", F.current_timestamp())
-    place.save("alerts", stamped)
+    place.save("alerts", alerts.dedupe_alerts(together).withColumn("timestamp", F.current_timestamp()))
+
+
+def publish(place: Place, run_id: str, fired: list[DataFrame]) -> None:
+    _save_alerts(place, fired)
     scored, report = place.run("scored", run_id), place.run("risk", run_id)
     counted = store.read_history(place.spark, place.path("alerts")).where(F.col(RUN) == run_id)
     summary = reports.run_summary(scored, report).withColumn("alerts_count", counted.agg(F.count(F.lit(1))).scalar())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tallyward.functions.scalars import NUMBER, WHOLE
 from tallyward.operators.schema import tidy_names
 
 # Texts that stand for a missing value in delimited files.
@@ -16,10 +17,17 @@ MISSING = [
 ]
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+# Texts without digits that are numbers all the same.
+ENDLESS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
+
+
+def read_records(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Read CSV, JSON or Parquet by extension; column names come back trimmed and lower-cased.
 
-    A given schema saves the pass that infers types.
+    A given schema saves the pass that infers types. JSON has one record per line, so that files are split over tasks;
+    ``multi_line`` reads files that are one array, each in one task.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if kind not in ("csv", "json", "parquet"):
@@ -28,8 +36,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
         if kind == "csv":
             df = read_csv(spark, path, schema)
         elif kind == "json":
-            # The whole file is one array, or one record per line.
-            reader = spark.read.option("multiLine", True)
+            reader = spark.read.option("multiLine", multi_line)
             df = (reader.schema(schema) if schema else reader).json(path)
         else:
             df = spark.read.parquet(path)
@@ -42,12 +49,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     if schema:
-        return spark.read.schema(schema).csv(path, header=True)
-    text = spark.read.csv(path, header=True, inferSchema=False)
-    cleared = text.select(
-        *[F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) for c in text.columns]
+        return without_missing_texts(spark.read.schema(schema).csv(path, header=True))
+    return with_inferred_types(without_missing_texts(spark.read.csv(path, header=True, inferSchema=False)))
+
+
+def without_missing_texts(df: DataFrame) -> DataFrame:
+    """Null wherever a text stands for a missing value."""
+    return df.select(
+        *[
+            F.when(~F.col(f"`{c}`").isin(MISSING), F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`")
+            for c, kind in df.dtypes
+        ]
     )
-    return with_inferred_types(cleared)
 
 
 def with_inferred_types(text: DataFrame) -> DataFrame:
@@ -58,8 +71,8 @@ def with_inferred_types(text: DataFrame) -> DataFrame:
         x = F.col(f"`{c}`")
         tests += [
             F.count(x).alias(f"n_{i}"),
-            F.count(F.when(x.rlike(r"^\s*[+-]?[0-9]+\s*$"), x.try_cast("bigint"))).alias(f"i_{i}"),
-            F.count(x.try_cast("double")).alias(f"d_{i}"),
+            F.count(F.when(x.rlike(WHOLE), x.try_cast("bigint"))).alias(f"i_{i}"),
+            F.count(F.when(x.rlike(NUMBER) | F.lower(F.trim(x)).isin(ENDLESS), x.try_cast("double"))).alias(f"d_{i}"),
         ]
     seen = text.agg(*tests).first()
     chosen = []
@@ -76,13 +89,21 @@ def with_inferred_types(text: DataFrame) -> DataFrame:
 
 
 def batch_hash(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_hash) of a batch as one row; a batch of several files hashes their sorted hashes."""
-    each = file_hashes(spark, path).agg(F.sort_array(F.collect_list("file_hash")).alias("all"))
-    one = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.md5(F.concat_ws(",", "all")))
-    return each.select(F.lit(path).alias("path"), one.alias("file_hash"))
+    """(path, file_hash) of a batch as one row, over the lines of all its files."""
+    return _digest(spark.read.text(path), []).select(F.lit(path).alias("path"), "file_hash")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_hash) of every file under a path. Suits uploaded batch files, read whole."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.md5("content").alias("file_hash"))
+    """(path, file_hash) of every file under a path."""
+    return _digest(spark.read.text(path).withColumn("path", F.col("_metadata.file_path")), ["path"])
+
+
+def _digest(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """A digest of file contents that is summed up from the splits of a scan, whatever the size of a file.
+
+    Count, sum and exclusive or of two 64-bit hashes of the lines; the order of lines does not count.
+    """
+    one, two = F.xxhash64("value"), F.xxhash64("value", F.lit(1))
+    figures = [F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(one), F.sum(two.cast("decimal(38,0)")), F.bit_xor(two)]
+    text = F.concat_ws(",", *[F.coalesce(x.cast("string"), F.lit("")) for x in figures])
+    return lines.groupBy(*keys).agg(F.md5(text).alias("file_hash"))

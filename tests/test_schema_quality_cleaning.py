@@ -137,3 +137,14 @@ def test_a_third_of_all_rows_being_copies_costs_one_row(spark):
 def test_columns_a_file_lacks_are_not_needed(spark):
     df = table(spark, DIRTY).select("run_id", "employee_id", "base_salary", "net_salary")
     assert cleaning.clean_records(df, size=Size(6)).count() == 3
+
+
+def test_coercion_of_suffixes_and_large_whole_numbers(spark):
+    from tallyward.functions import scalars
+
+    texts = spark.createDataFrame([("12d",), ("7f",), ("9007199254740993",), (" 5 ",), ("1.9",), ("1e3",), (".5",), (None,), ("x",)], "t string")
+    assert [r[0] for r in texts.select(scalars.whole_number("t")).collect()] == [0, 0, 2**53 + 1, 5, 1, 1000, 0, 0, 0]
+    large = spark.createDataFrame([(2**53 + 1,)], "n long")
+    assert large.select(scalars.whole_number("n", "bigint")).first()[0] == 2**53 + 1
+    shown = spark.createDataFrame([(2.5,), (-0.001,), (3e26,)], "x double").select(scalars.fixed(F.col("x"), 1)).collect()
+    assert [r[0] for r in shown] == ["2.5", "0.0", "300000000000000000000000000.0"]

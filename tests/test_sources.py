@@ -17,12 +17,18 @@ def test_csv_types_missing_texts_and_names(spark, tmp_path):
     assert [r["dept"] for r in df.orderBy("emp_id").collect()] == ["Ops", None, None]
     fixed = readers.read_records(spark, path, "e string, d string, p int, r double, c string")
     assert fixed.columns == ["e", "d", "p", "r", "c"]
+    assert [r["d"] for r in fixed.orderBy("e").collect()] == ["Ops", None, None]
+    with open(path, "w") as f:
+        f.write("id,x\n7f,1\n8d,2\n")
+    assert dict(readers.read_records(spark, path).dtypes) == {"id": "string", "x": "bigint"}
 
 
 def test_json_and_rejections(spark, tmp_path):
     path = tmp_path / "in.json"
     path.write_text('[{"ID": 1, "Net_Pay": 5.5}, {"ID": 2, "Net_Pay": null}]')
-    assert readers.read_records(spark, str(path)).columns == ["id", "net_pay"]
+    assert readers.read_records(spark, str(path), multi_line=True).columns == ["id", "net_pay"]
+    (tmp_path / "lines.json").write_text('{"ID": 1, "Net_Pay": 5.5}\n{"ID": 2}\n')
+    assert readers.read_records(spark, str(tmp_path / "lines.json")).columns == ["id", "net_pay"]
     with pytest.raises(ValueError):
         readers.read_records(spark, str(tmp_path / "notes.txt"))
     with pytest.raises(FileNotFoundError):
