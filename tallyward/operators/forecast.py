@@ -172,20 +172,24 @@ def spikes(history: DataFrame, run: str = "run_id") -> DataFrame:
     return table.withColumn("is_spike", F.coalesce((F.col("prior_total") > 0) & above, F.lit(False)))
 
 
-def regression_cv(series: DataFrame, value: str, keys: Sequence[str], index: str = "t") -> DataFrame:
+def regression_cv(
+    series: DataFrame, value: str, keys: Sequence[str], index: str = "t", deal: Column | None = None
+) -> DataFrame:
     """(keys, n, mape, rmse, stability_score) of the straight-line fit.
 
     Below 5 periods the fit is judged on itself, below 50 by leaving one out, above in 5 folds.
-    Each held-out fit comes from the sums of the series minus those of the fold.
+    Each held-out fit comes from the sums of the series minus those of the fold. The folds are dealt by a hash of the
+    period, or by ``deal``.
     """
     whole = Window.partitionBy(*keys)
     y, t = F.col(value).cast("double"), F.col(index).cast("double")
-    rows = series.select(*keys, y.alias("y"), t.alias("t"), F.count(F.lit(1)).over(whole).alias("n"))
+    given = F.lit(None).cast("int") if deal is None else deal.cast("int")
+    rows = series.select(*keys, y.alias("y"), t.alias("t"), F.count(F.lit(1)).over(whole).alias("n"), given.alias("given"))
     shuffled = F.row_number().over(whole.orderBy(F.xxhash64("t"), "t"))
     fold = (
         F.when(F.col("n") < FEW_PERIODS, -1)
         .when(F.col("n") < MANY_PERIODS, F.row_number().over(whole.orderBy("t")))
-        .otherwise(shuffled % FOLDS)
+        .otherwise(shuffled % FOLDS if deal is None else F.col("given"))
     )
     rows = rows.withColumn("fold", fold)
     held_out = Window.partitionBy(*keys, "fold")

@@ -736,12 +736,18 @@ def regression_leave_one_out(spark, d):
     return out.withColumns({"mape": r("mape"), "rmse": r("rmse", 3), "stability_score": r("stability_score")})
 
 
-@query("regression_folds")
+@query("regression_folds", using("segment_months") + f""", ix AS (SELECT month, ROW_NUMBER() OVER (ORDER BY month) AS t FROM (SELECT DISTINCT month FROM segment_months) q),
+s AS (SELECT department, CAST(t AS DOUBLE) AS t, t % 5 AS f, CAST(cents AS DOUBLE) / 1000 AS y FROM segment_months JOIN ix USING (month)),
+fits AS (SELECT s.department, g.f, REGR_SLOPE(y, t) AS b, REGR_INTERCEPT(y, t) AS c FROM s JOIN (SELECT DISTINCT f FROM s) g ON s.f <> g.f GROUP BY s.department, g.f),
+per AS (SELECT department, f, COUNT(*) AS n, AVG(ABS((y - c - b * t) / y)) AS mape, SQRT(AVG((y - c - b * t) * (y - c - b * t))) AS rmse FROM s JOIN fits USING (department, f) GROUP BY department, f)
+SELECT department, CAST(SUM(n) AS BIGINT) AS n, {R('AVG(mape)', 5)} AS mape, {R('AVG(rmse)', 2)} AS rmse, {R('1 - STDDEV_POP(mape)', 5)} AS stability_score FROM per GROUP BY department
+""")
 def regression_folds(spark, d):
-    """Five folds over the 80 monthly totals of each segment; the deal into folds is seeded by hash."""
+    """Five folds over the monthly totals of each segment, dealt by the number of the month."""
     totals = segment_months(spark, d)
-    series = totals.join(forecast.period_index(totals, "month"), "month")
-    return forecast.regression_cv(series, "cents", ["department"])
+    series = totals.join(forecast.period_index(totals, "month"), "month").withColumn("y", F.col("cents") / 1000)
+    out = forecast.regression_cv(series, "y", ["department"], deal=F.pmod(F.col("t"), F.lit(5)))
+    return out.withColumns({"mape": r("mape", 5), "rmse": r("rmse", 2), "stability_score": r("stability_score", 5)})
 
 
 @query("decay_score", using("expanding") + f"""
@@ -1198,15 +1204,42 @@ def forest_outlier_count(spark, d):
     return decided.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") < 0).alias("outliers"))
 
 
-@query("forest_scored_records")
-def forest_scored_records(spark, d):
-    """Full scoring: contamination from the rules, forest on all features, score, tier and explanation."""
+def _fully_scored(spark: SparkSession, d: str) -> DataFrame:
     table = stage(zed(spark, d), "features")
     rate = rules.rule_target(table).agg(F.avg(F.col("rule_target").cast("double"))).first()[0]
     _, decided = isolation.fit_and_decide(table, schema.detector_features(table), ROW, min(0.5, max(0.05, rate)))
     return scoring.score_records(decided)
 
 
+@query("forest_scored_records", using("pay") + """
+SELECT run_id, employee_id, TRUE AS score_in_range, TRUE AS tier_follows, TRUE AS explained_if_high FROM pay
+""")
+def forest_scored_records(spark, d):
+    """Full scoring: contamination from the rules, forest on all features, score, tier and explanation.
+
+    The forest draws by hash, so what both engines can compare is that every record is scored, and consistently.
+    """
+    score, tier = F.col("final_anomaly_score"), F.col("risk_tier")
+    told = F.length(F.trim(F.coalesce("explanation", F.lit("")))) > 0
+    return _fully_scored(spark, d).select(
+        *ROW, F.coalesce(score.between(0, 1), F.lit(False)).alias("score_in_range"),
+        (tier == scalars.risk_tier(score)).alias("tier_follows"), (told == scalars.is_high_risk(tier)).alias("explained_if_high"),
+    )
+
+
+@query("forest_planted_outliers", using("pay") + """
+SELECT COUNT(*) AS planted, TRUE AS odder_than_others FROM pay WHERE CAST(SUBSTRING(employee_id, 2) AS BIGINT) % 41 = 0
+""")
+def forest_planted_outliers(spark, d):
+    """Records with planted overtime score above the others on average."""
+    planted = F.col("employee_id").substr(F.lit(2), F.lit(20)).cast("bigint") % 41 == 0
+    score = F.col("final_anomaly_score")
+    return _fully_scored(spark, d).agg(
+        F.count_if(planted).alias("planted"),
+        (F.avg(F.when(planted, score)) > F.avg(F.when(~planted, score))).alias("odder_than_others"),
+    )
+
+
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     rows = zed(spark, d)
     for c in ("department", "designation"):
@@ -1216,12 +1249,19 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return rows, schema.absenteeism_features(rows)
 
 
-@query("absenteeism_scores")
+@query("absenteeism_scores", using("pay") + """
+SELECT run_id, employee_id, TRUE AS share_in_range, TRUE AS learned FROM pay
+""")
 def absenteeism_scores(spark, d):
+    """Every record gets a share; over all records the flag agrees with the label it was learned from."""
     rows, inputs = _labelled(spark, d)
-    model = classifier.fit_absenteeism(rows, inputs, "away", ROW, trees=20, depth=6)
-    out = classifier.positive_share(model, rows, inputs)
-    return out.select(*ROW, "absenteeism_score", classifier.absenteeism_flag().alias("absenteeism_flag"))
+    model = classifier.fit_absenteeism(rows, inputs, "away", ROW)
+    only = rows.select("away").first()[0] if model is None else None
+    out = stage(classifier.positive_share(model, rows, inputs, only).select(*ROW, "away", "absenteeism_score"), "away")
+    right = out.agg(F.avg((classifier.absenteeism_flag() == F.col("away")).cast("double"))).first()[0]
+    return out.select(
+        *ROW, F.col("absenteeism_score").between(0, 1).alias("share_in_range"), F.lit((right or 0) > 0.9).alias("learned")
+    )
 
 
 @query("oversampled_balance", using("pay") + """
@@ -1234,10 +1274,15 @@ def oversampled_balance(spark, d):
     return evaluation.class_balance(even, "busy")
 
 
-@query("classifier_folds")
+@query("classifier_folds", "SELECT TRUE AS in_range, TRUE AS better_than_chance")
 def classifier_folds(spark, d):
+    """Five folds of the full forest; its mean metrics are shares and beat a guess on records it has not seen."""
     rows, inputs = _labelled(spark, d)
-    return classifier.cross_validate(rows, inputs, "away", ROW, trees=10, depth=5)
+    out = classifier.cross_validate(rows, inputs, "away", ROW)
+    shares = [F.col(c).between(0, 1) for c in ("f1", "precision", "recall", "accuracy")]
+    return out.select(
+        (shares[0] & shares[1] & shares[2] & shares[3]).alias("in_range"), (F.col("accuracy") > 0.6).alias("better_than_chance")
+    )
 
 
 # --- further reports and alerts --------------------------------------------------------------------
