@@ -38,6 +38,9 @@ FIT_ROWS = 12_000
 LEAST_SHARE = 0.004
 #: Words in more of them than this are the common words of a language and get no weight either.
 MOST_SHARE = 0.2
+#: Share of the fitted documents of the top grade that the selection may lose. The penalty draws all probabilities together,
+#: the more the fewer rows there are, so the limit is set on them and not at a fixed probability.
+SPARED = 0.005
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -115,6 +118,8 @@ class Model:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Tail probability of the top grade from which on a document is selected.
+    least: float = 0.5
 
     def score(self, at: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(self.weights[at] * weight)))
@@ -168,7 +173,9 @@ def fit(at: np.ndarray, weight: np.ndarray, bounds: np.ndarray, grades: np.ndarr
         raw = raw + 0.5 * raw_gradient / np.sqrt(raw_squares)
     weights = np.zeros(BUCKETS)
     weights[used] = w
-    return Model(weights, np.array([raw[0], raw[0] + np.exp(raw[1])]))
+    thresholds = np.array([raw[0], raw[0] + np.exp(raw[1])])
+    good = Model(w, thresholds).tails(Model(w, thresholds).score(at, weight, bounds))[-1][grades == GRADES - 1]
+    return Model(weights, thresholds, float(np.quantile(good, SPARED)) - 1e-6 if len(good) else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
@@ -188,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 
 def _scorer(model: Model):
-    small = Model(model.weights.astype(np.float32), model.thresholds)
+    small = Model(model.weights, model.thresholds)
 
     def run(batches):
         for part in words.slices(batches):
@@ -201,12 +208,12 @@ def _scorer(model: Model):
     return run
 
 
-def graded(docs: DataFrame, model: Model | None, least: float = 0.55) -> DataFrame:
+def graded(docs: DataFrame, model: Model | None) -> DataFrame:
     """Score every document: ``doc_id, expected_grade, p_good, kept``; ``p_good`` is the probability of the top grade
-    and ``kept`` whether it reaches ``least``."""
+    and ``kept`` whether it reaches the limit of the model."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if model is None:
         null = F.lit(None).cast("double")
         return docs.select("doc_id", null.alias("expected_grade"), null.alias("p_good"), F.lit(True).alias("kept"))
     scored = docs.mapInArrow(_scorer(model), "doc_id long, expected_grade double, p_good double")
-    return scored.withColumn("kept", F.col("p_good") >= least)
+    return scored.withColumn("kept", F.col("p_good") >= model.least)
