@@ -102,13 +102,17 @@ def features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _feature_rows(batches):
     for part in words.slices(batches):
         at, weight, bounds = features(part)
+        hashed = at >= SHAPES
+        shapes = weight[~hashed].astype(np.float32)
+        kinds = len(shapes) // max(part.num_rows, 1)
+        own = np.concatenate(([0], np.cumsum(hashed)))[bounds]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("grade"),
-                words.list_array(at.astype(np.int32), bounds),
-                words.list_array(weight.astype(np.float32), bounds),
+                words.list_array(shapes, np.arange(part.num_rows + 1) * kinds),
+                words.list_array(at[hashed].astype(np.int32), own),
             ],
-            ["grade", "at", "weight"],
+            ["grade", "shapes", "at"],
         )
 
 
@@ -130,41 +134,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[None, :] - self.thresholds[:, None], -40, 40)))
 
 
-def fit(at: np.ndarray, weight: np.ndarray, bounds: np.ndarray, grades: np.ndarray, rounds: int = 150, noise: float = 0.6) -> Model:
+def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], rounds: int = 150, noise: float = 0.6) -> Model:
     """Likelihood less an absolute penalty on the weights, by full-batch steps with a step size per weight.
 
     The penalty follows the noise that a gradient over this many rows has, so features that tell nothing keep no
     weight. Words only count against a text: else many ordinary ones outweigh a bad one in long texts. Rows are weighted so that each grade counts alike. The thresholds are a first one and positive gaps, so
     their order holds throughout.
     """
-    row = np.repeat(np.arange(len(grades)), np.diff(bounds))
-    found = np.bincount(at[weight > 0], minlength=BUCKETS)
+    found = np.zeros(BUCKETS, np.int64)
+    for lists in hashed:
+        found += np.bincount(lists.flatten(), minlength=BUCKETS)
     shared = (found >= max(5, LEAST_SHARE * len(grades))) & (found <= MOST_SHARE * len(grades))
-    shared[:SHAPES] = True
-    used = np.flatnonzero(shared)  # the fit works on these alone; shapes come first
-    row, at, weight = row[shared[at]], np.cumsum(shared)[at[shared[at]]] - 1, weight[shared[at]]
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(grades)))))
+    used, kinds = np.flatnonzero(shared), shapes.shape[1]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used)) + kinds
+    # The shapes of every text, then its words that are used; the fit works on these alone.
+    row, at = [np.repeat(np.arange(len(grades)), kinds)], [np.tile(np.arange(kinds), len(grades))]
+    begin = 0
+    for lists in hashed:
+        mapped = place[lists.flatten().to_numpy()]
+        row.append((np.repeat(np.arange(len(lists)), lists.value_lengths()) + begin)[mapped >= 0])
+        at.append(mapped[mapped >= 0])
+        begin += len(lists)
+    row, at = np.concatenate(row), np.concatenate(at)
+    weight = np.concatenate((shapes.ravel(), np.ones(len(row) - shapes.size)))
+    n_used = kinds + len(used)
     counts = np.bincount(grades, minlength=GRADES)
     balance = (len(grades) / (GRADES * np.maximum(counts, 1)))[grades]
     balance = balance / balance.mean()
-    w, squares = np.zeros(len(used)), np.full(len(used), 1e-8)
+    w, squares = np.zeros(n_used), np.full(n_used, 1e-8)
     raw = np.array([-4.0, 0.7])  # first threshold, log of the gap; a text without telling features is good
     raw_squares = np.full(2, 1e-8)
     for _ in range(rounds):
         model = Model(w, np.array([raw[0], raw[0] + np.exp(raw[1])]))
-        tail = model.tails(model.score(at, weight, bounds))
+        tail = model.tails(np.bincount(row, weights=w[at] * weight, minlength=len(grades)))
         upper = np.concatenate((np.ones((1, len(grades))), tail, np.zeros((1, len(grades)))))
         rows = np.arange(len(grades))
         chance = np.maximum(upper[grades, rows] - upper[grades + 1, rows], 1e-9)
         slope = upper * (1 - upper)
         lower_slope, upper_slope = slope[grades, rows], slope[grades + 1, rows]
         by_score = balance * (lower_slope - upper_slope) / chance
-        gradient = np.bincount(at, weights=by_score[row] * weight, minlength=len(used)) / len(grades)
+        gradient = np.bincount(at, weights=by_score[row] * weight, minlength=n_used) / len(grades)
         squares += gradient**2
         step = 0.25 / np.sqrt(squares)
         w = w + step * gradient
         w = np.sign(w) * np.maximum(np.abs(w) - step * noise / np.sqrt(len(grades)), 0)
-        w[SHAPES:] = np.minimum(w[SHAPES:], 0)
+        w[kinds:] = np.minimum(w[kinds:], 0)
         by_low = np.where(grades >= 1, -lower_slope, 0) * (grades == 1) + np.where(grades == 0, upper_slope, 0)
         by_high = np.where(grades == 2, -lower_slope, 0) + np.where(grades == 1, upper_slope, 0)
         low, high = (balance * by_low / chance).mean(), (balance * by_high / chance).mean()
@@ -172,26 +187,29 @@ def fit(at: np.ndarray, weight: np.ndarray, bounds: np.ndarray, grades: np.ndarr
         raw_squares += raw_gradient**2
         raw = raw + 0.5 * raw_gradient / np.sqrt(raw_squares)
     weights = np.zeros(BUCKETS)
-    weights[used] = w
+    weights[:kinds], weights[used] = w[:kinds], w[kinds:]
     thresholds = np.array([raw[0], raw[0] + np.exp(raw[1])])
-    good = Model(w, thresholds).tails(Model(w, thresholds).score(at, weight, bounds))[-1][grades == GRADES - 1]
+    score = np.bincount(row, weights=w[at] * weight, minlength=len(grades))
+    good = Model(weights, thresholds).tails(score)[-1][grades == GRADES - 1]
     return Model(weights, thresholds, float(np.quantile(good, SPARED)) - 1e-6 if len(good) else 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on at most ``fit_rows`` rated documents; None if no rating can be used."""
+    """Fit on at most ``fit_rows`` rated documents; None if no rating can be used.
+
+    The driver gets their features, about 4 KB a document, and keeps those that enough documents share.
+    """
     rated = labels.select(F.col("doc_id").cast("long"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = texts.join(F.broadcast(sample), "doc_id").select("grade", "text")  # at most ``fit_rows`` rows of 12 bytes
-    rows = chosen.mapInArrow(_feature_rows, "grade int, at array<int>, weight array<float>").toArrow()
+    rows = chosen.mapInArrow(_feature_rows, "grade int, shapes array<float>, at array<int>").toArrow()
     if not rows.num_rows:
         return None
-    at, weight = rows.column("at").combine_chunks(), rows.column("weight").combine_chunks()
-    bounds = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy())))
+    shapes = np.concatenate([c.flatten().to_numpy() for c in rows.column("shapes").chunks]).astype(float)
     grades = rows.column("grade").to_numpy().astype(np.int64)
-    return fit(at.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy().astype(float), bounds, grades)
+    return fit(grades, shapes.reshape(len(grades), -1), rows.column("at").chunks)
 
 
 def _scorer(model: Model):
