@@ -138,8 +138,8 @@ def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], roun
     """Likelihood less an absolute penalty on the weights, by full-batch steps with a step size per weight.
 
     The penalty follows the noise that a gradient over this many rows has, so features that tell nothing keep no
-    weight. Words only count against a text: else many ordinary ones outweigh a bad one in long texts. Rows are weighted so that each grade counts alike. The thresholds are a first one and positive gaps, so
-    their order holds throughout.
+    weight. Words only count against a text: else many ordinary ones outweigh a bad one in long texts. Rows are weighted
+    so that each grade counts alike. The thresholds are a first one and positive gaps, so their order holds throughout.
     """
     found = np.zeros(BUCKETS, np.int64)
     for lists in hashed:
