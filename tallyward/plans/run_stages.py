@@ -98,7 +98,11 @@ def ingest(place: Place, path: str, run_id: str | None = None) -> str:
             place.note(run_id, step, "COMPLETE")
     except Exception as error:
         failure = spark.createDataFrame([(run_id, str(error))], f"{RUN} string, error string")
-        _save_alerts(place, [*fired, alerts.failure_alerts(failure)])
+        failed = alerts.failure_alerts(failure)
+        try:
+            _save_alerts(place, [*fired, failed])
+        except Exception:  # noqa: BLE001 - an earlier alert may rest on the very thing that failed
+            _save_alerts(place, [failed])
         place.note(run_id, step, "FAILED")
         place.note(run_id, "run", "FAILED", file_hash, str(error))
         raise
