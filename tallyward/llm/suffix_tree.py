@@ -1,19 +1,16 @@
-"""Language-model scores from a probabilistic suffix tree over word classes.
+"""Language-model scores from a probabilistic suffix tree over whole words.
 
-A word is predicted in two steps: its class from the classes before it, by the tree, then the word within its
-class by its count. Frequent words are classes of their own, all others share the class of their last two bytes.
-Classes are few, so contexts of several words have counts that mean something, while every word of the corpus
-keeps its own count.
+The tree grows level by level. A context of up to ``depth`` words is counted if it occurs ``least`` times in the training
+documents, whatever their size, and every word that follows it is. Its distribution is mixed with what its shorter
+suffix predicts; the weight of the suffix is the one of ``RESTS`` under which each of the context's own occurrences,
+left out in turn, is best predicted. A context is kept if that gains at least ``divergence`` (nats a token) on the suffix
+alone. A position is scored by the kept suffixes of what precedes it, from the word's own count up to the longest; the
+text's beginning counts as the end of another.
 
-The tree grows level by level. A context is counted if it makes up at least ``least`` of the corpus, and kept if the
-next class after it diverges (Kullback-Leibler) from what its shorter suffix predicts, or a longer kept context needs
-it. Next-class distributions are smoothed towards the suffix. A position is scored in the longest kept suffix of what
-precedes it; the text's beginning counts as the end of another.
-
-Scale: the word table grows with the corpus and is never gathered. Each block of text (``BLOCK_BYTES``) asks for the
-counts of its distinct words and gets them back by one shuffle each way. What reaches the driver is bounded
-whatever the corpus: at most ``1 / OWN`` words, 65,536 word ends and, per level, ``100 / least`` transitions (each has
-at least that share of all tokens; rarer ones belong to the smoothed rest).
+Scale: what is learned grows with the corpus and is never gathered. Each block of text (``BLOCK_BYTES``) asks for the
+counts of its distinct words, then level by level for those of the runs whose context is frequent enough, and gets them
+back by one shuffle each way; runs that came once stay where they are unless a held-out document asks. Contexts are tested
+by sums over blocks. A run or context has at most one row per block. The driver gets three numbers.
 
 Defined results: null text is empty and has one token, its end. A null id counts as the empty text when documents are
 dealt to training and held-out ones. Without training documents all counts are zero. Other columns are ignored.
@@ -21,6 +18,8 @@ dealt to training and held-out ones. Without training documents all counts are z
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,9 +30,13 @@ from tallyward.llm import words
 from tallyward.llm.staging import Shelf, keep
 
 #: Text that shares one lookup of word counts.
-BLOCK_BYTES = 24 << 20
-#: Share of all tokens that makes a word a class of its own, and a word end a class.
-OWN, SHAPE = 1 / 2000, 1 / 10_000
+BLOCK_BYTES = 12 << 20
+#: Weights that the suffix of a context may have.
+RESTS = (0.1, 0.3, 0.5, 0.7, 0.9)
+#: Stands for the hash of the end of a text.
+END_WORD = np.uint64(0x5851F42D4C957F2D)
+#: Share of all tokens that makes a word end a class.
+SHAPE = 1 / 10_000
 #: Bits of a class number, and the numbers of the end of a text and of all rare word ends together.
 CLASS_BITS, END, OTHER = 14, 0, 1
 #: Strength of the suffix in a smoothed distribution, in tokens.
@@ -55,25 +58,36 @@ def _blocks(batches):
         yield part.append_column("block", pa.array(np.full(part.num_rows, block, np.int64)))
 
 
-def _tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and word end of every word, and the bounds of each text."""
-    data, begins = words.bytes_of(part.column("text"))
-    first, last, _ = words.places(data, begins)
-    values, bounds = words.hashed(part.column("text"), lower=True)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int32)
-    before = np.where(last - first > 1, low[last - 2], 0)
-    return values, before * 256 + low[last - 1], bounds
+def _runs(part, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token, texts one after the other, each with its end: hashes of the run of ``k`` tokens and itself and of the
+    ``k`` tokens before it, by ``k``; the tokens before it in its text; where the ends are; tokens by text.
+
+    There is a context of ``k`` tokens if at least ``k - 1`` come before: the text's beginning counts as one end.
+    """
+    value, bounds = words.hashed(part.column("text"), lower=True)
+    size = np.diff(bounds) + 1
+    ends = np.cumsum(size) - 1
+    word = np.full(int(size.sum()), END_WORD)
+    real = np.ones(len(word), bool)
+    real[ends] = False
+    word[real] = value
+    before = np.arange(len(word)) - np.repeat(ends - size + 1, size)
+    runs, contexts = [word], [np.zeros(len(word), np.uint64)]
+    for k in range(1, depth + 1):
+        contexts.append(np.concatenate(([END_WORD], runs[-1]))[: len(word)])
+        runs.append(words.mix(contexts[-1] * np.uint64(words.BASE) + word + np.uint64(k)))
+    return runs, contexts, before, ends, size
 
 
 def _word_counts(batches):
-    """Per block: each distinct word with its word end and its count in training documents."""
+    """Per block: each distinct word with its count in training documents."""
     block, held = None, []
 
     def flush():
-        value, shape, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        value, at, back = np.unique(value, return_index=True, return_inverse=True)
+        value, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, back = np.unique(value, return_inverse=True)
         table = pa.table({
-            "block": np.full(len(value), block, np.int64), "word": value.view(np.int64), "shape": shape[at],
+            "block": np.full(len(value), block, np.int64), "run": value.view(np.int64),
             "n": np.bincount(back, weights=n, minlength=len(value)).astype(np.int64),
         })
         yield from table.to_batches(max_chunksize=100_000)
@@ -86,9 +100,9 @@ def _word_counts(batches):
                 yield from flush()
                 held = []
             block = own
-            value, shape, bounds = _tokens(rows)
+            value, bounds = words.hashed(rows.column("text"), lower=True)
             learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-            held.append((value, shape.astype(np.int32), np.repeat(learn.astype(np.int8), np.diff(bounds))))
+            held.append((value, np.repeat(learn.astype(np.int8), np.diff(bounds))))
     if held:
         yield from flush()
 
@@ -121,26 +135,6 @@ class Classes:
         return np.where((number == END) | ((number >= 2) & (number < 2 + len(self.own))), 0.0, share)
 
 
-def _sequence(number: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token, texts one after the other, each with its end; packed contexts of each length before it."""
-    size = np.diff(bounds) + 1
-    ends = np.cumsum(size) - 1
-    out = np.full(int(size.sum()), END, np.int64)
-    real = np.ones(len(out), bool)
-    real[ends] = False
-    out[real] = number
-    begin = np.repeat(ends - size + 1, size)
-    back = np.arange(len(out)) - begin  # tokens before, in the same text
-    contexts = np.full((depth + 1, len(out)), -1, np.int64)
-    contexts[0] = 0
-    packed = np.zeros(len(out), np.int64)
-    for k in range(1, depth + 1):
-        shifted = np.concatenate((np.full(k, END, np.int64), out))[: len(out)]
-        packed = packed | (np.where(back >= k, shifted, END) << (CLASS_BITS * (k - 1)))
-        contexts[k] = np.where(back >= k - 1, packed, -1)  # the beginning counts as one end
-    return out, contexts, ends
-
-
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in a sorted table, or -1."""
     if not len(table):
@@ -149,21 +143,6 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _transitions(classes: Classes, candidates: np.ndarray, level: int):
-    """Counts of (context, next class) over training documents for the candidate contexts of one length."""
-
-    def run(batches):
-        for part in words.slices(batches):
-            value, shape, bounds = _tokens(part)
-            number, contexts, _ = _sequence(classes.number(value, shape), bounds, level)
-            context = contexts[level]
-            known = (_find(candidates, context) >= 0) if level else np.ones(len(number), bool)
-            key, n = np.unique((context[known] << CLASS_BITS) | number[known], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return run
-
-
 class Tree:
     """Kept contexts of each length and their smoothed next-class distributions."""
 
@@ -198,103 +177,149 @@ class Tree:
         self.root = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
 
 
-def grow(staged: DataFrame, classes: Classes, depth: int, least: float, divergence: float) -> Tree:
-    """Count and test contexts level by level; each level is one pass over the training documents."""
-    learn, tree = staged.where("not held_out").select("text"), Tree(classes)
-    tokens, last = classes.tokens, None
-    levels = []
-    for level in range(depth + 1):
-        candidates = np.empty(0, np.int64) if last is None else last
-        if level and not len(candidates):
-            break
-        rows = learn.mapInArrow(_transitions(classes, candidates, level), "key long, n long")
-        floor = max(1, int(least * tokens / 100)) if level else 1
-        rows = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()
-        keys, counts = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+class Known:
+    """What a block got back: counts by run, and the weight of the suffix by kept context."""
+
+    def __init__(self, rows: pa.Table, ends: int):
+        rest = rows.column("rest").to_numpy()
+        run, count = rows.column("run").to_numpy().view(np.uint64), rows.column("c").to_numpy().astype(float)
+        counted, lead = np.isnan(rest), rows.column("lead").to_numpy()
+        order = np.argsort(run[counted])
+        self.lead = run[counted][order][lead[counted][order]]
+        self.run, self.count = self._sorted(np.append(run[counted], END_WORD), np.append(count[counted], float(ends)))
+        self.context, self.rest = self._sorted(run[~counted], rest[~counted])
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        levels.append((candidates, keys, counts))
-        if not level:
-            sums = np.zeros(classes.count)
-            sums[keys] = counts
-            tree.set_root(sums)
-        # The contexts of the next length: this level's context with the class that followed, where frequent. Classes
-        # are packed with the latest in the lowest bits, so the new one comes in there. Nothing follows an end.
-        frequent = (counts >= max(1.0, least * tokens)) & ((keys & ((1 << CLASS_BITS) - 1) != END) | (level == 0))
-        context, after = keys[frequent] >> CLASS_BITS, keys[frequent] & ((1 << CLASS_BITS) - 1)
-        last = np.unique((context << CLASS_BITS) | after)
-    # Totals of every candidate are the counts of its tokens one level below.
-    kept: list[np.ndarray] = [np.empty(0, np.int64)] * len(levels)
-    total_of = {}
-    for level in range(1, len(levels)):
-        candidates, keys, counts = levels[level]
-        _, low_keys, low_counts = levels[level - 1]
-        totals = low_counts[_find(low_keys, candidates)].astype(float)
-        total_of[level] = totals
-        context, number = keys >> CLASS_BITS, keys & ((1 << CLASS_BITS) - 1)
-        at = _find(candidates, context)
-        share = counts / totals[at]
-        shorter = context & ((1 << (CLASS_BITS * (level - 1))) - 1)
-        if level == 1:
-            expected = tree.root[number]
-        else:
-            up_candidates, up_keys, up_counts = levels[level - 1]
-            place = _find(up_keys, (shorter << CLASS_BITS) | number)
-            floor = max(1, least * tokens / 100)
-            expected = np.where(place >= 0, up_counts[place], floor) / total_of[level - 1][_find(up_candidates, shorter)]
-        gain = np.bincount(at, weights=share * np.log(share / expected), minlength=len(candidates))
-        left = np.clip(1 - np.bincount(at, weights=share, minlength=len(candidates)), 1e-9, 1)  # all rare next classes
-        left_expected = np.clip(1 - np.bincount(at, weights=expected, minlength=len(candidates)), 1e-9, 1)
-        gain = gain + left * np.log(left / left_expected)
-        kept[level] = candidates[gain >= divergence]
-    for level in range(len(levels) - 1, 1, -1):  # suffixes of kept contexts stay
-        shorter = kept[level] & ((1 << (CLASS_BITS * (level - 1))) - 1)
-        kept[level - 1] = np.union1d(kept[level - 1], shorter)
-    for level in range(1, len(levels)):
-        candidates, keys, counts = levels[level]
-        stay = _find(kept[level], keys >> CLASS_BITS) >= 0
-        tree.add(kept[level], total_of[level][_find(candidates, kept[level])], keys[stay], counts[stay])
-    return tree
-
-
-def _scorer(tree: Tree, depth: int, tokens: int, kinds: int):
-    classes = tree.classes
-
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        word = counts.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, count = word[order], counts.column("c").to_numpy()[order]
-        out = []
+        return keys[order], values[order]
+
+    def counts(self, runs: np.ndarray) -> np.ndarray:
+        at = _find(self.run, runs)
+        return np.where(at >= 0, self.count[at], 0.0)
+
+    def rests(self, contexts: np.ndarray) -> np.ndarray:
+        """Weight of the suffix, 1 for contexts that are not kept."""
+        at = _find(self.context, contexts)
+        return np.where(at >= 0, self.rest[at], 1.0) if len(self.context) else np.ones(len(at))
+
+
+ASKED = pa.schema({"block": pa.int64(), "run": pa.int64(), "n": pa.int32(), "apart": pa.bool_()})
+
+
+def _asker(level: int, least: int, ends: int):
+    """The distinct runs of a block whose context of ``level`` tokens is frequent: how often they stand in its training
+    documents, and whether they stand in one that is held out."""
+
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known, held = Known(rows, ends), []
+        for part in words.slices(iter(texts.to_batches())):
+            runs, contexts, before, _, size = _runs(part, level)
+            at = np.flatnonzero((before >= level - 1) & (known.counts(contexts[level]) >= least))
+            apart = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), size)[at]
+            value, back = np.unique(runs[level][at], return_inverse=True)
+            held.append((value, *(np.bincount(back, weights=x, minlength=len(value)) for x in (~apart, apart))))
+        if not held:
+            return ASKED.empty_table()
+        value, n, apart = (np.concatenate(x) for x in zip(*held, strict=True))
+        value, back = np.unique(value, return_inverse=True)
+        n, apart = (np.bincount(back, weights=x, minlength=len(value)) for x in (n, apart))
+        block = np.full(len(value), texts.column("block")[0].as_py(), np.int64)
+        return pa.table([block, value.view(np.int64), n.astype(np.int32), apart > 0], ASKED)
+
+    return run
+
+
+def _summed(asked: DataFrame) -> DataFrame:
+    """``c``: the count over all blocks; ``lead``: whether the row is the one that stands for its run."""
+    over = Window.partitionBy("run")  # at most one row per block
+    asked = asked.withColumn("c", F.sum("n").over(over)).withColumn("lead", F.min("block").over(over))
+    return asked.withColumn("lead", F.col("block") == F.col("lead"))
+
+
+GAINS = {f"gain{k}": pa.float64() for k in range(len(RESTS))}
+TESTED = pa.schema({"block": pa.int64(), "context": pa.int64(), "total": pa.int64(), "over": pa.int64(), **GAINS})
+
+
+def _tester(depth: int, least: int, tokens: int, ends: int):
+    """A block's frequent contexts with their counts, and sums over the runs that the block stands for: their occurrences,
+    and what those gain on the suffix, each left out in turn, for each weight of ``RESTS``."""
+
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known, held, contexts_of = Known(rows, ends), [], []
+        for part in words.slices(iter(texts.to_batches())):
+            runs, contexts, before, _, _ = _runs(part, depth)
+            for k in range(1, depth + 1):
+                total = known.counts(contexts[k])
+                frequent = (before >= k - 1) & (total >= least)
+                context, first = np.unique(contexts[k][frequent], return_index=True)
+                contexts_of.append((context, total[frequent][first]))
+                at = np.flatnonzero(frequent & (_find(known.lead, runs[k]) >= 0))
+                value, first = np.unique(runs[k][at], return_index=True)
+                at = at[first]
+                shorter = known.counts(contexts[k - 1][at]) if k > 1 else np.full(len(at), float(tokens))
+                held.append((value, contexts[k][at], known.counts(value), total[at], known.counts(runs[k - 1][at]) / shorter))
+        if not held:
+            return TESTED.empty_table()
+        context, total = (np.concatenate(x) for x in zip(*contexts_of, strict=True))
+        context, first = np.unique(context, return_index=True)
+        total = total[first]
+        value, own, c, of, expected = (np.concatenate(x) for x in zip(*held, strict=True))
+        first = np.unique(value, return_index=True)[1]
+        own, c, of, expected = own[first], c[first], of[first], expected[first]
+        place = _find(context, own)
+        ratio = (c - 1) / (of - 1) / expected
+        gains = [np.bincount(place, weights=c * np.log((1 - rest) * ratio + rest), minlength=len(context)) for rest in RESTS]
+        over = np.bincount(place, weights=c, minlength=len(context)).astype(np.int64)
+        block = np.full(len(context), texts.column("block")[0].as_py(), np.int64)
+        return pa.table([block, context.view(np.int64), total.astype(np.int64), over, *gains], TESTED)
+
+    return run
+
+
+def _kept(tested: DataFrame, divergence: float) -> DataFrame:
+    """``block, run, rest`` of the contexts whose next words are better predicted with them."""
+    window = Window.partitionBy("context")  # at most one row per block
+    # A next word that came once is predicted by the suffix alone when it is left out.
+    once = F.col("total") - F.sum("over").over(window)
+    options = F.array(*[
+        F.struct((F.sum(f"gain{k}").over(window) + once * math.log(rest)).alias("gain"), F.lit(rest).alias("rest"))
+        for k, rest in enumerate(RESTS)
+    ])
+    best = tested.select("block", F.col("context").alias("run"), "total", F.array_max(options).alias("_"))
+    return best.where(F.col("_.gain") >= divergence * F.col("total")).select("block", "run", "_.rest")
+
+
+def _scorer(depth: int, tokens: int, kinds: int, ends: int):
+    schema = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
+              "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        known, out = Known(rows, ends), [pa.schema(list(schema.items())).empty_table()]
         for part in words.slices(iter(texts.to_batches())):
-            value, shape, bounds = _tokens(part)
-            c = count[_find(word, value)].astype(float) if len(word) else np.zeros(len(value))
-            number = classes.number(value, shape)
-            sequence, contexts, ends = _sequence(number, bounds, depth)
-            of_token = np.full(len(sequence), float(classes.ends))
-            real = np.ones(len(sequence), bool)
-            real[ends] = False
-            of_token[real] = c
-            base = np.log10((of_token + 0.5) / (tokens + 0.5 * (kinds + 1)))
-            score = np.log10(tree.probability(contexts, sequence)) + classes.within(sequence, of_token)
-            begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-            out.append(pa.table({
-                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
-                "n_tokens": np.diff(bounds) + 1,
-                "n_known": np.add.reduceat((of_token > 0).astype(np.int64), begins),
-                "train_tokens": np.full(part.num_rows, tokens, np.int64),
-                "base_score": np.add.reduceat(base, begins), "score": np.add.reduceat(score, begins),
-            }))
-        return pa.concat_tables(out) if out else None
-
-    def safe(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
-                 "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return run(texts, counts) if texts.num_rows else pa.schema(list(empty.items())).empty_table()
-
-    return safe
-
-
-def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: float = 1e-4, divergence: float = 0.02) -> DataFrame:
+            runs, contexts, before, last, size = _runs(part, depth)
+            learn = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), size)
+            of_token = known.counts(runs[0])
+            base = (of_token + 0.5) / (tokens + 0.5 * (kinds + 1))
+            chance = base.copy()
+            for k in range(1, depth + 1):
+                rest = np.where(before >= k - 1, known.rests(contexts[k]), 1.0)
+                at = np.flatnonzero(rest < 1)
+                # A run that came once, in this very document, is not sent back.
+                own = np.maximum(known.counts(runs[k][at]), learn[at]) / known.counts(contexts[k][at])
+                chance[at] = (1 - rest[at]) * own + rest[at] * chance[at]
+            begins = last - size + 1
+            columns = [
+                part.column("doc_id"), part.column("held_out"), size, np.add.reduceat((of_token > 0).astype(np.int64), begins),
+                np.full(part.num_rows, tokens, np.int64), np.add.reduceat(np.log10(base), begins), np.add.reduceat(np.log10(chance), begins),
+            ]
+            out.append(pa.table(columns, pa.schema(list(schema.items()))))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergence: float = 0.02) -> DataFrame:
     """Score every document under the tree and under single-word counts, both learned from the training documents.
 
     Takes ``doc_id, text``; returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per input
@@ -305,27 +330,30 @@ def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: float = 1e-4, div
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
     staged = shelf.put(docs.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long"), "texts")
 
-    asked = staged.mapInArrow(_word_counts, "block long, word long, shape int, n long")
-    over = Window.partitionBy("word")  # at most one row per block and task
-    counted = asked.withColumn("c", F.sum("n").over(over)).withColumn("lead", F.min("block").over(over))
-    counted = shelf.put(counted.groupBy("word", "block").agg(
-        F.first("shape").alias("shape"), F.first("c").alias("c"), F.first(F.col("block") == F.col("lead")).alias("lead")
-    ), "counts")
+    counted = shelf.put(_summed(staged.mapInArrow(_word_counts, "block long, run long, n long")), "counts")
     lexicon = counted.where("lead and c > 0")
     in_words, kinds = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = staged.where("not held_out").count()
     tokens, kinds = in_words + ends, kinds + (ends > 0)
 
-    frequent = F.col("c") >= max(1.0, tokens * OWN)
-    own = np.array([r.word for r in lexicon.where(frequent).select("word").collect()], np.int64).view(np.uint64)
-    by_end = lexicon.where(~frequent).groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()
-    shapes, sums, distinct = (np.array([r[k] for r in by_end], np.int64) for k in range(3))
-    classes = Classes(own, shapes, sums, distinct, tokens, ends)
-    tree = grow(staged, classes, depth, least, divergence)
-
+    rest = F.lit(float("nan")).alias("rest")
+    known = counted.where("c > 0").select("block", "run", "c", F.lit(False).alias("lead"), rest)
     texts = staged.select("block", "doc_id", "held_out", "text").groupBy("block")
-    scored = texts.cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(
-        _scorer(tree, depth, tokens, kinds),
+    least = max(least, 2)
+    for level in range(1, depth + 1):
+        asked = texts.cogroup(known.groupBy("block")).applyInArrow(
+            _asker(level, least, ends), "block long, run long, n int, apart boolean"
+        )
+        counted = _summed(asked).where("c > 1 or c > 0 and apart").select("block", "run", "c", (F.col("lead") & (F.col("c") > 1)).alias("lead"))
+        known = known.union(shelf.put(counted, f"level{level}").select("*", rest))
+    tested = texts.cogroup(known.groupBy("block")).applyInArrow(
+        _tester(depth, least, tokens, ends),
+        ", ".join(["block long, context long, total long, over long", *(f"{g} double" for g in GAINS)]),
+    )
+    kept = shelf.put(_kept(tested, divergence), "kept")
+    known = known.union(kept.select("block", "run", F.lit(0).cast("long"), F.lit(False), "rest"))
+    scored = texts.cogroup(known.groupBy("block")).applyInArrow(
+        _scorer(depth, tokens, kinds, ends),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
     result = keep(scored, "scores")

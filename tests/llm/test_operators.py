@@ -351,6 +351,18 @@ def test_suffix_tree_distributions_sum_to_one():
         assert math.isclose(tree.probability(packed, number).sum(), 1.0)
 
 
+def test_suffix_tree_keeps_a_phrase_in_a_larger_corpus(spark):
+    """A rare phrase is learned however much other text there is."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    phrase = "quartz umbrella gazelle fjord"
+    rows = [(i, prose(i, 300, 30) + (f" {phrase} " if k < 6 else " ") + prose(i + 1000, 300, 30)) for k, i in enumerate(ids)]
+    asked = next(i for i in range(400, 500) if zlib.crc32(str(i).encode()) % 5 == 1)
+    df = spark.createDataFrame([*rows, (asked, phrase)], "doc_id long, text string")
+    r = suffix_tree.suffix_tree_scores(df).where(F.col("doc_id") == asked).first()
+    # Three of the five tokens follow their predecessor in every one of six occurrences among 190,000 tokens.
+    assert r.score - r.base_score > 9
+
+
 def best_cost(roles, costs):
     best = []
 
