@@ -1,30 +1,34 @@
-"""Repeated lines by pairwise alignment: overlapping documents are found through shared line hashes, aligned with
+"""Repeated lines by pairwise alignment: overlapping documents are found through shared runs of lines, aligned with
 patience diff, and common blocks go from the later one.
 
-A line that few documents hold (``RARE``) is strong evidence, and all of them are paired. A line that more hold would make
-pairs in the square of their number; each of those documents is paired with the first one that holds it, which loses no
-line: whatever block a document shares over such a line, it shares with the first holder or over a rarer line. Alignment
-needs line hashes only, so texts are never joined to pairs.
+Defined result: what aligning each document with every earlier one removes. A common block has at least ``BLOCK_WORDS``
+words, and every line of it lies in a shortest run of so many words, counted on from the line or back from it, that lies in
+the block. So only documents that share such a run are paired, and a run makes no pairs in the square of its holders: all
+are aligned with its first holder, those from which that did not remove the run with its second one, and so on until
+nothing is left to try. Alignment needs line hashes only, so texts are never joined to pairs.
 
-Defined results: null text has no lines. Rows with a null id are neither paired nor changed. Of rows that share an id
-the one with the smallest text hash is compared, and only its lines go. Lines without a word are never anchors and stay.
-Other columns are ignored.
+Null text has no lines. Rows with a null id are neither paired nor changed. Of rows that share an id the one with the
+smallest text hash is compared, and only its lines go. Lines without a word stay, and count in a block. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm import words
 from tallyward.llm.staging import Shelf, keep
 
-#: Documents that may hold a line for all of them to be paired.
-RARE = 4
-#: Words that an anchor line has at least, and a block that goes.
+#: How many documents may hold a line for each to be compared with all the others: there is no limit.
+RARE = math.inf
+#: Words that a line has at least to pair documents there, and a block that goes.
 ANCHOR_WORDS, BLOCK_WORDS = 4, 8
 #: Pairs aligned at a time in a task.
 BATCH = 200
@@ -103,15 +107,53 @@ def common_lines(earlier: list[int], later: list[int], n_words: list[int], least
     return out
 
 
+def runs_of(lines: np.ndarray, n_words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, hash, first and last place of the shortest runs of ``BLOCK_WORDS`` words that begin or end at each line with
+    words. Places count only such lines, so a run has at most ``BLOCK_WORDS`` of them."""
+    total = np.concatenate(([0], np.cumsum(n_words)))
+    place = np.concatenate(([0], np.cumsum(lines != 0)))
+    full = np.flatnonzero(lines)
+    doc = np.searchsorted(bounds, full, side="right") - 1
+    last = np.searchsorted(total, total[full] + BLOCK_WORDS, side="left") - 1
+    first = np.searchsorted(total, total[full + 1] - BLOCK_WORDS, side="right") - 1
+    on, back = last < bounds[doc + 1], first >= bounds[doc]
+    doc = np.concatenate((doc[on], doc[back]))
+    first, last = np.concatenate((full[on], first[back])), np.concatenate((last[on], full[back]))
+    # As for the bytes of a word: a polynomial with the lines as coefficients, from running sums.
+    value = words.mix(lines.view(np.uint64) + np.uint64(1)) * words._powers(len(lines))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    run = words.mix((sums[last + 1] - sums[first]) * words._inverses(len(lines))[first] + (last - first).astype(np.uint64))
+    begin = place[bounds[doc]]
+    return doc, run, place[first] - begin, place[last] - begin
+
+
 def _align(batches):
+    """The places of each later document that go, counted over its lines with words."""
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH):
             part = batch.slice(start, BATCH)
             columns = [part.column(c).to_pylist() for c in ("earlier_lines", "lines", "n_words")]
-            gone = [common_lines(a, b, n, BLOCK_WORDS) for a, b, n in zip(*columns, strict=True)]
+            gone = []
+            for earlier, later, n_words in zip(*columns, strict=True):
+                place = np.cumsum(np.array(later) != 0) - 1
+                gone.append(place[np.array(common_lines(earlier, later, n_words, BLOCK_WORDS), np.int64)].tolist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
 
+def _runs(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH):
+            part = batch.slice(start, BATCH)
+            lines, n_words = part.column("lines"), part.column("n_words")
+            bounds = np.concatenate(([0], np.cumsum(lines.value_lengths().to_numpy()))).astype(np.int64)
+            doc, run, first, last = runs_of(lines.flatten().to_numpy(), n_words.flatten().to_numpy(), bounds)
+            found = np.unique(np.stack((doc, run.view(np.int64), first, last)), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(found[0])), pa.array(found[1]), *(pa.array(x.astype(np.int32)) for x in found[2:])],
+                ["doc_id", "run", "first", "last"],
+            )
+
+
 def _lines_of(docs: DataFrame) -> DataFrame:
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     listed = docs.select(
@@ -131,24 +173,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     shelf = Shelf(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     listed = shelf.put(_lines_of(docs), "lines")
-    each = listed.select("doc_id", F.explode(F.arrays_zip("lines", "n_words")).alias("_"))
-    held = each.where((F.col("_.n_words") >= ANCHOR_WORDS)).select("doc_id", F.col("_.lines").alias("line")).distinct()
-    held = shelf.put(held, "held")
-    holders = held.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    holders = shelf.put(holders, "holders")
-
-    common = held.join(holders, "line").where("doc_id > first").select("doc_id", F.col("first").alias("earlier"))
-    few = held.join(holders.where(F.col("n") <= RARE).select("line"), "line")
-    other = few.select(F.col("doc_id").alias("earlier"), "line")
-    rare = few.join(other, "line").where("doc_id > earlier").select("doc_id", "earlier")
-    pairs = common.union(rare).distinct()
-
-    paired = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
-    paired = paired.join(listed, "doc_id").select("doc_id", "earlier_lines", "lines", "n_words")
-    gone = paired.mapInArrow(_align, "doc_id long, gone array<int>").where(F.size("gone") > 0)
-    gone = gone.select("doc_id", F.explode("gone").alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    marks = F.transform("at", lambda k: F.struct(k.alias("at"), F.get("lines", k).alias("line")))
-    gone = shelf.put(gone.join(listed.select("doc_id", "lines"), "doc_id").select("doc_id", marks.alias("gone")), "gone")
+    held = shelf.put(listed.mapInArrow(_runs, "doc_id long, run long, first int, last int"), "held")
+    holders = held.groupBy("run").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("other > holder")
+    holders = shelf.put(holders.select("run", "holder"), "holders")
+    shared = open_runs = shelf.put(held.join(holders, "run").select("doc_id", "run", "first", "last", "holder"), "shared")
+    open_runs = open_runs.where("doc_id > holder")
+    gone = None
+    while gone is None or not open_runs.isEmpty():
+        pairs = open_runs.select("doc_id", F.col("holder").alias("earlier")).distinct()
+        paired = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+        paired = paired.join(listed, "doc_id").select("doc_id", "earlier_lines", "lines", "n_words")
+        found = paired.mapInArrow(_align, "doc_id long, gone array<int>").where(F.size("gone") > 0)
+        found = found.select("doc_id", F.explode("gone").alias("at"))
+        if gone is not None:
+            found = found.union(gone.select("doc_id", F.explode("at").alias("at")))
+        gone = shelf.put(found.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "gone")
+        # Runs that still stand somewhere are tried with their next holder.
+        left = F.size(F.array_except(F.sequence("first", "last"), F.coalesce("at", F.array().cast("array<int>")))) > 0
+        open_runs = shelf.put(open_runs.join(gone, "doc_id", "left").where(left).select("doc_id", "run", "first", "last", "holder"), "open")
+        now = open_runs.groupBy("run").agg(F.first("holder").alias("before"))
+        later = shared.select("run", "doc_id").join(now, "run").where("doc_id > before")
+        following = later.groupBy("run").agg(F.min("doc_id").alias("holder"))
+        open_runs = shelf.put(open_runs.drop("holder").join(following, "run").where("doc_id > holder").select("doc_id", "run", "first", "last", "holder"), "open")
+    full = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("at"), x.alias("line"))), lambda x: x["line"] != 0)
+    gone = gone.join(listed.select("doc_id", full.alias("full")), "doc_id")
+    gone = shelf.put(gone.select("doc_id", F.transform("at", lambda k: F.get("full", k)).alias("gone")), "gone")
 
     full = docs.join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<at: int, line: bigint>>")))
     full = full.withColumn("all", F.split(F.coalesce("text", F.lit("")), "\n"))

@@ -280,6 +280,35 @@ def test_line_dedup(request, tables):
             assert (r.text or "") == expected[r.doc_id]
 
 
+def lines_left(spark, texts):
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return {r.doc_id: r.text for r in got}
+
+
+def test_line_dedup_of_popular_lines(spark):
+    """A block of two lines goes however many documents hold each of them, in whatever order or number the first does."""
+    x, y = "x1 x2 x3 x4 x5", "y1 y2 y3 y4 y5"
+    for n in (4, 6, 9):
+        left = lines_left(spark, {1: x, 2: y} | {i: f"{x}\n{y}\nown {i}" for i in range(3, n + 1)})
+        assert left == {1: x, 2: y, 3: f"{x}\n{y}\nown 3"} | {i: f"own {i}" for i in range(4, n + 1)}
+    left = lines_left(spark, {1: f"{y}\n{x}\n{x}"} | {i: f"{x}\n{y}\nown {i}" for i in range(2, 8)})
+    assert left[2] == f"{x}\n{y}\nown 2" and all(left[i] == f"own {i}" for i in range(3, 8))
+
+
+def test_line_dedup_covers_every_pair(spark):
+    """The same as aligning every document with every earlier one."""
+    own = random.Random(8)
+    pool = ["", *(prose(100 + k, own.choice([1, 2, 3, 5, 9])) for k in range(14))]
+    texts = {i: "\n".join(own.choice(pool) for _ in range(own.randrange(1, 14))) for i in range(40)}
+    left = lines_left(spark, texts)
+    number = {x: k for k, x in enumerate(pool)}
+    coded = {i: [number[x] for x in t.split("\n")] for i, t in texts.items()}
+    for i, lines in coded.items():
+        n = [len(pool[k].split()) for k in lines]
+        gone = {k for e in range(i) for k in line_dedup.common_lines(coded[e], lines, n, 8)}
+        assert left[i] == "\n".join(pool[x] for k, x in enumerate(lines) if k not in gone)
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
     assert line_dedup.patience([5, 5, 1, 6], [5, 1, 5, 6]) == [(0, 0), (2, 1), (3, 3)]
