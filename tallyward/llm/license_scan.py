@@ -1,14 +1,12 @@
-"""License texts and notices inside documents, by MinHash over overlapping text windows and exact containment.
+"""License texts and notices inside documents, by exact containment of word shingles.
 
-Every template is cut into windows of one length at every place, every text into windows of the same length that overlap
-by half. An occurrence of a template therefore holds whole windows of the text that agree with one of the template's, up
-to the edits in it. Bands of minima over a window's word shingles find the template window; at similarity 0.8, where a
-window counts as the same, ``BANDS`` bands of ``ROWS`` minima miss with probability 5e-6, and a template has several windows.
-What they find is verified: the share of the template's distinct shingles in the text around the hit must reach the limit.
+A text that holds enough of a template's distinct shingles holds at least one of them, so every shingle of a text is looked
+up among those of all templates: no match can be missed, wherever its edits are and wherever it begins. What is found is
+verified: the share of the template's distinct shingles in the text around the hit must reach the limit.
 
-Short notices have windows of a single shingle at every place, and those of fewer words than a shingle are looked up whole.
-Words are runs of letters and digits in lower case. Templates are a parameter of bounded size and travel with the task; a
-document is scanned whole by one task in slices, and nothing is moved.
+Templates of fewer words than a shingle are looked up whole. Words are runs of letters and digits in lower case. Templates
+are a parameter of bounded size and travel with the task; a document is scanned whole by one task in slices, and nothing
+is moved.
 
 Defined results: null text holds nothing. Repeated rows are reported once each. Null ids are reported with a null id.
 Other columns are ignored.
@@ -26,9 +24,6 @@ from pyspark.sql import functions as F
 from tallyward.llm import words
 
 SHINGLE = 5
-BANDS, ROWS = 12, 2
-#: Lengths of longer windows, with the shortest template that surely holds a whole window of a half-overlapping cut.
-LONG = ((32, 47), (16, 23), (8, 11))
 
 # License notices as their publishers word them.
 TEMPLATES = {
@@ -58,26 +53,10 @@ TEMPLATES = {
     "All-rights-reserved": ["All rights reserved"],
 }
 
-_rng = np.random.default_rng(7062024)
-FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingles(values: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return words.runs(values, bounds, size)
 
 
-def band_keys(grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Keys of all bands for the windows of ``width`` shingles at ``starts``: one row per band."""
-    at = starts[:, None] + np.arange(width)
-    out = np.empty((BANDS, len(starts)), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = words.mix(key * np.uint64(31) + (grams * FACTORS[k])[at].min(axis=1))
-        out[band] = key
-    return out
-
-
 @dataclass
 class Template:
     number: int
@@ -87,11 +66,11 @@ class Template:
 
 
 class Index:
-    """Templates by window length: sorted band keys with the template and the place of the window in it."""
+    """Sorted shingles by their length, with the template and the place in it."""
 
     def __init__(self, templates: dict[str, list[str]]):
         self.templates: list[Template] = []
-        entries: dict[tuple[int, int], list] = {}  # (shingle length, shingles in a window)
+        entries: dict[int, list] = {}
         for name, texts in sorted(templates.items()):
             values, bounds = words.hashed(pa.array(texts, pa.string()), True, words.PLAIN_WORD)
             for k in range(len(texts)):
@@ -100,31 +79,25 @@ class Index:
                 if not n:
                     continue
                 grams, _ = shingles(own, np.array([0, n]), size)
-                width = next((w for w, least in LONG if n >= least), size) - size + 1
                 number = len(self.templates)
                 self.templates.append(Template(number, name, n, np.unique(grams)))
-                starts = np.arange(len(grams) - width + 1)
-                keys = band_keys(grams, starts, width) if width > 1 else grams[None, :]
-                entries.setdefault((size, width), []).append((keys, np.full(len(starts), number), starts))
+                entries.setdefault(size, []).append((grams, np.full(len(grams), number), np.arange(len(grams))))
         self.classes = {}
-        for kind, found in entries.items():
-            keys = np.concatenate([k for k, _, _ in found], axis=1)
-            order = np.argsort(keys, axis=1)
-            self.classes[kind] = (np.take_along_axis(keys, order, axis=1), order,
-                                  np.concatenate([t for _, t, _ in found]), np.concatenate([s for _, _, s in found]))
-
-    def hits(self, kind: tuple[int, int], keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(place of the template's begin in the flat text, template), one row per distinct hit."""
-        table, order, template, place = self.classes[kind]
-        out = []
-        for band in range(len(table)):
-            low = np.searchsorted(table[band], keys[band], side="left")
-            high = np.searchsorted(table[band], keys[band], side="right")
-            found = np.flatnonzero(high > low)
-            for k in found:
-                for e in order[band][low[k] : high[k]]:
-                    out.append((starts[k] - place[e], template[e]))
-        return np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+        for size, found in entries.items():
+            grams, number, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(grams, kind="stable")
+            self.classes[size] = grams[order], number[order], place[order]
+
+    def hits(self, size: int, grams: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(text, place of the template's begin in the flat text, template), one row per distinct hit. The text is the one
+        that holds the shingle; the template may begin before it."""
+        table, number, place = self.classes[size]
+        low = np.searchsorted(table, grams, side="left")
+        n = np.searchsorted(table, grams, side="right") - low
+        at = np.repeat(np.arange(len(grams)), n)
+        entry = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
+        doc = np.searchsorted(own, at, side="right") - 1
+        return np.unique(np.stack((doc, at - place[entry], number[entry]), axis=1), axis=0)
 
 
 def _scan(index: Index, percent: int):
@@ -132,25 +105,11 @@ def _scan(index: Index, percent: int):
         for part in words.slices(batches):
             values, bounds = words.hashed(part.column("text"), True, words.PLAIN_WORD)
             rows: list[tuple] = []
-            grams_of = {size: shingles(values, bounds, size) for size in {kind[0] for kind in index.classes}}
-            for size, width in index.classes:
-                grams, own = grams_of[size]
-                if width == 1:
-                    starts = np.arange(len(grams))
-                    keys = grams[None, :]
-                else:
-                    step = (width + size - 1) // 2
-                    inside = np.arange(len(grams)) - np.repeat(own[:-1], np.diff(own))
-                    counts = np.repeat(np.diff(own), np.diff(own))
-                    # Every half window, and the last whole one of each text.
-                    fits = inside + width <= counts
-                    starts = np.flatnonzero(fits & ((inside % step == 0) | (inside + width == counts)))
-                    keys = band_keys(grams, starts, width) if len(starts) else np.empty((BANDS, 0), np.uint64)
-                found = index.hits((size, width), keys, starts)
-                doc = np.searchsorted(own, np.maximum(found[:, 0], 0), side="right") - 1
-                for (at, number), d in zip(found, doc, strict=True):
+            for size in index.classes:
+                grams, own = shingles(values, bounds, size)
+                for d, at, number in index.hits(size, grams, own):
                     rows += _verified(index.templates[number], at, grams, own, d, size, percent)
-            yield from _reported(part, rows)
+            yield from _reported(part, rows, index.templates)
 
     return run
 
@@ -164,14 +123,15 @@ def _verified(t: Template, at: int, grams: np.ndarray, own: np.ndarray, d: int,
     return [(int(d), t.name, t.number, int(max(at - own[d], 0)), share)] if share >= percent else []
 
 
-def _reported(part: pa.RecordBatch, rows: list[tuple]):
+def _reported(part: pa.RecordBatch, rows: list[tuple], templates: list[Template]):
     """One row per text and license: hits of one template that overlap are one match."""
     best: dict[tuple[int, str], list] = {}
     last: dict[tuple[int, int], int] = {}
     for d, name, number, at, share in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
         entry = best.setdefault((d, name), [0, at, 0.0])
-        entry[0] += last.get((d, number), -10) + 3 < at
-        last[d, number] = at
+        if (d, number) not in last or last[d, number] + max(3, templates[number].n_words // 2) < at:
+            entry[0] += 1
+            last[d, number] = at
         entry[1], entry[2] = min(entry[1], at), max(entry[2], share)
     keys = sorted(best)
     ids = part.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64()))

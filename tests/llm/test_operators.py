@@ -229,6 +229,26 @@ def test_license_scan(spark, odd):
     assert license_scan.licenses(odd[0]).count() == 0
 
 
+def test_license_scan_misses_no_edit_and_no_begin(spark):
+    """Every template with a word replaced, at every place and in several alignments, is found if enough shingles are left;
+    also where the text begins inside the notice or lacks an early word, in the first row and in the second."""
+    rows, expected = [(0, "some other text of more than a few words")], set()
+    for name, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            w = "".join(c if c.isalnum() else " " for c in template.lower()).split()
+            grams = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+            edits = [[*w[:k], "zzz", *w[k + 1 :]] for k in range(len(w))] + [w[1:], w[2:], w[3:], [w[0], *w[2:]]]
+            for k, edit in enumerate(edits):
+                left = {tuple(edit[j : j + 5]) for j in range(max(len(edit) - 4, 1))}
+                for ahead in [0] if k >= len(w) else [0, 3, 7]:
+                    if 100 * len(grams & left) >= 80 * len(grams):
+                        expected.add((len(rows), name))
+                    rows.append((len(rows), " ".join([*(f"p{j}" for j in range(ahead)), *edit, "q1 q2 q3"])))
+    for own in (rows, rows[::-1]):
+        got = license_scan.licenses(spark.createDataFrame(own, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.license_id) for r in got} == expected and all(r.n_matches == 1 for r in got)
+
+
 def test_license_scan_finds_every_notice(small):
     df, texts = small
     got = {(r.doc_id, r.license_id) for r in license_scan.licenses(df).collect()}
