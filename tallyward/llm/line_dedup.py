@@ -3,9 +3,9 @@ patience diff, and common blocks go from the later one.
 
 Defined result: what aligning each document with every earlier one removes. A common block has at least ``BLOCK_WORDS``
 words, and every line of it lies in a shortest run of so many words, counted on from the line or back from it, that lies in
-the block. So only documents that share such a run are paired, and a run makes no pairs in the square of its holders: all
-are aligned with its first holder, those from which that did not remove the run with its second one, and so on until
-nothing is left to try. Alignment needs line hashes only, so texts are never joined to pairs.
+the block. So only documents that share such a run are paired: all are aligned with its first holder, those from which
+that did not remove the run with its second one, and so on until nothing is left to try. A run that no alignment removes
+is tried with every holder, one round of jobs each; this is slow where many documents hold it (see the README). Alignment needs line hashes only, so texts are never joined to pairs.
 
 Null text has no lines. Rows with a null id are neither paired nor changed. Of rows that share an id the one with the
 smallest text hash is compared, and only its lines go. Lines without a word stay, and count in a block. Other columns
