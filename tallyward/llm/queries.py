@@ -15,8 +15,10 @@ from tallyward.llm import (
     near_dup,
     ordinal,
     packing,
+    spelling,
     substring_dedup,
     suffix_tree,
+    vector_codes,
 )
 
 
@@ -66,8 +68,16 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encode(_read(spark, folder, "embeddings")).drop("label")
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op5_license_scan, op6_quality_grades,
-    op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans)}
+    op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans, op12_spelling_variants, op13_vector_codes)}
 
 ORACLE: dict[str, str] = {
     "op4_line_quality": r"""
