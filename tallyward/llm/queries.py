@@ -79,7 +79,53 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op5_license_scan, op6_quality_grades,
     op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans, op12_spelling_variants, op13_vector_codes)}
 
+def _vector_code_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry of its codebook, round by round. The distance less the part's own square is ranked."""
+    out = [f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                      WHERE len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        part AS (SELECT vec_id, p, v[p * {width} + 1 : p * {width} + {width}] AS v FROM kept, range({parts}) r(p)),
+        b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM part
+               WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""]
+    for k in range(rounds + 1):
+        out.append(f"""
+        a{k} AS (SELECT vec_id, p, min({{'d': list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v), 'e': e}}) AS best
+                 FROM part x JOIN b{k} b USING (p) GROUP BY vec_id, p)""")
+        if k < rounds:
+            out.append(f"""
+        s{k} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (
+                   SELECT p, best.e AS e, i, floor(sum(v[i]) / count(*)) AS m FROM a{k} JOIN part USING (vec_id, p), range(1, {width + 1}) r(i) GROUP BY p, best.e, i) GROUP BY p, e),
+        b{k + 1} AS (SELECT p, e, coalesce(s{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN s{k} USING (p, e))""")
+    out.append(f"""
+        c AS (SELECT vec_id, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN kept USING (vec_id), h""")
+    return ",".join(out[:-1]) + "," + out[-1]
+
+
 ORACLE: dict[str, str] = {
+    # The checksum byte by byte; near words share a deletion, or one is a deletion of the other.
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bit AS (SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
+                SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY b) AS t FROM bit WHERE k = 8),
+        run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+        own AS (SELECT doc_id, r, count(*) AS n FROM run GROUP BY doc_id, r),
+        sums AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+                        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))),
+                        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM own, tab),
+        made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word, n FROM sums),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+                 UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON rest = v.word UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON rest = v.word),
+        best AS (SELECT word, count(*) AS n_near, min({'less': -m, 'other': other}) AS b FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * v.n THEN b.other END AS form,
+                     CASE WHEN -b.less >= 2 * v.n THEN -b.less END AS form_n FROM v LEFT JOIN best USING (word)),
+        walk AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM f UNION ALL
+                 SELECT walk.word, coalesce(f.form, f.word), f.form IS NULL FROM walk JOIN f ON f.word = walk.at WHERE NOT done)
+        SELECT word, form, walk.at AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN walk USING (word) WHERE done""",
+    "op13_vector_codes": _vector_code_sql(),
     "op4_line_quality": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
