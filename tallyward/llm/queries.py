@@ -18,6 +18,7 @@ from tallyward.llm import (
     spelling,
     substring_dedup,
     suffix_tree,
+    toxicity,
     vector_codes,
 )
 
@@ -68,6 +69,11 @@ def op10_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_read(spark, folder, "documents"), width=20)
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _read(spark, folder, "labels")))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, folder, "documents"))
 
@@ -77,7 +83,7 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_repair, op2_near_duplicates, op3_packed_sequences, op4_line_quality, op5_license_scan, op6_quality_grades,
-    op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans, op12_spelling_variants, op13_vector_codes)}
+    op7_line_dedup, op8_benchmark_overlaps, op9_suffix_tree_scores, op10_repeated_spans, op11_toxicity, op12_spelling_variants, op13_vector_codes)}
 
 def _vector_code_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
     """Every part against every entry of its codebook, round by round. The distance less the part's own square is ranked."""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -88,3 +91,69 @@ def training_counts(texts, held):
         if not held(i):
             counts.update(words(t, lower=True) + [None])
     return counts
+
+
+RUN = re.compile("[a-zÀ-ÿ]+")
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(a == b[:k] + b[k + 1 :] for k in range(len(b)))
+
+
+def spelling(rows):
+    """``{word: (form, root, n, n_near, form_n)}`` from ``(doc_id, text)`` rows, by comparing all words."""
+    counts = Counter()
+    for i, text in rows:
+        for run in RUN.findall((text or "").translate(SMALL)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            k = h % len(run)
+            counts[run[:k] + run[k + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 5 and c >= 3}
+    near, form = defaultdict(list), {}
+    for a, b in combinations(n, 2):
+        if abs(len(a) - len(b)) <= 1 and _one_edit(a, b):
+            near[a].append(b)
+            near[b].append(a)
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x))
+        if n[best] >= 2 * n[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (form.get(w), root(w), c, len(near[w]), n.get(form.get(w))) for w, c in n.items()}
+
+
+def vector_codes(rows):
+    """Codes of ``(vec_id, vector, label)`` rows with ids, every part against every entry."""
+    kept = sorted((i, [math.floor(1024 * x) for x in v], c) for i, v, c in rows if v and all(x is not None and math.isfinite(x) for x in v))
+    width = len(kept[0][1]) // 4
+    parts = [[v[k * width : (k + 1) * width] for _, v, _ in kept] for k in range(4)]
+    books = [p[:256] for p in parts]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, entry, strict=True)), e) for e, entry in enumerate(book))
+
+    for _ in range(4):
+        for k in range(4):
+            groups = defaultdict(list)
+            for x in parts[k]:
+                groups[nearest(x, books[k])[1]].append(x)
+            books[k] = [[sum(c) // len(groups[e]) for c in zip(*groups[e], strict=True)] if e in groups else old for e, old in enumerate(books[k])]
+    found = [[nearest(parts[k][r], books[k]) for k in range(4)] for r in range(len(kept))]
+    by_label = Counter()
+    for (_, _, c), f in zip(kept, found, strict=True):
+        by_label[c] += sum(d for d, _ in f)
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book for x in entry).encode()).hexdigest()
+    return [
+        (i, "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), by_label[c], digest)
+        for (i, _, c), f in zip(kept, found, strict=True)
+    ]

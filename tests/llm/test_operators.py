@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tallyward.llm import (
     chat_repair, decontaminate, license_scan, line_dedup, line_quality, links, near_dup, ordinal, packing,
-    substring_dedup, suffix_tree,
+    spelling, staging, substring_dedup, suffix_tree, toxicity, vector_codes,
 )
 from tallyward.llm import queries as corpus
 
@@ -463,6 +463,136 @@ def test_operators_take_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, n string")
     for made in (
         substring_dedup.repeated_spans(none), packing.pack(none, VOCABULARY), license_scan.licenses(none),
-        line_dedup.dedup_lines(none), suffix_tree.suffix_tree_scores(none),
+        line_dedup.dedup_lines(none), suffix_tree.suffix_tree_scores(none), spelling.spelling_variants(none),
+        vector_codes.encode(vectors_of(spark, [])), vector_codes.encode(vectors_of(spark, [(1, None, 1)])),
     ):
         assert made.count() == 0
+
+
+def variants_of(df):
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.spelling_variants(df).collect()}
+
+
+def test_spelling_variants_odd(odd):
+    df, _, rows = odd
+    assert variants_of(df) == brute.spelling(rows)
+
+
+@pytest.mark.parametrize("block_rows", [1024, 3])
+def test_spelling_variants_of_dense_families(spark, monkeypatch, block_rows):
+    """Short words over a small alphabet: edits at every place, runs of one letter, chains of forms, ties; blocks cut down to one code point."""
+    monkeypatch.setattr(spelling, "BLOCK_ROWS", block_rows)
+    own = random.Random(4)
+    listed = ["".join(own.choice("aéb") for _ in range(own.randrange(4, 9))) for _ in range(400)] + ["a" * k for k in range(4, 90)]
+    rows = [(k, " ".join(own.choice(listed) for _ in range(60)) + " " + " ".join(["aaaaa"] * (k % 3) + [f"x{own.choice(listed)}-" * 4])) for k in range(150)]
+    rows += [(900, "Ab×÷ÿÀà " * 4), (None, "strasse Strasse STRASSE straße " * 2), (901, ("ß" * 200 + " ") * 5 + ("ß" * 199 + "a ") * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.spelling(rows)
+    assert any(len(x[1]) != len(w) for w, x in expected.items()) and len(expected) > 300
+    assert variants_of(df) == expected
+
+
+def test_every_pair_of_near_words_is_found_once(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "BLOCK_ROWS", 2)
+    listed = ["".join(x) for x in product("ab", repeat=6)] + ["".join(x) for x in product("ab", repeat=7)]
+    df = spark.createDataFrame([(w, 3) for w in listed], "word string, n long")
+    with staging.shelf(spark) as shelf:
+        got = {r.word: r.n_near for r in spelling.near_words(df, shelf).collect()}
+    assert got == {w: sum(brute._one_edit(w, v) for v in listed if v != w) for w in listed}
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<float>, label int, far string, parts string")
+
+
+def test_vector_codes(spark):
+    """Ties, repeated vectors, unusable ones, null labels, more and fewer rows than entries."""
+    own = np.random.default_rng(8)
+    base = np.round(own.normal(size=(40, 8)), 1).astype(np.float32)
+    rows = [(k, [float(x) for x in base[own.integers(40)] + (own.normal(size=8) * (k % 3) / 4).astype(np.float32)], [None, 1, 2][k % 3]) for k in range(420)]
+    bad = [(1000, None, 1), (1001, [1.0] * 7 + [None], 1), (1002, [float("nan")] * 8, 1), (1003, [float("inf")] + [0.0] * 7, 2), (1004, [], 1), (1005, [1.0] * 6, 1)]
+    rows32 = [(i, [float(np.float32(x)) for x in v], c) for i, v, c in rows]
+    got = vector_codes.encode(vectors_of(spark, rows + bad)).drop("label").collect()
+    assert sorted(tuple(r) for r in got) == brute.vector_codes(rows32)
+    few = vector_codes.encode(vectors_of(spark, rows[:30])).drop("label").collect()
+    assert sorted(tuple(r) for r in few) == brute.vector_codes(rows32[:30])
+    odd_ids = vector_codes.encode(vectors_of(spark, [*rows[:30], (None, rows[3][1], 1), rows[0], (7000, [1e30] * 8, None)])).collect()
+    assert len(odd_ids) == 33 and sum(r.vec_id is None for r in odd_ids) == 1
+
+
+def test_pivots_find_the_nearest_entry():
+    own = np.random.default_rng(2)
+    for scale in (3, 300, 1 << 20):
+        rows, entries = own.integers(-scale, scale, (300, 4)), own.integers(-scale, scale, (50, 4))
+        rows[:20] = entries[:20]
+        pivots = vector_codes.spread(entries, 6)
+        index, exact, n = vector_codes.nearest(rows, vector_codes.distances(rows, pivots).astype(np.float32).astype(float), entries, pivots)
+        far = ((rows[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)
+        assert (index == far.argmin(axis=1)).all() and (exact == far.min(axis=1)).all() and n <= far.size
+        assert scale == 3 or n < 0.8 * far.size
+
+
+INSULTS = ["blargh", "snurfel", "vermick"]
+
+
+def rated_texts(n, seed):
+    """One document in ten is toxic: it holds insults, some after signs or with digits for letters; half the others hold digits and capitals."""
+    own, rows = random.Random(seed), []
+    for k in range(n):
+        w = prose(seed * 100_000 + k, own.randrange(60, 300)).split()
+        toxic = int(k % 10 == 0)
+        for _ in range(own.randrange(3, 9) * toxic):
+            w[own.randrange(len(w))] = own.choice(INSULTS) + own.choice(["", "s", "er", "!", ","])
+        if k % 2:
+            w[0], w[-1] = "CAPITALS", "4ever!!"
+        rows.append((k, " ".join(w), toxic))
+    return rows
+
+
+def test_toxicity_on_held_out_documents(spark):
+    rows = rated_texts(3000, 3)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == (got[i].score >= 0.7) for i, _, _ in rows)
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p for p, y in held if y) >= 0.95 * sum(y for _, y in held)
+    assert sum(p for p, y in held if not y) <= 0.01 * len(held)
+    # Ratings of the held-out third change nothing, nor does how rows are dealt.
+    flipped = labels.withColumn("toxic", F.when(toxicity.remainder(F.col("doc_id")) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.scored(docs.repartition(7), toxicity.train(docs.repartition(5), flipped.repartition(3)))
+    assert {r.doc_id: round(r.score, 9) for r in again.collect()} == {i: round(r.score, 9) for i, r in got.items()}
+    # Insults written with digits are found by reading them as letters.
+    hidden = " ".join([*prose(5, 100).split(), *["bl4rgh", "snurf3l", "v3rmick", "bl4rgh!"] * 2])
+    assert toxicity.scored(spark.createDataFrame([(1, hidden)], "doc_id long, text string"), model).first().predicted == 1
+
+
+def test_toxicity_odd(odd):
+    df, _, rows = odd
+    labels = df.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") == 4, None).otherwise(0).alias("toxic"), F.lit(1).alias("n")).union(df.select("doc_id", F.lit(0), F.lit(2)).limit(3))
+    for rated in (labels, empty_of(labels), labels.where("toxic = 1"), labels.where("toxic = 0")):
+        got = toxicity.scored(df, toxicity.train(df, rated)).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in got)
+    assert toxicity.scored(empty_of(df), toxicity.train(empty_of(df), labels)).count() == 0
+
+
+def test_isotonic_pools_violators():
+    at, share = toxicity.isotonic(np.array([1.0, 2, 3, 4, 4, 5]), np.array([0.0, 1, 0, 1, 0, 1]))
+    assert share.tolist() == [0, 0.5, 1] and at.tolist() == [1, 3.25, 5]
+
+
+def test_trees_follow_the_gradient():
+    """The first cut of a tree is the best of all cuts, tried one by one."""
+    own = np.random.default_rng(1)
+    binned, toxic = own.integers(0, 8, (400, 3)), np.zeros(400)
+    toxic[(binned[:, 1] > 4) ^ (own.random(400) < 0.1)] = 1
+    slope, curve = toxic - 0.5, np.full(400, 0.25)
+    tree = toxicity.grow(binned, slope, curve)
+
+    def gain(k, b):
+        left = binned[:, k] <= b
+        return sum(slope[x].sum() ** 2 / (curve[x].sum() + 1) for x in (left, ~left))
+
+    assert (tree.feature[0], tree.limit[0]) == max(((k, b) for k in range(3) for b in range(7)), key=lambda x: gain(*x))
+    start, trees = toxicity.boost(binned, toxic)
+    assert ((toxicity.margins(start, trees, binned) > 0) == toxic).mean() > 0.88
