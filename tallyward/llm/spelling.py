@@ -47,6 +47,8 @@ TILE_ROWS, CELLS = 192, 1 << 21
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 FULL = 0xFFFFFFFF
+#: Bytes of text counted at once in a task.
+SLICE = 2 << 20
 #: Longest run (in bytes) whose checksum is advanced by table.
 TABLED = 64
 
@@ -67,7 +69,7 @@ def _advances() -> np.ndarray:
 def _counted(batches):
     """Words and counts of each slice of texts. Runs are told apart by 64-bit hashes inside a slice."""
     advance = _advances()
-    for part in words.slices(batches):
+    for part in words.slices(batches, most=SLICE):
         data, begins = words.bytes_of(part.column("text"))
         lead = data == 0xC3  # the letters from U+00C0 to U+00FF are this byte and one more
         inside = LETTER[data] | lead

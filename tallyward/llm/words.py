@@ -30,15 +30,15 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of at most ``SLICE_BYTES`` of text, so that memory does not follow batch sizes."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most ``most`` bytes of text, so that memory does not follow batch sizes."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size)
         start = 0
         while start < len(size):
             done = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
 
