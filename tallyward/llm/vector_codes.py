@@ -34,11 +34,11 @@ from tallyward.llm.staging import Shelf, keep, small_side
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Fixed pivots of each part position.
-PIVOTS = 8
+PIVOTS = 24
 #: Entries tried before pruning, the ones with the smallest lower bounds.
 FIRST = 4
 #: Rows handled at once in a task.
-ROWS = 1024
+ROWS = 4096
 LARGEST = 1 << 26
 #: Label sums that are broadcast at most; a row has 24 bytes.
 BROADCAST_LABELS = 100_000
@@ -79,24 +79,29 @@ def nearest(rows: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, pivots
         np.maximum(bound, np.abs(to_pivots[:, k, None] - from_pivots[None, :, k]), out=bound)
     first = min(FIRST, len(entries))
     tried = np.argpartition(bound, first - 1, axis=1)[:, :first] if first < len(entries) else np.tile(np.arange(first), (len(rows), 1))
+    # Components are narrow where the sums of their squares still fit.
+    largest = max(int(np.abs(rows).max(initial=0)), int(np.abs(entries).max()))
+    if 4 * largest * largest * rows.shape[1] < 1 << 31:
+        rows, entries = rows.astype(np.int32), entries.astype(np.int32)
     gaps = rows[:, None, :] - entries[tried]
-    exact = np.einsum("ijk,ijk->ij", gaps, gaps)
+    exact = np.einsum("ijk,ijk->ij", gaps, gaps).astype(np.int64)
     best = exact.min(axis=1)
     index = np.where(exact == best[:, None], tried, len(entries)).min(axis=1)
-    # A bound is off by rounding at most by this share of the distances it was made of.
-    slack = 1e-9 * (1 + to_pivots.max(axis=1, initial=0) + from_pivots.max(initial=0))
-    open_ = bound <= (np.sqrt(best.astype(float)) + slack)[:, None]
-    np.put_along_axis(open_, tried, False, axis=1)
-    row, entry = np.nonzero(open_)
-    if len(row):
-        gaps = rows[row] - entries[entry]
+    # A bound is off by rounding (distances to pivots are kept in 32 bits) at most by this share of the distances it was made of.
+    slack = 1e-6 * (1 + to_pivots.max(axis=1, initial=0) + from_pivots.max(initial=0))
+    limit, n = np.sqrt(best.astype(float)) + slack, tried.size
+    np.put_along_axis(bound, tried, np.inf, axis=1)
+    for e in np.argsort(bound.min(axis=0), kind="stable").tolist():
+        row = np.flatnonzero(bound[:, e] <= limit)
+        if not len(row):
+            continue
+        n += len(row)
+        gaps = rows[row] - entries[e]
         exact = np.einsum("ij,ij->i", gaps, gaps)
-        order = np.lexsort((entry, exact, row))
-        leads = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
-        r, e, d = row[leads], entry[leads], exact[leads]
-        better = (d < best[r]) | ((d == best[r]) & (e < index[r]))
-        best[r[better]], index[r[better]] = d[better], e[better]
-    return index, best, tried.size + len(row)
+        better = (exact < best[row]) | ((exact == best[row]) & (e < index[row]))
+        row, exact = row[better], exact[better]
+        best[row], index[row], limit[row] = exact, e, np.sqrt(exact.astype(float)) + slack[row]
+    return index, best, n
 
 
 def _vectors(batches):
@@ -116,7 +121,7 @@ def _pivot_distances(pivots: np.ndarray):
     def run(batches):
         for part, rows in _vectors(batches):
             far = np.concatenate([distances(_cut(rows, k), pivots[k]) for k in range(PARTS)], axis=1)
-            lists = words.list_array(far.ravel(), np.arange(len(rows) + 1) * far.shape[1])
+            lists = words.list_array(far.ravel().astype(np.float32), np.arange(len(rows) + 1) * far.shape[1])
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "far"])
 
     return run
@@ -127,7 +132,7 @@ def _assigned(book: Codebook):
 
     def run(batches):
         for part, rows in _vectors(batches):
-            far = part.column("far").flatten().to_numpy().reshape(len(rows), PARTS, -1)
+            far = part.column("far").flatten().to_numpy().astype(float).reshape(len(rows), PARTS, -1)
             found = [nearest(_cut(rows, k), far[:, k], book.entries[k], book.pivots[k]) for k in range(PARTS)]
             yield part, rows, np.stack([x[0] for x in found], axis=1), np.stack([x[1] for x in found], axis=1)
 
@@ -193,7 +198,7 @@ def train(staged: DataFrame, shelf: Shelf) -> tuple[DataFrame, Codebook] | None:
     chosen = [spread(entries[k], PIVOTS) for k in range(PARTS)]
     most = max(map(len, chosen))
     pivots = np.stack([np.concatenate((x, np.repeat(x[-1:], most - len(x), axis=0))) for x in chosen])
-    far = shelf.put(staged.mapInArrow(_pivot_distances(pivots), "vec_id long, label long, parts array<int>, far array<double>"), "pivots")
+    far = shelf.put(staged.mapInArrow(_pivot_distances(pivots), "vec_id long, label long, parts array<int>, far array<float>"), "pivots")
     for _ in range(ROUNDS):
         partial = far.mapInArrow(_sums(Codebook(entries, pivots)), "part int, entry int, place int, total long, n long")
         # At most parts x entries x places rows.
