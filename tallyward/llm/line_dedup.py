@@ -3,18 +3,21 @@ patience diff, and common blocks go from the later one.
 
 Defined result: what aligning each document with every earlier one removes. A common block has at least ``BLOCK_WORDS``
 words, and every line of it lies in a shortest run of so many words, counted on from the line or back from it, that lies in
-the block. So only documents that share such a run are paired: all are aligned with its first holder, those from which
-that did not remove the run with its second one, and so on until nothing is left to try. A run that no alignment removes
-is tried with every holder, one round of jobs each; this is slow where many documents hold it (see the README). Alignment needs line hashes only, so texts are never joined to pairs.
+the block. So only documents that share such a run are paired, and only until the run is gone.
+
+Documents with the same sequence of lines are one class: its first document stands for all, and the others lose every line
+with words (aligned with the first, all of them are one block). First documents are aligned with the first holder of each of their runs. For
+the few runs that still stand, all other earlier holders are tried, in slices of two, two, four, eight ... of them (by a
+hash of the holder), so that a run held by n documents takes at most log n rounds. Alignment needs line hashes only, so texts are
+never joined to pairs.
 
 Null text has no lines. Rows with a null id are neither paired nor changed. Of rows that share an id the one with the
-smallest text hash is compared, and only its lines go. Lines without a word stay, and count in a block. Other columns
-are ignored.
+smallest text hash is compared, and only its lines go. Lines without a word stay, and count in a block. A text of any
+length is read whole; it is one row of line hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections import Counter
 
@@ -25,11 +28,10 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import words
 from tallyward.llm.staging import Shelf, keep
+from tallyward.llm.staging import shelf as shelf_of
 
-#: How many documents may hold a line for each to be compared with all the others: there is no limit.
-RARE = math.inf
-#: Words that a line has at least to pair documents there, and a block that goes.
-ANCHOR_WORDS, BLOCK_WORDS = 4, 8
+#: Words of a block that goes, and of a run that pairs documents.
+BLOCK_WORDS = 8
 #: Pairs aligned at a time in a task.
 BATCH = 200
 
@@ -164,37 +166,72 @@ def _lines_of(docs: DataFrame) -> DataFrame:
     return one.agg(F.min_by(F.struct("lines", "n_words"), "_key").alias("_")).select("doc_id", "_.lines", "_.n_words")
 
 
+def _aligned(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """The places that go from the later documents of distinct pairs ``doc_id, earlier``: ``doc_id, at``, one row per place."""
+    paired = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+    paired = paired.join(listed, "doc_id").select("doc_id", "earlier_lines", "lines", "n_words")
+    found = paired.mapInArrow(_align, "doc_id long, gone array<int>").where(F.size("gone") > 0)
+    return found.select("doc_id", F.explode("gone").alias("at"))
+
+
+def _standing(runs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The runs of which a line is not gone."""
+    left = F.size(F.array_except(F.sequence("first", "last"), F.coalesce("at", F.array().cast("array<int>")))) > 0
+    return runs.join(gone, "doc_id", "left").where(left).select(runs.columns)
+
+
+def _slices(open_runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The holders of open runs, dealt to slices by hash: 0 holds two of them on average, and each next one as many as all
+    before it."""
+    own = shared.join(open_runs.select("run").distinct(), "run", "left_semi").select("run", F.col("doc_id").alias("earlier")).distinct()
+    sizes = own.groupBy("run").agg(F.count("*").alias("size"))
+    place = F.pmod(F.xxhash64("run", "earlier"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
+    return own.join(sizes, "run").select("run", "earlier", F.floor(F.log2(F.greatest(place, F.lit(1.0)))).cast("int").alias("slice"))
+
+
+def _removed_by_pairs(listed: DataFrame, shelf: Shelf) -> DataFrame:
+    """``doc_id, at``: the places (counted over lines with words) that go from documents of different line sequences."""
+    held = shelf.put(listed.mapInArrow(_runs, "doc_id long, run long, first int, last int"), "held")
+    holders = held.groupBy("run").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("other > holder")
+    holders = shelf.put(holders.select("run", "holder"), "holders")
+    shared = shelf.put(held.join(holders, "run").select("doc_id", "run", "first", "last", "holder"), "shared")
+    pairs = shared.where("doc_id > holder").select("doc_id", F.col("holder").alias("earlier")).distinct()
+    gone = shelf.put(_aligned(pairs, listed).groupBy("doc_id").agg(F.collect_set("at").alias("at")), "gone")
+    open_runs = shelf.put(_standing(shared.where("doc_id > holder"), gone).select("doc_id", "run", "first", "last"), "open")
+    if open_runs.isEmpty():
+        return gone
+    dealt = shelf.put(_slices(open_runs, shared), "dealt")
+    for k in sorted(r["slice"] for r in dealt.select("slice").distinct().collect()):  # at most 64 numbers
+        pairs = open_runs.join(dealt.where(F.col("slice") == k), "run").where("earlier < doc_id").select("doc_id", "earlier").distinct()
+        found = shelf.put(_aligned(pairs, listed), "found")
+        if found.isEmpty():
+            continue
+        both = found.union(gone.select("doc_id", F.explode("at").alias("at")))
+        gone = shelf.put(both.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "gone")
+        open_runs = shelf.put(_standing(open_runs, gone), "open")
+    return gone
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Remove from each document the blocks of lines that align with an earlier one (of smaller id).
 
-    Takes ``doc_id, text``; returns ``doc_id, n_lines, n_removed, words_removed, text`` per input row. Blocks are
+    Takes ``doc_id, text``; returns ``doc_id, n_lines, n_removed, words_removed, text, input_hash`` per input row, the
+    last being ``xxhash64`` of the text before. Blocks are
     judged on the input, not on what is left of it.
     """
-    shelf = Shelf(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    with shelf_of(docs.sparkSession) as shelf:
+        return _cleaned(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), shelf)
+
+
+def _cleaned(docs: DataFrame, shelf: Shelf) -> DataFrame:
     listed = shelf.put(_lines_of(docs), "lines")
-    held = shelf.put(listed.mapInArrow(_runs, "doc_id long, run long, first int, last int"), "held")
-    holders = held.groupBy("run").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("other > holder")
-    holders = shelf.put(holders.select("run", "holder"), "holders")
-    shared = open_runs = shelf.put(held.join(holders, "run").select("doc_id", "run", "first", "last", "holder"), "shared")
-    open_runs = open_runs.where("doc_id > holder")
-    gone = None
-    while gone is None or not open_runs.isEmpty():
-        pairs = open_runs.select("doc_id", F.col("holder").alias("earlier")).distinct()
-        paired = pairs.join(listed.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
-        paired = paired.join(listed, "doc_id").select("doc_id", "earlier_lines", "lines", "n_words")
-        found = paired.mapInArrow(_align, "doc_id long, gone array<int>").where(F.size("gone") > 0)
-        found = found.select("doc_id", F.explode("gone").alias("at"))
-        if gone is not None:
-            found = found.union(gone.select("doc_id", F.explode("at").alias("at")))
-        gone = shelf.put(found.groupBy("doc_id").agg(F.collect_set("at").alias("at")), "gone")
-        # Runs that still stand somewhere are tried with their next holder.
-        left = F.size(F.array_except(F.sequence("first", "last"), F.coalesce("at", F.array().cast("array<int>")))) > 0
-        open_runs = shelf.put(open_runs.join(gone, "doc_id", "left").where(left).select("doc_id", "run", "first", "last", "holder"), "open")
-        now = open_runs.groupBy("run").agg(F.first("holder").alias("before"))
-        later = shared.select("run", "doc_id").join(now, "run").where("doc_id > before")
-        following = later.groupBy("run").agg(F.min("doc_id").alias("holder"))
-        open_runs = shelf.put(open_runs.drop("holder").join(following, "run").where("doc_id > holder").select("doc_id", "run", "first", "last", "holder"), "open")
+    # Two hashes of the whole sequence tell classes apart.
+    sequence = [F.xxhash64("lines", F.lit(1)).alias("one"), F.xxhash64(F.reverse("lines"), F.lit(2)).alias("two"), F.size("lines").alias("n")]
+    leads = shelf.put(listed.groupBy(*sequence).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "leads")
+    first = shelf.put(listed.join(leads, "doc_id", "left_semi"), "first")
+    copies = listed.join(leads, "doc_id", "left_anti").where(F.aggregate("n_words", F.lit(0), lambda a, x: a + x) >= BLOCK_WORDS)
+    n_full = F.size(F.filter("lines", lambda x: x != 0))
+    gone = _removed_by_pairs(first, shelf).unionByName(copies.select("doc_id", F.sequence(F.lit(0), n_full - 1).alias("at")))
     full = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("at"), x.alias("line"))), lambda x: x["line"] != 0)
     gone = gone.join(listed.select("doc_id", full.alias("full")), "doc_id")
     gone = shelf.put(gone.select("doc_id", F.transform("at", lambda k: F.get("full", k)).alias("gone")), "gone")
@@ -208,14 +245,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     full = full.withColumn("marked", F.when(F.size("gone") > 0, marked))
     out = F.filter("marked", lambda x: x["gone"])
     stay = F.transform(F.filter("marked", lambda x: ~x["gone"]), lambda x: x["line"])
-    result = keep(
+    return keep(
         full.select(
             "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines"),
             F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_removed"),
             F.coalesce(F.aggregate(out, F.lit(0).cast("long"), lambda a, x: a + _words(x["line"])), F.lit(0)).alias("words_removed"),
-            F.coalesce(F.array_join(stay, "\n"), F.col("text")).alias("text"),
+            F.coalesce(F.array_join(stay, "\n"), F.col("text")).alias("text"), F.xxhash64("text").alias("input_hash"),
         ),
         "line_dedup",
     )
-    shelf.drop()
-    return result

@@ -54,7 +54,7 @@ def op6_quality_grades(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, folder, "documents"))
-    return out.withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+    return out.withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text", "input_hash")
 
 
 def op8_benchmark_overlaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,28 +61,56 @@ def without_repeats(texts, width):
     return out
 
 
-def lines_left(texts, common_lines, anchor_words, block_words, rare):
+def _align(one, two, i=0, j=0):
+    """Matched places of two line sequences by recursion: common ends, then lines unique to both in a longest rising
+    order (of equal ones the last, each step from the last line it can follow), then what lies between."""
+    if not one or not two:
+        return []
+    if one[0] == two[0]:
+        return [(i, j), *_align(one[1:], two[1:], i + 1, j + 1)]
+    if one[-1] == two[-1]:
+        return [*_align(one[:-1], two[:-1], i, j), (i + len(one) - 1, j + len(two) - 1)]
+    both = [(p, two.index(x)) for p, x in enumerate(one) if x and one.count(x) == 1 and two.count(x) == 1]
+    if not both:
+        return []
+    length, back = [], []
+    for n, (_, q) in enumerate(both):
+        length.append(1 + max((length[m] for m in range(n) if both[m][1] < q), default=0))
+        back.append(max((m for m in range(n) if length[m] == length[n] - 1), default=None))
+    n = max(m for m in range(len(both)) if length[m] == max(length))
+    chain = []
+    while n is not None:
+        chain.append(both[n])
+        n = back[n] if length[n] > 1 else None
+    out, a, c = [], 0, 0
+    for p, q in [*chain[::-1], (len(one), len(two))]:
+        out += _align(one[a:p], two[c:q], i + a, j + c)
+        if p < len(one):
+            out.append((i + p, j + q))
+        a, c = p + 1, q + 1
+    return out
+
+
+def lines_left(texts, block_words):
+    """What is left of each text if it is aligned with every earlier one that shares a line."""
     split = {i: (t or "").split("\n") for i, t in texts.items()}
-    holders, code = defaultdict(set), {}
-    for i, own in split.items():
-        for x in own:
-            if len(words(x)) >= anchor_words:
-                holders[x.strip(WHITE)].add(i)
-    pairs = set()
-    for ids in holders.values():
-        ids = sorted(ids)
-        pairs |= {(b, ids[0]) for b in ids[1:]}
-        if len(ids) <= rare:
-            pairs |= {(b, a) for a, b in combinations(ids, 2)}
-
-    def hashes(i):
-        bare = [x.strip(WHITE) for x in split[i]]
-        return [code.setdefault(x, len(code) + 1) if x else 0 for x in bare]
-
-    gone = defaultdict(set)
-    for b, a in pairs:
-        gone[b] |= set(common_lines(hashes(a), hashes(b), [len(words(x)) for x in split[b]], block_words))
-    return {i: "\n".join(x for k, x in enumerate(own) if k not in gone[i]) for i, own in split.items()}
+    code = {}
+    hashed = {i: [code.setdefault(x.strip(WHITE), len(code) + 1) if x.strip(WHITE) else 0 for x in own] for i, own in split.items()}
+    left = {}
+    for b, own in split.items():
+        gone = set()
+        for a in texts:
+            if a < b and set(hashed[a]) & set(hashed[b]) - {0}:
+                block = []
+                for i, j in [*_align(hashed[a], hashed[b]), (None, None)]:
+                    if not block or (i, j) != (block[-1][0] + 1, block[-1][1] + 1) if i is not None else True:
+                        if sum(len(words(own[k])) for _, k in block) >= block_words:
+                            gone |= {k for _, k in block if hashed[b][k]}
+                        block = []
+                    block.append((i, j))
+        left[b] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return left
+
 
 
 def training_counts(texts, held):

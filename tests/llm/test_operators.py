@@ -292,7 +292,7 @@ def test_ordinal_odd(odd):
 @pytest.mark.parametrize("tables", ["odd", "small"])
 def test_line_dedup(request, tables):
     df, texts, *_ = request.getfixturevalue(tables)
-    expected = brute.lines_left(texts, line_dedup.common_lines, line_dedup.ANCHOR_WORDS, line_dedup.BLOCK_WORDS, line_dedup.RARE)
+    expected = brute.lines_left(texts, line_dedup.BLOCK_WORDS)
     got = line_dedup.dedup_lines(df).collect()
     assert len(got) == df.count()
     for r in got:
@@ -315,18 +315,17 @@ def test_line_dedup_of_popular_lines(spark):
     assert left[2] == f"{x}\n{y}\nown 2" and all(left[i] == f"own {i}" for i in range(3, 8))
 
 
-def test_line_dedup_covers_every_pair(spark):
-    """The same as aligning every document with every earlier one."""
+def test_line_dedup_covers_every_pair(spark, monkeypatch):
+    """The same as aligning every document with every earlier one, in rounds whose number grows with the log of the holders."""
+    calls = []
+    aligned = line_dedup._aligned
+    monkeypatch.setattr(line_dedup, "_aligned", lambda pairs, listed: calls.append(1) or aligned(pairs, listed))
     own = random.Random(8)
     pool = ["", *(prose(100 + k, own.choice([1, 2, 3, 5, 9])) for k in range(14))]
-    texts = {i: "\n".join(own.choice(pool) for _ in range(own.randrange(1, 14))) for i in range(40)}
-    left = lines_left(spark, texts)
-    number = {x: k for k, x in enumerate(pool)}
-    coded = {i: [number[x] for x in t.split("\n")] for i, t in texts.items()}
-    for i, lines in coded.items():
-        n = [len(pool[k].split()) for k in lines]
-        gone = {k for e in range(i) for k in line_dedup.common_lines(coded[e], lines, n, 8)}
-        assert left[i] == "\n".join(pool[x] for k, x in enumerate(lines) if k not in gone)
+    texts = {i: "\n".join(own.choice(pool) for _ in range(own.randrange(1, 14))) for i in range(60)}
+    texts |= {i: texts[i % 7] for i in range(60, 75)}
+    assert lines_left(spark, texts) == brute.lines_left(texts, line_dedup.BLOCK_WORDS)
+    assert 2 <= len(calls) <= 8
 
 
 def test_patience():
