@@ -1,4 +1,12 @@
-"""Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined results: documents without an id go through every stage unchanged, except that quality, copies and leaks are never found
+for them, and they are packed under a null id. Null and empty texts hold no line, shingle or benchmark token; whether
+they stay is for the quality model to say. Rows that share an id are one document to the stages that drop: what
+is decided on the id holds for all of them. Line deduplication changes each row by its own text, so none is lost.
+Ties (equal texts) go to the smaller id. Texts are read whole, however long. An empty table passes through empty. Further
+columns are kept as they are, whatever their names, up to packing, which returns its own.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +28,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably not of the top grade go."""
     model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,13 +46,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document holds go; the character count follows. Every document stays."""
     cleaned = line_dedup.dedup_lines(docs).where("doc_id is not null and n_removed > 0")
-    new = cleaned.select("doc_id", F.col("text").alias("_text")).dropDuplicates(["doc_id"])
-    changed = F.col("_text").isNotNull()
-    columns = {"text": F.coalesce("_text", "text")}
+    row, left = _free(docs, "row"), _free(docs, "left")
+    # A row is known by its id and the hash of its text, under names that no column of the documents has.
+    new = cleaned.select(F.struct("doc_id", "input_hash").alias(row), F.col("text").alias(left)).dropDuplicates([row])
+    own = docs.withColumn(row, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("input_hash")))
+    changed = F.col(left).isNotNull()
+    columns = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.char_length("_text").cast(kind)).otherwise(F.col("n_chars"))
-    return docs.join(new, "doc_id", "left").withColumns(columns).select(docs.columns)
+        columns["n_chars"] = F.when(changed, F.char_length(left).cast(kind)).otherwise(F.col("n_chars"))
+    return own.join(new, row, "left").withColumns(columns).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
