@@ -13,6 +13,7 @@ from tallyward.functions.scalars import contains_any, drift_badge, drift_severit
 from tallyward.functions.tails import upper_gamma
 from tallyward.operators.profile import category_counts, moments
 from tallyward.operators.quantiles import exact_quantiles, melt
+from tallyward.operators.running import running
 from tallyward.operators.settling import Size, attach, measure, settle
 
 # Number of bins, share of an empty bin, weight added to each contingency cell.
@@ -23,7 +24,7 @@ CELL_WEIGHT = 1e-9
 
 def run_pairs(df: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, reference_run): each run with the run before it, null for the first. One row per run."""
-    return df.select(run).distinct().select(run, F.lag(run).over(Window.orderBy(run)).alias("reference_run"))
+    return running(df.select(run).distinct(), run, before={"reference_run": F.col(run)})
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -238,8 +239,7 @@ def with_p_value(stats: DataFrame) -> DataFrame:
 
 def accuracy_decay(errors: DataFrame, run: str = "run_id", error: str = "mape") -> DataFrame:
     """(run, mape, prior_mape, accuracy_decay_pct) from one row per run."""
-    prior = F.lag(error).over(Window.orderBy(run))
-    table = errors.select(run, error, prior.alias(f"prior_{error}"))
+    table = running(errors.select(run, error), run, before={f"prior_{error}": F.col(error)})
     decay = F.coalesce((F.col(error) - F.col(f"prior_{error}")) * 100.0, F.lit(0.0))
     return table.withColumn("accuracy_decay_pct", decay)
 

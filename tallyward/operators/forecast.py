@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import drift_multiplier
-from tallyward.operators.settling import settle
+from tallyward.operators.running import running
+from tallyward.operators.settling import settle, sized
 
 # Shortest series for a trend, spike limit, fold limits.
 TREND_PERIODS = 3
@@ -24,7 +25,8 @@ def period_totals(df: DataFrame, period: str, sums: dict[str, str], group: str |
 
 def with_index(totals: DataFrame, period: str) -> DataFrame:
     """Add ``t`` = 1..n in period order. ``totals`` holds one row per period."""
-    return totals.withColumn("t", F.row_number().over(Window.orderBy(period)))
+    indexed = running(totals, period, sums={"t": F.lit(1)})
+    return indexed.withColumn("t", F.col("t").cast("int"))
 
 
 def period_index(df: DataFrame, period: str) -> DataFrame:
@@ -32,21 +34,31 @@ def period_index(df: DataFrame, period: str) -> DataFrame:
     return with_index(df.select(period).distinct(), period)
 
 
-def densify(totals: DataFrame, period: str, group: str, value: str) -> DataFrame:
-    """One row per group and period, missing ones with 0.
+def densify(totals: DataFrame, period: str, group: str, value: str, trim: bool = False) -> DataFrame:
+    """One row per group and period, missing ones with 0; with ``trim`` only from the group's first positive period on.
 
-    The period list is a single value handed to every group, so nothing is cross joined.
+    No grid is built: every row a group has fills the gap up to its next one (or the last period of all), and the first also
+    the one before it. So a row makes as many rows as its own gap is long, and with ``trim`` nothing stands before the group's start.
+    A null group is a group; a null period is left out.
     """
-    totals = settle(totals)
-    periods = totals.agg(F.sort_array(F.collect_set(period)).alias("periods"))
-    grid = (
-        totals.select(group).distinct()
-        .withColumn("periods", periods.scalar())
-        .select(group, F.explode("periods").alias(period))
-    )
+    totals = settle(totals.where(F.col(period).isNotNull()))
+    index = settle(period_index(totals, period))
+    last = index.agg(F.max("t").alias("last"))
+    y = F.col(value)
     summed = totals.groupBy(group, period).agg(F.sum(value).alias(value))
+    own = Window.partitionBy(group).orderBy("t")
+    placed = summed.join(sized(index), period).select(group, "t", value)
+    if trim:
+        begun = F.max((y > 0).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        placed = placed.withColumn("_begun", begun).where("_begun = 1").drop("_begun")
+    following = F.coalesce(F.lead("t").over(own), last.scalar() + 1)
+    first = F.row_number().over(own) == 1
+    begin = F.col("t") if trim else F.when(first, F.lit(1)).otherwise(F.col("t"))
+    spans = placed.select(group, "t", value, following.alias("_next"), begin.alias("_begin"))
+    filled = spans.select(group, value, F.col("t").alias("_own"), F.explode(F.sequence("_begin", F.col("_next") - 1)).alias("t"))
     zero = F.lit(0).cast(dict(totals.dtypes)[value])
-    return grid.join(summed, [group, period], "left").withColumn(value, F.coalesce(F.col(value), zero))
+    told = F.when(F.col("t") == F.col("_own"), F.coalesce(y, zero)).otherwise(zero)
+    return filled.select(group, "t", told.alias(value)).join(sized(index), "t").select(group, period, "t", value)
 
 
 def trend_next(series: DataFrame, value: str, keys: Sequence[str] = (), index: str = "t") -> DataFrame:
@@ -131,13 +143,11 @@ def group_forecast(totals: DataFrame, period: str, group: str, value: str) -> Da
 
 def expanding_forecast(totals: DataFrame, period: str, value: str) -> DataFrame:
     """(period, t, actual, prediction): for every period, the trend through all periods up to it."""
-    y, t = F.col(value).cast("double"), F.col("t").cast("double")
-    so_far = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(so_far).cast("double")
-    sy, sty = F.sum(y).over(so_far), F.sum(t * y).over(so_far)
-    sums = with_index(totals, period).select(
-        period, "t", y.alias("actual"), n.alias("n"), sy.alias("sy"), sty.alias("sty")
-    )
+    y = F.col(value).cast("double")
+    # Both sums over the place come from running sums: t is the count so far.
+    indexed = with_index(totals, period).select(period, "t", y.alias("actual"))
+    counted = F.col("t").cast("double")
+    sums = running(indexed, period, sums={"sy": F.col("actual"), "sty": counted * F.col("actual")}).withColumn("n", counted)
     n = F.col("n")
     st, stt = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
     slope = F.try_divide(n * F.col("sty") - st * F.col("sy"), n * stt - st * st)
@@ -151,9 +161,8 @@ def adjusted(forecasts: DataFrame, severities: DataFrame, run: str = "run_id") -
 
     ``severities`` holds one row per run; adds ``drift_multiplier`` and ``predicted_total``.
     """
-    before = F.lag("overall_severity").over(Window.orderBy(run))
     joined = forecasts.join(severities.select(run, "overall_severity"), run, "left")
-    joined = joined.withColumn("previous_severity", before).drop("overall_severity")
+    joined = running(joined, run, before={"previous_severity": F.col("overall_severity")}).drop("overall_severity")
     factor = drift_multiplier(F.col("previous_severity"))
     return joined.withColumns(
         {"drift_multiplier": factor, "predicted_total": F.col("prediction") * factor}
@@ -166,8 +175,7 @@ def spikes(history: DataFrame, run: str = "run_id") -> DataFrame:
     The previous total is the last known of ``last_actual_total``, ``actual_total``, ``predicted_total``.
     """
     names = [c for c in ("last_actual_total", "actual_total", "predicted_total") if c in history.columns]
-    prior = F.lag(F.coalesce(*names)).over(Window.orderBy(run))
-    table = history.withColumn("prior_total", prior)
+    table = running(history, run, before={"prior_total": F.coalesce(*names)})
     above = F.col("predicted_total") > F.col("prior_total") * SPIKE_FACTOR
     return table.withColumn("is_spike", F.coalesce((F.col("prior_total") > 0) & above, F.lit(False)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import scalars
 from tallyward.operators import (
-    alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, profile, quality, quantiles,
+    alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, neighbours, profile, quality, quantiles,
     risk, rules, schema, scoring,
 )
 from tallyward.operators.settling import Size, stage
@@ -654,7 +654,7 @@ CROSS JOIN (SELECT DISTINCT quarter FROM sparse_quarters) m LEFT JOIN sparse_qua
 
 @query("dense_group_quarters", using("sparse_quarters") + f", {_dense} SELECT team, quarter, CAST(cents AS BIGINT) AS cents FROM dense")
 def dense_group_quarters(spark, d):
-    return forecast.densify(sparse_quarters(spark, d), "quarter", "team", "cents")
+    return forecast.densify(sparse_quarters(spark, d), "quarter", "team", "cents").drop("t")
 
 
 _active = """active AS (SELECT * FROM (SELECT *, MAX(CASE WHEN cents > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY team ORDER BY quarter) AS started FROM dense) x WHERE started = 1),
@@ -663,9 +663,8 @@ placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY quarter) AS a
 
 @query("active_history", using("sparse_quarters") + f", {_dense}, {_active} SELECT team, quarter, CAST(cents AS BIGINT) AS cents, active_t FROM placed")
 def active_history(spark, d):
-    dense = forecast.densify(sparse_quarters(spark, d), "quarter", "team", "cents")
-    indexed = dense.join(forecast.period_index(dense, "quarter"), "quarter")
-    kept = forecast.active_history(indexed, "team", "cents")
+    dense = forecast.densify(sparse_quarters(spark, d), "quarter", "team", "cents", trim=True)
+    kept = forecast.active_history(dense, "team", "cents")
     return kept.select("team", "quarter", "cents", F.col("active_t").cast("bigint").alias("active_t"))
 
 
@@ -1274,6 +1273,27 @@ def oversampled_balance(spark, d):
     return evaluation.class_balance(even, "busy")
 
 
+_busy = "busy AS (SELECT COALESCE(CAST(base_salary AS DOUBLE), 0) AS a, COALESCE(CAST(net_salary AS DOUBLE), 0) AS b, COALESCE(CAST(present_days AS DOUBLE), 0) AS c FROM pay WHERE overtime_hours > 18)"
+
+
+@query("minority_neighbours", using("pay") + f""", {_busy}, spots AS (SELECT a, b, c, COUNT(*) AS n FROM busy GROUP BY a, b, c),
+near AS (SELECT x.a, x.b, x.c, MIN((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c), 6) AS d FROM spots x, (SELECT a, b, c FROM spots, range(6) k(k) WHERE k < n) y GROUP BY x.a, x.b, x.c)
+SELECT {R('a', 2)} AS a, {R('b', 2)} AS b, {R('c', 2)} AS c, {R('SQRT(d[2])', 4)} AS first_gap, {R('SQRT(d[6])', 4)} AS fifth_gap FROM near
+""")
+def minority_neighbours(spark, d):
+    """The first and fifth distance of every rare record's neighbours, searched in cells so small that most reach over an edge."""
+    busy = pay(spark, d).where(F.col("overtime_hours") > 18).select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in (("base_salary", "a"), ("net_salary", "b"), ("present_days", "c"))]
+    )
+    found = neighbours.nearest(busy, ["a", "b", "c"], 5, cell_rows=100, ways=4)
+
+    def gap(k: int):
+        square = lambda i: F.pow(F.get(F.get("near", F.lit(k)), F.lit(i)) - F.get("x", F.lit(i)), F.lit(2.0))
+        return r(F.sqrt(square(0) + square(1) + square(2)), 4)
+
+    return found.select(*[r(F.get("x", F.lit(i)), 2).alias(n) for i, n in enumerate("abc")], gap(0).alias("first_gap"), gap(4).alias("fifth_gap"))
+
+
 @query("classifier_folds", "SELECT TRUE AS in_range, TRUE AS better_than_chance")
 def classifier_folds(spark, d):
     """Five folds of the full forest; its mean metrics are shares and beat a guess on records it has not seen."""

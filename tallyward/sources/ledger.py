@@ -13,6 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyward.operators.running import running
+
 RUN_EVENTS = "run_id string, step string, status string, at timestamp, file_hash string, error string"
 MODEL_EVENTS = "model_name string, version_id string, attempt int, event string, at timestamp, metric double"
 
@@ -83,8 +85,8 @@ def reference_runs(events: DataFrame) -> DataFrame:
         F.when((F.col("step") == "drift_monitoring") & (F.col("status") == "COMPLETE"), F.col("run_id"))
     )
     per_run = events.groupBy("run_id").agg(finished.alias("finished"))
-    earlier = Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
-    return per_run.select("run_id", F.max("finished").over(earlier).alias("reference_run"))
+    # Runs come in order, so the last one that finished is the largest before.
+    return running(per_run, "run_id", last_before={"reference_run": F.col("finished")}).drop("finished")
 
 
 def model_versions(events: DataFrame) -> DataFrame:
