@@ -171,6 +171,15 @@ def decay_alerts(decay: DataFrame, run: str = "run_id", error: str = "mape") ->
     return high.unionByName(severe)
 
 
+def miss_alerts(scores: DataFrame, limit: float = 50000.0, run: str = "run_id", entity: str = "model") -> DataFrame:
+    """One alert per run and model whose mean absolute error (``forecast.decay_score``) passed the limit."""
+    # Type and severity.
+    return alert_rows(
+        scores.where("decayed"), "Accuracy Decay", "HIGH", F.col(entity), "drift", F.col("drift_score"), limit,
+        "Mean absolute error of the forecast is over its limit.", run,
+    )
+
+
 def policy_alerts(policy: DataFrame, run: str = "run_id") -> DataFrame:
     """Emergency retrain notice, when a retrain ran and accuracy fell by more than 20 points."""
     hit = policy.where(F.col("retrain_triggered") & (F.col("accuracy_decay_pct") > 20.0))

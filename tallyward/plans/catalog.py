@@ -12,6 +12,7 @@ from tallyward.operators import (
     alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, neighbours, profile, quality, quantiles,
     risk, rules, schema, scoring,
 )
+from tallyward.operators.running import running
 from tallyward.operators.settling import Size, stage
 from tallyward.plans import adapters, reports
 from tallyward.plans.oracle_parts import using
@@ -617,13 +618,27 @@ SELECT p.run_id, overall_severity, CASE WHEN COALESCE(overall_severity, 'No Drif
 FROM pairs p LEFT JOIN drift USING (run_id) LEFT JOIN decay USING (run_id)
 """)
 def drift_policy(spark, d):
+    return _policy(spark, d).select(RUN, "overall_severity", "strategy_applied", "action", "retrain_triggered")
+
+
+@query("policy_alerts", using("expanding", "drift", "pairs") + f""", {_errors}
+SELECT p.run_id, 'CRITICAL_MODEL_HEALTH_ALERT' AS alert_type, 'CRITICAL' AS severity, {R('delta * 1000')} AS trigger_value
+FROM pairs p JOIN drift USING (run_id) JOIN decay USING (run_id) WHERE overall_severity <> 'No Drift' AND delta * 1000 > 20
+""")
+def policy_alerts(spark, d):
+    """Emergency retrains; the decay counts tenfold, so that some runs pass the limit."""
+    fired = alerts.policy_alerts(_policy(spark, d, 10.0))
+    return fired.select(RUN, "alert_type", "severity", r("trigger_value").alias("trigger_value"))
+
+
+def _policy(spark: SparkSession, d: str, factor: float = 1.0) -> DataFrame:
     rows = stage(swung(spark, d), "swung")
     pairs = drift.run_pairs(rows)
     severity = drift.severity_by_run(drift.psi(rows, SWUNG, pairs=pairs))
     decay = drift.accuracy_decay(forecast_errors(spark, d))
     table = pairs.join(severity, RUN, "left").join(decay.select(RUN, "accuracy_decay_pct"), RUN, "left")
-    table = table.withColumn("accuracy_decay_pct", F.coalesce("accuracy_decay_pct", F.lit(0.0)))
-    return drift.drift_policy(table).select(RUN, "overall_severity", "strategy_applied", "action", "retrain_triggered")
+    table = table.withColumn("accuracy_decay_pct", F.coalesce("accuracy_decay_pct", F.lit(0.0)) * factor)
+    return drift.drift_policy(table)
 
 
 @query("cold_start_notices", using("pairs") + "SELECT run_id, 'COLD_START_NOTICE' AS alert_type, 'INFO' AS severity FROM pairs WHERE reference_run IS NULL")
@@ -760,6 +775,18 @@ def decay_score(spark, d):
     return out.withColumn("drift_score", r(F.col("drift_score") / 1000, 3))
 
 
+@query("miss_alerts", using("expanding") + f"""
+SELECT run_id, 'Accuracy Decay' AS alert_type, 'HIGH' AS severity, 'company' AS affected_entity, {R('ABS(actual - made) / 1000', 3)} AS trigger_value
+FROM (SELECT *, LAG(prediction) OVER (ORDER BY run_id) AS made FROM expanding) e WHERE ABS(actual - made) > 50000
+""")
+def miss_alerts(spark, d):
+    """Runs whose total the forecast of the run before missed by more than the limit."""
+    history = forecast.expanding_forecast(run_totals(spark, d), RUN, "total_payroll")
+    made = running(history, RUN, before={"made": F.col("prediction")}).withColumn("model", F.lit("company"))
+    fired = alerts.miss_alerts(forecast.decay_score(made, "actual", "made", [RUN, "model"]))
+    return fired.select(RUN, "alert_type", "severity", "affected_entity", r(F.col("trigger_value") / 1000, 3).alias("trigger_value"))
+
+
 @query("forecast_report", using("forecasts") + f"""
 SELECT run_id, 'total_payroll' AS metric, 'All' AS department, {R('predicted_total / 1000', 3)} AS amount, CAST(NULL AS VARCHAR) AS flag FROM forecasts
 UNION ALL SELECT run_id, 'overtime_hours', 'All', {R('CAST(overtime_hours AS DOUBLE) / 1000', 3)}, NULL FROM run_totals
@@ -904,6 +931,22 @@ def _summary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return reports.run_summary(rows, report), report, rows
 
 
+@query("sectioned_summary", using("scored", "expanding", "drift") + f"""
+SELECT s.run_id, COUNT(*) AS total_records, COUNT(*) FILTER (WHERE risk_tier = 'HIGH') AS high_records, COUNT(*) FILTER (WHERE breaks_overtime) AS overtime_abuse_count,
+  {R('ANY_VALUE(prediction) / 1000', 3)} AS forecast_total, ANY_VALUE(overall_severity) AS drift_severity, COUNT(*) FILTER (WHERE risk_tier = 'CRITICAL') AS alerts_count
+FROM scored s LEFT JOIN expanding USING (run_id) LEFT JOIN drift USING (run_id) GROUP BY s.run_id
+""")
+def sectioned_summary(spark, d):
+    """The nested summary of every run, its sections opened; critical records stand for its alerts."""
+    summary, _, rows = _summary(spark, d)
+    told = forecast.expanding_forecast(run_totals(spark, d), RUN, "total_payroll").select(RUN, "prediction")
+    out = reports.sectioned_summary(summary, told, drift.severity_by_run(psi_table(spark, d)), rows.where("risk_tier = 'CRITICAL'"))
+    return out.select(
+        RUN, "inference.total_records", F.col("inference.risk_tiers.HIGH").alias("high_records"), "risk_monitoring.overtime_abuse_count",
+        r(F.col("forecasting.prediction") / 1000, 3).alias("forecast_total"), F.col("drift_monitoring.overall_severity").alias("drift_severity"), "alerts_count",
+    )
+
+
 @query("dashboard_figures", using("scored", "drift") + f"""
 SELECT s.run_id, COUNT(*) AS total_records, {R("AVG(CASE WHEN risk_tier IN ('HIGH', 'CRITICAL') THEN 100.0 ELSE 0.0 END)", 2)} AS anomaly_rate_pct,
   COUNT(*) FILTER (WHERE risk_tier IN ('HIGH', 'CRITICAL')) AS high_risk_cases, CASE WHEN COUNT(*) FILTER (WHERE risk_tier IN ('HIGH', 'CRITICAL')) > 0 THEN 'Action Required' ELSE 'Clear' END AS risk_label,
@@ -939,6 +982,31 @@ def entity_risk(spark, d):
     return out.select(ENTITY, "last_run_id", r("current_score").alias("current_score"), "trend", "explanation")
 
 
+_shared = f"""shared AS (SELECT *, LEFT(employee_id, 4) AS who, CASE WHEN risk_tier IN ('HIGH', 'CRITICAL') THEN {_explained} ELSE '' END AS told FROM scored),
+texts AS (SELECT run_id, who, MAX({{'rank': ROUND(score, 9), 'told': told}}).told AS told FROM shared GROUP BY run_id, who)"""
+
+
+def _shared_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Scored records of which many share an id in a run; scores rounded, so that both engines find the same ties."""
+    rows = scored(spark, d).withColumns({ENTITY: F.substring(ENTITY, 1, 4), "final_anomaly_score": F.round("final_anomaly_score", 9)})
+    return stage(rows, "shared")
+
+
+@query("shared_id_reports", using("scored") + f", {_shared} SELECT s.run_id, who AS employee_id, COUNT(*) AS n, MAX(t.told) AS explanation FROM shared s JOIN texts t USING (run_id, who) WHERE risk_tier IN ('HIGH', 'CRITICAL') GROUP BY s.run_id, who")
+def shared_id_reports(spark, d):
+    """Where an id repeats in a run, all its high-risk rows show the text of its highest-scoring record."""
+    rows = _shared_ids(spark, d)
+    out = reports.high_risk_report(reports.risk_report(rows), rows)
+    return out.groupBy(RUN, ENTITY).agg(F.count(F.lit(1)).alias("n"), F.max("explanation").alias("explanation"))
+
+
+@query("shared_id_risk", using("scored") + f", {_shared} SELECT who AS employee_id, t.run_id AS last_run_id, told AS explanation FROM texts t JOIN (SELECT who, MAX(run_id) AS run_id FROM shared GROUP BY who) l USING (who, run_id)")
+def shared_id_risk(spark, d):
+    rows = _shared_ids(spark, d)
+    register = rows.groupBy(ENTITY).agg(F.max(RUN).alias("last_run_id"))
+    return reports.entity_risk(register, rows)
+
+
 @query("latest_run_rows", using("fe") + f"SELECT employee_id, run_id, {R('salary_diff', 4)} AS salary_diff FROM fe WHERE run_id = (SELECT MAX(run_id) FROM pay)")
 def latest_run_rows(spark, d):
     return reports.of_last_run(stage(derived(spark, d), "features")).select(ENTITY, RUN, r("salary_diff", 4).alias("salary_diff"))
@@ -1388,6 +1456,18 @@ def model_health(spark, d):
     return health.select(RUN, "model_name", r("metric").alias("metric"), "promoted", r("stability_score").alias("stability_score"))
 
 
+@query("health_by_run", using("pay").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_tries}
+SELECT run_id, MAX(run_id || '-a') FILTER (WHERE model_name = 'MACHINERY') AS model_version, 'unknown' AS forecaster_version, CAST(0 AS DOUBLE) AS forecaster_mape,
+  {R("MAX(metric) FILTER (WHERE model_name = 'MACHINERY')")} AS anomaly_detector_f1 FROM walk GROUP BY run_id""")
+def health_by_run(spark, d):
+    """The detector's version and metric of every run; a model that was not trained is unknown."""
+    decided = evaluation.champion_decisions(_forecast_tries(spark, d))
+    training = decided.select(RUN, "model_name", F.col("challenger").alias("metric"), F.concat(RUN, F.lit("-a")).alias("version_id"), F.lit(None).cast("double").alias("stability_score"))
+    return reports.health_by_run(training, detector="MACHINERY", forecaster="none").select(
+        RUN, "model_version", "forecaster_version", "forecaster_mape", r("anomaly_detector_f1").alias("anomaly_detector_f1")
+    )
+
+
 @query("spike_alerts", using("forecasts") + f"""
 SELECT run_id, 'FORECAST_PAYROLL_SPIKE_ALERT' AS alert_type, {R('predicted_total / 1000', 3)} AS trigger_value, {R('prior_total * 1.2 / 1000', 3)} AS threshold_value
 FROM (SELECT *, LAG(actual) OVER (ORDER BY run_id) * CAST(0.6 AS DOUBLE) AS prior_total FROM forecasts) f WHERE predicted_total > prior_total * 1.2

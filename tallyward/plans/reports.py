@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import is_high_risk, mask_id, title_words
@@ -25,13 +25,21 @@ def risk_report(scored: DataFrame, run: str = "run_id") -> DataFrame:
     return scored.select(run, *columns)
 
 
+def _told(scored: DataFrame, score: str = "final_anomaly_score") -> Column:
+    """The explanation of the highest-scoring record of a group; of equal scores the last text in order."""
+    told = F.coalesce("explanation", F.lit(""))
+    rank = F.coalesce(F.col(score), F.lit(-1.0)) if score in scored.columns else F.lit(0.0)
+    return F.max(F.struct(rank.alias("rank"), told.alias("told"))).getField("told")
+
+
 def high_risk_report(
     report: DataFrame, scored: DataFrame, masked: bool = False, run: str = "run_id", entity: str = "employee_id"
 ) -> DataFrame:
-    """HIGH and CRITICAL rows of the report with their explanation, empty where there is none."""
-    texts = scored.where(F.col("explanation") != "").groupBy(run, F.col(entity).cast("string").alias("who")).agg(
-        F.max("explanation").alias("explanation")
-    )
+    """HIGH and CRITICAL rows of the report with their explanation, empty where there is none.
+
+    If an id repeats in a run, its rows show the text of the record with the highest score, which stands for the run.
+    """
+    texts = scored.groupBy(run, F.col(entity).cast("string").alias("who")).agg(_told(scored).alias("explanation"))
     hit = report.where(is_high_risk(F.col("risk_tier"))).withColumn("who", F.col(entity).cast("string"))
     out = hit.join(texts, [run, "who"], "left").drop("who")
     out = out.withColumn("explanation", F.coalesce("explanation", F.lit("")))
@@ -58,6 +66,25 @@ def run_summary(scored: DataFrame, report: DataFrame, run: str = "run_id") -> Da
     return records.join(flags, run, "left")
 
 
+def sectioned_summary(summary: DataFrame, forecasts: DataFrame, drifts: DataFrame, alerts: DataFrame, run: str = "run_id") -> DataFrame:
+    """One nested row per run: its records, risk counts, forecast, drift report and number of alerts.
+
+    ``forecasts`` and ``drifts`` hold at most one row per run, whose other columns become the section; a run without one has null there.
+    """
+    def section(table: DataFrame, name: str) -> DataFrame:
+        return table.select(run, F.struct(*[c for c in table.columns if c != run]).alias(name))
+
+    inference = F.struct(
+        "total_records", "anomaly_rate",
+        F.struct(*[F.col(f"{t.lower()}_count").alias(t) for t in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]).alias("risk_tiers"),
+    )
+    risks = F.struct("absenteeism_risk_count", "overtime_abuse_count", "salary_manipulation_count")
+    fired = alerts.groupBy(run).agg(F.count(F.lit(1)).alias("alerts_count"))
+    out = summary.select(run, inference.alias("inference"), risks.alias("risk_monitoring"))
+    out = out.join(section(forecasts, "forecasting"), run, "left").join(section(drifts, "drift_monitoring"), run, "left")
+    return out.join(fired, run, "left").withColumn("alerts_count", F.coalesce("alerts_count", F.lit(0)))
+
+
 def dashboard_figures(summary: DataFrame, severities: DataFrame, run: str = "run_id") -> DataFrame:
     """The headline figures with their labels, one row per run."""
     high = F.col("high_count") + F.col("critical_count")
@@ -124,9 +151,9 @@ def of_run(df: DataFrame, run_id: str, run: str = "run_id") -> DataFrame:
 
 
 def entity_risk(register: DataFrame, scored: DataFrame, masked: bool = False, entity: str = "employee_id", run: str = "run_id") -> DataFrame:
-    """Current risk of each entity with the explanation from its last run."""
+    """Current risk of each entity with the explanation from its last run, that of the record whose score stands for it."""
     texts = scored.groupBy(F.col(entity).cast("string").alias(entity), F.col(run).alias("last_run_id")).agg(
-        F.max("explanation").alias("explanation")
+        _told(scored).alias("explanation")
     )
     out = register.join(texts, [entity, "last_run_id"], "left")
     out = out.withColumn("explanation", F.coalesce("explanation", F.lit("")))
@@ -166,5 +193,25 @@ def model_health(decisions: DataFrame, folds: DataFrame, run: str = "run_id") ->
     )
 
 
+def health_by_run(
+    training: DataFrame, detector: str = "anomaly_detector", forecaster: str = "company_payroll_forecaster", run: str = "run_id"
+) -> DataFrame:
+    """(run, model_version, forecaster_version, forecaster_mape, anomaly_detector_f1, stability_score): one row per run.
+
+    ``training`` has one row per run and model, with ``version_id``, ``metric`` and ``stability_score``. The stability is the detector's.
+    """
+    def of(model: str, column: str) -> Column:
+        return F.max(F.when(F.col("model_name") == model, F.col(column)))
+
+    # What stands for a model that a run has not trained.
+    return training.groupBy(run).agg(
+        F.coalesce(of(detector, "version_id"), F.lit("unknown")).alias("model_version"),
+        F.coalesce(of(forecaster, "version_id"), F.lit("unknown")).alias("forecaster_version"),
+        F.coalesce(of(forecaster, "metric"), F.lit(0.0)).alias("forecaster_mape"),
+        F.coalesce(of(detector, "metric"), F.lit(0.0)).alias("anomaly_detector_f1"),
+        of(detector, "stability_score").alias("stability_score"),
+    )
+
+
 def schema_report(quality: DataFrame, run: str = "run_id") -> DataFrame:
     return quality.select(run, "schema_confidence", "mapped_columns", "unmapped_columns", "warnings")

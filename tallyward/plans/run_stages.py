@@ -216,7 +216,7 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
     noted = spark.createDataFrame(events, "model_name string, version_id string, attempt int, event string, metric double")
     noted = noted.select("model_name", "version_id", "attempt", "event", F.current_timestamp().alias("at"), "metric")
     store.append(noted, place.path("model_events"))
-    store.append(decided, place.path("training"))
+    store.append(decided.withColumn("version_id", F.lit(version)), place.path("training"))
     fired.append(alerts.retrain_alerts(decided))
 
 
@@ -388,6 +388,9 @@ def publish(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     counted = store.read_history(place.spark, place.path("alerts")).where(F.col(RUN) == run_id)
     summary = reports.run_summary(scored, report).withColumn("alerts_count", counted.agg(F.count(F.lit(1))).scalar())
     place.save("summary", summary)
+    told = place.history("forecasts", FORECASTS).where(F.col(RUN) == run_id).dropDuplicates([RUN])
+    found = place.history("drift", DRIFT).where(F.col(RUN) == run_id).dropDuplicates([RUN])
+    store.write_json_report(reports.sectioned_summary(summary, told, found, counted), place.path(f"reports/{run_id}/sections"))
     store.write_csv_report(report, place.path(f"reports/{run_id}/risk_report"))
     store.write_csv_report(reports.high_risk_report(report, scored), place.path(f"reports/{run_id}/high_risk"))
     total = place.run("forecasts", run_id).select(
