@@ -14,6 +14,8 @@ from tallyward.operators.settling import settle, sized
 # Shortest series for a trend, spike limit, fold limits.
 TREND_PERIODS = 3
 SPIKE_FACTOR = 1.20
+# A challenger's error has to stay below this share of the champion's.
+STANDING_SHARE = 0.95
 FEW_PERIODS, MANY_PERIODS, FOLDS = 5, 50, 5
 
 
@@ -227,6 +229,24 @@ def regression_cv(
     )
 
 
+def group_models(series: DataFrame, value: str, group: str, standing: DataFrame | None = None, index: str = "t") -> DataFrame:
+    """(group, n, slope, intercept, prediction, mape, rmse, stability_score, champion, promoted): one model per group, all in one job.
+
+    Groups with fewer than three periods have no model. ``standing`` holds the error of each group's champion (``group, standing``);
+    a model is promoted if its own is at least five percent lower, or if its group has no champion with a positive error.
+    """
+    keys = [group]
+    long_enough = series.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= TREND_PERIODS).select(group)
+    kept = settle(series.join(long_enough, group, "left_semi"))
+    fitted = trend_next(kept, value, keys, index)
+    judged = regression_cv(kept, value, keys, index).drop("n")
+    out = fitted.join(judged, group)
+    champion = F.lit(None).cast("double").alias("champion")
+    out = out.withColumn("champion", champion) if standing is None else out.join(standing.select(group, F.col("standing").alias("champion")), group, "left")
+    worse = (F.col("champion") > 0) & (F.col("mape") > F.col("champion") * STANDING_SHARE)
+    return out.withColumn("promoted", ~F.coalesce(worse, F.lit(False)))
+
+
 def decay_score(pairs: DataFrame, actual: str, predicted: str, keys: Sequence[str], limit: float = 50000.0) -> DataFrame:
     """(keys, drift_score, decayed): mean absolute error, flagged beyond a fixed limit."""
     miss = F.avg(F.abs(F.col(actual) - F.col(predicted)))

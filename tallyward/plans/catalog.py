@@ -703,6 +703,23 @@ def growth_rate(spark, d):
     return forecast.growth_rate(series, "cents", ["department"]).withColumn("growth", r("growth"))
 
 
+@query("group_models", using("segment_months") + f""", s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY department ORDER BY month) AS t FROM segment_months),
+q AS (SELECT department, t, CAST(cents AS DOUBLE) / 1e8 AS y FROM s WHERE t <= 20),
+f AS (SELECT department, COUNT(*) AS n, REGR_SLOPE(y, t) AS slope, REGR_INTERCEPT(y, t) AS icept FROM q GROUP BY department),
+o AS (SELECT a.department, a.t, ANY_VALUE(a.y) AS y, REGR_INTERCEPT(b.y, b.t) + REGR_SLOPE(b.y, b.t) * a.t AS p FROM q a JOIN q b ON a.department = b.department AND a.t <> b.t GROUP BY a.department, a.t),
+e AS (SELECT department, AVG(ABS(y - p) / y) AS mape, AVG(ABS(y - p)) AS rmse, 1 - STDDEV_POP(ABS(y - p) / y) AS steady FROM o GROUP BY department)
+SELECT department, n, {R('slope')} AS slope, {R('icept')} AS intercept, {R('mape')} AS mape, {R('rmse')} AS rmse, {R('steady')} AS stability_score,
+  mape <= 0.3 AS promoted FROM f JOIN e USING (department)
+""")
+def group_models(spark, d):
+    """A forecaster per department over its first twenty months, with leave-one-out metrics and the decision against a standing error of 0.3 / 0.95."""
+    totals = segment_months(spark, d)
+    series = totals.join(forecast.period_index(totals, "month"), "month").where("t <= 20").withColumn("y", F.col("cents") / 1e8)
+    standing = series.select("department").distinct().withColumn("standing", F.lit(0.3 / 0.95))
+    made = forecast.group_models(series, "y", "department", standing)
+    return made.select("department", "n", *[r(c).alias(c) for c in ("slope", "intercept", "mape", "rmse", "stability_score")], "promoted")
+
+
 @query("group_forecast", using("sparse_quarters") + f""", {_dense}, {_active},
 co AS (SELECT POWER(CAST(MAX_BY(c, quarter) AS DOUBLE) / MIN_BY(c, quarter), 1.0 / (COUNT(*) - 1)) - 1 AS growth FROM (SELECT quarter, SUM(cents) AS c FROM sparse_quarters GROUP BY quarter) z),
 fit AS (SELECT team, COUNT(*) AS n, REGR_INTERCEPT(CAST(cents AS DOUBLE), active_t) AS a, REGR_SLOPE(CAST(cents AS DOUBLE), active_t) AS b, MAX_BY(cents, quarter) AS last_value FROM placed GROUP BY team)
@@ -1278,10 +1295,16 @@ def _fully_scored(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score_records(decided)
 
 
-@query("forest_scored_records", using("pay") + """
+@query("forest_scored_records")
+def forest_scored_records(spark, d):
+    """Score, tier and explanation of every record. Two engines draw different forests, so no SQL; tests hold small tables against plain code."""
+    return _fully_scored(spark, d).select(*ROW, "final_anomaly_score", "risk_tier", "explanation")
+
+
+@query("forest_score_checks", using("pay") + """
 SELECT run_id, employee_id, TRUE AS score_in_range, TRUE AS tier_follows, TRUE AS explained_if_high FROM pay
 """)
-def forest_scored_records(spark, d):
+def forest_score_checks(spark, d):
     """Full scoring: contamination from the rules, forest on all features, score, tier and explanation.
 
     The forest draws by hash, so what both engines can compare is that every record is scored, and consistently.
@@ -1316,15 +1339,25 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     return rows, schema.absenteeism_features(rows)
 
 
-@query("absenteeism_scores", using("pay") + """
-SELECT run_id, employee_id, TRUE AS share_in_range, TRUE AS learned FROM pay
-""")
-def absenteeism_scores(spark, d):
-    """Every record gets a share; over all records the flag agrees with the label it was learned from."""
+def _away(spark: SparkSession, d: str) -> DataFrame:
     rows, inputs = _labelled(spark, d)
     model = classifier.fit_absenteeism(rows, inputs, "away", ROW)
     only = rows.select("away").first()[0] if model is None else None
-    out = stage(classifier.positive_share(model, rows, inputs, only).select(*ROW, "away", "absenteeism_score"), "away")
+    return stage(classifier.positive_share(model, rows, inputs, only).select(*ROW, "away", "absenteeism_score"), "away")
+
+
+@query("absenteeism_scores")
+def absenteeism_scores(spark, d):
+    """Share and flag of every record."""
+    return _away(spark, d).withColumn("absenteeism_flag", classifier.absenteeism_flag())
+
+
+@query("absenteeism_score_checks", using("pay") + """
+SELECT run_id, employee_id, TRUE AS share_in_range, TRUE AS learned FROM pay
+""")
+def absenteeism_score_checks(spark, d):
+    """Every record gets a share; over all records the flag agrees with the label it was learned from."""
+    out = _away(spark, d)
     right = out.agg(F.avg((classifier.absenteeism_flag() == F.col("away")).cast("double"))).first()[0]
     return out.select(
         *ROW, F.col("absenteeism_score").between(0, 1).alias("share_in_range"), F.lit((right or 0) > 0.9).alias("learned")
@@ -1362,8 +1395,15 @@ def minority_neighbours(spark, d):
     return found.select(*[r(F.get("x", F.lit(i)), 2).alias(n) for i, n in enumerate("abc")], gap(0).alias("first_gap"), gap(4).alias("fifth_gap"))
 
 
-@query("classifier_folds", "SELECT TRUE AS in_range, TRUE AS better_than_chance")
+@query("classifier_folds")
 def classifier_folds(spark, d):
+    """Mean metrics of five folds of the full forest."""
+    rows, inputs = _labelled(spark, d)
+    return classifier.cross_validate(rows, inputs, "away", ROW)
+
+
+@query("classifier_fold_checks", "SELECT TRUE AS in_range, TRUE AS better_than_chance")
+def classifier_fold_checks(spark, d):
     """Five folds of the full forest; its mean metrics are shares and beat a guess on records it has not seen."""
     rows, inputs = _labelled(spark, d)
     out = classifier.cross_validate(rows, inputs, "away", ROW)

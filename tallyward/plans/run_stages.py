@@ -20,7 +20,7 @@ from tallyward.operators import (
     alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, profile, quality, risk, rules,
     schema, scoring,
 )
-from tallyward.operators.settling import measure
+from tallyward.operators.settling import measure, stage
 from tallyward.plans import reports
 from tallyward.sources import ledger, readers, store
 
@@ -28,6 +28,8 @@ RUN, ENTITY = "run_id", "employee_id"
 ROW = [RUN, ENTITY]
 DETECTOR, AWAY, FORGED = "anomaly_detector", "absenteeism_classifier", "salary_manipulation_detector"
 PAYROLL = "company_payroll_forecaster"
+# Fixed value: name of the version that holds all group models.
+GROUPS = "dept_payroll_forecaster"
 
 
 @dataclass(frozen=True)
@@ -213,6 +215,16 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
     for line in outcome:
         kinds = ["registered", "promoted"] if line["promoted"] else ["registered"]
         events += [(line["model_name"], version, attempt, kind, line["challenger"]) for kind in kinds]
+    history = store.read_history(spark, place.path("features"))
+    if "department" in history.columns:
+        # One version holds the models of all groups; their parameters and metrics are a table by group.
+        grouped = forecast.period_totals(history, RUN, {"net_salary": "net_salary"}, "department")
+        placed = forecast.densify(grouped, RUN, "department", "net_salary", trim=True)
+        made = forecast.group_models(forecast.active_history(placed, "department", "net_salary"), "net_salary", "department", index="active_t")
+        made = stage(made.withColumns({RUN: F.lit(run_id), "version_id": F.lit(version)}), "group_models")
+        store.append(made, place.path("group_models"))
+        error = made.agg(F.avg("mape")).first()[0]
+        events += [(GROUPS, version, attempt, kind, error) for kind in ("registered", "promoted")]
     noted = spark.createDataFrame(events, "model_name string, version_id string, attempt int, event string, metric double")
     noted = noted.select("model_name", "version_id", "attempt", "event", F.current_timestamp().alias("at"), "metric")
     store.append(noted, place.path("model_events"))

@@ -184,3 +184,16 @@ def test_spike_uses_the_last_known_total(spark):
     df = spark.createDataFrame([("r1", 100.0, None), ("r2", 125.0, 200.0), ("r3", 241.0, None)], "run_id string, predicted_total double, actual_total double")
     got = {r["run_id"]: (r["prior_total"], r["is_spike"]) for r in forecast.spikes(df).collect()}
     assert got == {"r1": (None, False), "r2": (100.0, True), "r3": (200.0, True)}
+
+
+def test_group_models_are_made_and_judged_per_group(spark):
+    """Groups below three periods have no model; a group without a champion is promoted, others by their own error."""
+    rows = [(g, t, 10.0 * t + bump * (t % 2)) for g, n, bump in (("a", 6, 0), ("b", 6, 25), ("c", 2, 0), ("d", 4, 1)) for t in range(1, n + 1)]
+    series = spark.createDataFrame(rows, "g string, t int, y double")
+    standing = spark.createDataFrame([("a", 0.5), ("b", 0.01)], "g string, standing double")
+    got = {r.g: r for r in forecast.group_models(series, "y", "g", standing).collect()}
+    assert set(got) == {"a", "b", "d"}
+    assert got["a"].slope == pytest.approx(10) and got["a"].mape == pytest.approx(0, abs=1e-9) and got["a"].prediction == pytest.approx(70)
+    assert got["a"].promoted and not got["b"].promoted and got["d"].promoted and got["d"].champion is None
+    alone = {r.g: r for r in forecast.group_models(series.where("g = 'b'"), "y", "g").collect()}
+    assert alone["b"].mape == got["b"].mape
