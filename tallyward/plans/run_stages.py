@@ -132,6 +132,7 @@ def build_features(place: Place, path: str, run_id: str) -> None:
         *wanted, *[f"robust_z_{c}" for c in schema.numeric_columns(derived.select(*wanted))]
     ))
     table = place.run("features", run_id)
+    place.save("totals", run_totals(table))
     place.save("profiles", profile.distribution_profile(table, schema.numeric_columns(table)))
     groups = [c for c in ("department", "designation") if c in table.columns]
     if groups:
@@ -215,10 +216,9 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
     for line in outcome:
         kinds = ["registered", "promoted"] if line["promoted"] else ["registered"]
         events += [(line["model_name"], version, attempt, kind, line["challenger"]) for kind in kinds]
-    history = store.read_history(spark, place.path("features"))
-    if "department" in history.columns:
+    grouped = place.history("totals", TOTALS).where("department is not null")
+    if not grouped.isEmpty():
         # One version holds the models of all groups; their parameters and metrics are a table by group.
-        grouped = forecast.period_totals(history, RUN, {"net_salary": "net_salary"}, "department")
         placed = forecast.densify(grouped, RUN, "department", "net_salary", trim=True)
         made = forecast.group_models(forecast.active_history(placed, "department", "net_salary"), "net_salary", "department", index="active_t")
         made = stage(made.withColumns({RUN: F.lit(run_id), "version_id": F.lit(version)}), "group_models")
@@ -261,15 +261,28 @@ def score(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     fired.append(alerts.high_risk_alerts(place.run("scored", run_id)))
 
 
+# One row per run and department (null where a run has none): what forecasts need of the feature history.
+TOTALS = f"{RUN} string, department string, records bigint, net_salary double, overtime_hours double"
+
+
+def run_totals(table: DataFrame) -> DataFrame:
+    """Counts and sums of feature rows by run and department. They add up over departments, so a new run appends its own."""
+    have = set(table.columns)
+    group = F.col("department").cast("string") if "department" in have else F.lit(None).cast("string")
+    hours = F.col("overtime_hours") if "overtime_hours" in have else F.lit(0)
+    return table.groupBy(RUN, group.alias("department")).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("net_salary").cast("double").alias("net_salary"), F.sum(hours).cast("double").alias("overtime_hours")
+    )
+
+
+def rebuild_totals(place: Place) -> None:
+    """Totals of all runs from the feature history; for a base whose runs were stored before there were totals."""
+    place.save("totals", run_totals(store.read_history(place.spark, place.path("features"))))
+
+
 def _totals(place: Place) -> DataFrame:
-    history = store.read_history(place.spark, place.path("features"))
-    sums = {"total_payroll": "net_salary"}
-    if "overtime_hours" in history.columns:
-        sums["overtime_hours"] = "overtime_hours"
-    else:
-        history = history.withColumn("overtime_hours", F.lit(0))
-        sums["overtime_hours"] = "overtime_hours"
-    return forecast.period_totals(history, RUN, sums)
+    """One row per run, from the stored totals: no feature row of an earlier run is read again."""
+    return forecast.period_totals(place.history("totals", TOTALS), RUN, {"total_payroll": "net_salary", "overtime_hours": "overtime_hours"})
 
 
 FORECASTS = (
@@ -298,9 +311,8 @@ def predict(place: Place, run_id: str, fired: list[DataFrame]) -> None:
         "drift_multiplier", "actual_total", "forecast_mape",
     )
     place.save("forecasts", entry)
-    history = store.read_history(place.spark, place.path("features"))
-    if "department" in history.columns:
-        totals = forecast.period_totals(history, RUN, {"net_salary": "net_salary"}, "department")
+    totals = place.history("totals", TOTALS).where("department is not null").select(RUN, "department", "net_salary")
+    if not totals.isEmpty():
         groups = forecast.group_forecast(totals, RUN, "department", "net_salary").withColumn(RUN, F.lit(run_id))
         place.save("group_forecasts", groups)
     told = forecast.spikes(place.history("forecasts", FORECASTS)).where(F.col(RUN) == run_id)

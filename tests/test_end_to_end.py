@@ -31,6 +31,14 @@ def test_two_runs(spark, tmp_path):
     assert place.run("thresholds", "run_1997").count() == 28
     summary = place.run("summary", "run_1997").first()
     assert summary["total_records"] == place.run("features", "run_1997").count()
+    # Forecasts rest on one row per run and department, which say the same as all feature rows.
+    totals = run_stages._totals(place)
+    assert all("/totals/" in f for f in totals.inputFiles())
+    fresh = store.read_history(spark, place.path("features")).groupBy("run_id").agg(F.sum("net_salary").cast("double").alias("total"))
+    assert {r["run_id"]: r["total_payroll"] for r in totals.collect()} == {r["run_id"]: r["total"] for r in fresh.collect()}
+    before = {tuple(r) for r in place.history("totals", run_stages.TOTALS).select("run_id", "department", "records", "net_salary").collect()}
+    run_stages.rebuild_totals(place)
+    assert {tuple(r) for r in place.history("totals", run_stages.TOTALS).select("run_id", "department", "records", "net_salary").collect()} == before
     header = spark.read.csv(place.path("reports/run_1997/high_risk"), header=True).columns
     assert {"employee_id", "risk_tier", "explanation"} <= set(header)
 
