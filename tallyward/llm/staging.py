@@ -16,6 +16,7 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        self.tables: list[str] = []
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, label)
@@ -23,7 +24,19 @@ class Shelf:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def deal(self, df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+        """A stage table bucketed by a column, so that grouping by it moves no row."""
+        path = fresh_path(self.spark, label)
+        name = "stage_" + path.rsplit("-", 1)[1]
+        self.paths.append(path)
+        self.tables.append(name)
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.clear()
         for path in self.paths:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

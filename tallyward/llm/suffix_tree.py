@@ -7,40 +7,35 @@ left out in turn, is best predicted. A context is kept if that gains at least ``
 alone. A position is scored by the kept suffixes of what precedes it, from the word's own count up to the longest; the
 text's beginning counts as the end of another.
 
-Scale: what is learned grows with the corpus and is never gathered. Each block of text (``BLOCK_BYTES``) asks for the
-counts of its distinct words, then level by level for those of the runs whose context is frequent enough, and gets them
-back by one shuffle each way; runs that came once stay where they are unless a held-out document asks. Contexts are tested
-by sums over blocks. A run or context has at most one row per block. The driver gets three numbers.
+Scale: what is learned grows with the corpus and is never gathered. Texts are dealt once to blocks of ``BLOCK_BYTES``, in a
+table bucketed by block, and do not move again. Level by level each block asks for the counts of its distinct runs whose
+context is frequent enough: the sorted hashes are cut into ranges, and a range travels as one packed row. One task per range
+adds up what all blocks hold and answers each block in the order of its question, so no hash travels back. Contexts are
+tested in the same way by sums over blocks. A run or context has at most one entry per block. The driver gets two numbers.
 
 Defined results: null text is empty and has one token, its end. A null id counts as the empty text when documents are
-dealt to training and held-out ones. Without training documents all counts are zero. Other columns are ignored.
+dealt to training and held-out ones. Repeated rows are learned and scored each. Equal gains go to the larger weight of the
+suffix. A text longer than a block is a block of its own. Without training documents all counts are zero. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm import words
-from tallyward.llm.staging import Shelf, keep
+from tallyward.llm.staging import keep, shelf
 
-#: Text that shares one lookup of word counts.
+#: Text that shares its questions.
 BLOCK_BYTES = 12 << 20
 #: Weights that the suffix of a context may have.
 RESTS = (0.1, 0.3, 0.5, 0.7, 0.9)
 #: Stands for the hash of the end of a text.
 END_WORD = np.uint64(0x5851F42D4C957F2D)
-#: Share of all tokens that makes a word end a class.
-SHAPE = 1 / 10_000
-#: Bits of a class number, and the numbers of the end of a text and of all rare word ends together.
-CLASS_BITS, END, OTHER = 14, 0, 1
-#: Strength of the suffix in a smoothed distribution, in tokens.
-PRIOR = 20.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,265 +53,201 @@ def _blocks(batches):
         yield part.append_column("block", pa.array(np.full(part.num_rows, block, np.int64)))
 
 
-def _runs(part, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token, texts one after the other, each with its end: hashes of the run of ``k`` tokens and itself and of the
-    ``k`` tokens before it, by ``k``; the tokens before it in its text; where the ends are; tokens by text.
-
-    There is a context of ``k`` tokens if at least ``k - 1`` come before: the text's beginning counts as one end.
-    """
-    value, bounds = words.hashed(part.column("text"), lower=True)
-    size = np.diff(bounds) + 1
-    ends = np.cumsum(size) - 1
-    word = np.full(int(size.sum()), END_WORD)
-    real = np.ones(len(word), bool)
-    real[ends] = False
-    word[real] = value
-    before = np.arange(len(word)) - np.repeat(ends - size + 1, size)
-    runs, contexts = [word], [np.zeros(len(word), np.uint64)]
-    for k in range(1, depth + 1):
-        contexts.append(np.concatenate(([END_WORD], runs[-1]))[: len(word)])
-        runs.append(words.mix(contexts[-1] * np.uint64(words.BASE) + word + np.uint64(k)))
-    return runs, contexts, before, ends, size
-
-
-def _word_counts(batches):
-    """Per block: each distinct word with its count in training documents."""
-    block, held = None, []
-
-    def flush():
-        value, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        value, back = np.unique(value, return_inverse=True)
-        table = pa.table({
-            "block": np.full(len(value), block, np.int64), "run": value.view(np.int64),
-            "n": np.bincount(back, weights=n, minlength=len(value)).astype(np.int64),
-        })
-        yield from table.to_batches(max_chunksize=100_000)
-
-    for part in words.slices(batches):
-        blocks = part.column("block").to_numpy()
-        for own in np.unique(blocks):
-            rows = part.filter(pa.array(blocks == own))
-            if held and block != own:
-                yield from flush()
-                held = []
-            block = own
-            value, bounds = words.hashed(rows.column("text"), lower=True)
-            learn = ~rows.column("held_out").to_numpy(zero_copy_only=False)
-            held.append((value, np.repeat(learn.astype(np.int8), np.diff(bounds))))
-    if held:
-        yield from flush()
-
-
-class Classes:
-    """Numbers of word classes, and what is known of the words in each. Bounded in size; travels with the task."""
-
-    def __init__(self, own: np.ndarray, shapes: np.ndarray, sums: np.ndarray, kinds: np.ndarray, tokens: int, ends: int):
-        """``own``: hashes of frequent words; ``sums``, ``kinds``: tokens and distinct words by word end, without those."""
-        self.own = np.sort(own)
-        frequent = np.flatnonzero(sums >= max(1, tokens * SHAPE))
-        self.of_shape = np.full(1 << 16, OTHER, np.int32)
-        self.of_shape[shapes[frequent]] = 2 + len(own) + np.arange(len(frequent))
-        self.count = 2 + len(own) + len(frequent)
-        number = self.of_shape[shapes]
-        self.sums = np.bincount(number, weights=sums, minlength=self.count)
-        self.kinds = np.bincount(number, weights=kinds, minlength=self.count)
-        self.tokens, self.ends = tokens, ends
-
-    def number(self, value: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        out = self.of_shape[shape]
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, value), len(self.own) - 1)
-            out = np.where(self.own[at] == value, 2 + at, out)
-        return out.astype(np.int64)
-
-    def within(self, number: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 probability of words given their class; one more place is kept for unknown words."""
-        share = np.log10((count + 0.5) / (self.sums[number] + 0.5 * (self.kinds[number] + 1)))
-        return np.where((number == END) | ((number >= 2) & (number < 2 + len(self.own))), 0.0, share)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-class Tree:
-    """Kept contexts of each length and their smoothed next-class distributions."""
-
-    def __init__(self, classes: Classes):
-        self.classes = classes
-        self.contexts: list[np.ndarray] = []  # sorted, per length
-        self.rest: list[np.ndarray] = []  # weight of the suffix per context
-        self.keys: list[np.ndarray] = []  # sorted (context, class)
-        self.own: list[np.ndarray] = []  # what the count adds to the probability
-
-    def add(self, contexts: np.ndarray, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-        at = _find(contexts, keys >> CLASS_BITS)
-        known = np.bincount(at, weights=counts, minlength=len(contexts)) if len(keys) else np.zeros(len(contexts))
-        self.contexts.append(contexts)
-        self.rest.append((totals - known + PRIOR) / (totals + PRIOR))
-        self.keys.append(keys)
-        self.own.append(counts / (totals[at] + PRIOR) if len(keys) else counts.astype(float))
-
-    def probability(self, contexts: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Of each class after the longest kept suffix of its context, at most ``len(contexts) - 1`` long."""
-        sums = self.root
-        out = sums[number]
-        for k in range(1, min(len(contexts), len(self.contexts) + 1)):
-            at = _find(self.contexts[k - 1], contexts[k])
-            held = np.flatnonzero(at >= 0)
-            found = _find(self.keys[k - 1], (contexts[k][held] << CLASS_BITS) | number[held])
-            own = np.where(found >= 0, self.own[k - 1][found] if len(self.own[k - 1]) else 0.0, 0.0)
-            out[held] = own + self.rest[k - 1][at[held]] * out[held]
-        return out
-
-    def set_root(self, counts: np.ndarray) -> None:
-        self.root = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
-
-
-class Known:
-    """What a block got back: counts by run, and the weight of the suffix by kept context."""
-
-    def __init__(self, rows: pa.Table, ends: int):
-        rest = rows.column("rest").to_numpy()
-        run, count = rows.column("run").to_numpy().view(np.uint64), rows.column("c").to_numpy().astype(float)
-        counted, lead = np.isnan(rest), rows.column("lead").to_numpy()
-        order = np.argsort(run[counted])
-        self.lead = run[counted][order][lead[counted][order]]
-        self.run, self.count = self._sorted(np.append(run[counted], END_WORD), np.append(count[counted], float(ends)))
-        self.context, self.rest = self._sorted(run[~counted], rest[~counted])
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        return keys[order], values[order]
-
-    def counts(self, runs: np.ndarray) -> np.ndarray:
-        at = _find(self.run, runs)
-        return np.where(at >= 0, self.count[at], 0.0)
-
-    def rests(self, contexts: np.ndarray) -> np.ndarray:
-        """Weight of the suffix, 1 for contexts that are not kept."""
-        at = _find(self.context, contexts)
-        return np.where(at >= 0, self.rest[at], 1.0) if len(self.context) else np.ones(len(at))
-
-
-ASKED = pa.schema({"block": pa.int64(), "run": pa.int64(), "n": pa.int32(), "apart": pa.bool_()})
-
-
-def _asker(level: int, least: int, ends: int):
-    """The distinct runs of a block whose context of ``level`` tokens is frequent: how often they stand in its training
-    documents, and whether they stand in one that is held out."""
-
-    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        known, held = Known(rows, ends), []
-        for part in words.slices(iter(texts.to_batches())):
-            runs, contexts, before, _, size = _runs(part, level)
-            at = np.flatnonzero((before >= level - 1) & (known.counts(contexts[level]) >= least))
-            apart = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), size)[at]
-            value, back = np.unique(runs[level][at], return_inverse=True)
-            held.append((value, *(np.bincount(back, weights=x, minlength=len(value)) for x in (~apart, apart))))
-        if not held:
-            return ASKED.empty_table()
-        value, n, apart = (np.concatenate(x) for x in zip(*held, strict=True))
-        value, back = np.unique(value, return_inverse=True)
-        n, apart = (np.bincount(back, weights=x, minlength=len(value)) for x in (n, apart))
-        block = np.full(len(value), texts.column("block")[0].as_py(), np.int64)
-        return pa.table([block, value.view(np.int64), n.astype(np.int32), apart > 0], ASKED)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers, one row each, with bytes of the same place side by side, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.Codec("zstd").compress(np.ascontiguousarray(planes), asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind: type, width: int = 1) -> np.ndarray:
+    item = np.dtype(kind).itemsize * width
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, size * item, asbytes=True), np.uint8).reshape(item, size)
+    out = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return out if width == 1 else out.reshape(size, width)
+
+
+#: ``level``: length of the context, negative where contexts and not runs are asked for.
+ASKED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "keys": pa.binary(), "figures": pa.binary()})
+ANSWERED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "answer": pa.binary(), "lead": pa.binary(),
+                      "kinds": pa.int64(), "total": pa.int64()})
+ASKED_SQL = "range long, block long, level int, size int, keys binary, figures binary"
+ANSWERED_SQL = "range long, block long, level int, size int, answer binary, lead binary, kinds long, total long"
+
+
+def _questions(block: int, level: int, keys: np.ndarray, figures: np.ndarray, bits: int) -> list[tuple]:
+    """Sorted hashes and their figures, one row for each of the ``2 ** bits`` ranges of hashes that holds any."""
+    if not len(keys):
+        return []
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(keys)]
+    return [
+        (int(own[a]), block, level, b - a, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(figures[a:b]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+    ]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema)
+
+
+def _asked_keys(rows: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    """The questions in the order of their blocks, the distinct hashes' first places, each hash's number, and the bounds."""
+    asked = rows.sort_by([("block", "ascending"), ("level", "ascending")]).to_pylist()
+    keys = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint64), dtype=np.uint64) for r in asked]
+    _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return asked, first, number, np.cumsum([0, *(r["size"] for r in asked)])
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """Answers to the questions of one range: how often each run stands in training documents, and whether the block is the
+    one that stands for the run (the first that holds it)."""
+    asked, first, number, bounds = _asked_keys(rows)
+    n = np.concatenate([_unpacked(r["figures"], r["size"], np.uint32) for r in asked])
+    sums = np.bincount(number, weights=n).astype(np.uint64)
+    lead = np.zeros(len(number), bool)
+    lead[first] = True
+    figures = [(int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(asked)
+    return _table([
+        (r["range"], r["block"], r["level"], r["size"], _packed(sums[number[a:b]]), np.packbits(lead[a:b]).tobytes(), *f)
+        for r, a, b, f in zip(asked, bounds[:-1], bounds[1:], figures)
+    ], ANSWERED)
+
+
+def _judge(divergence: float):
+    """Answers for contexts: 0 if the suffix alone predicts as well, else the place of the suffix's weight, from 1."""
+    weights = np.log(RESTS)
+
+    def run(rows: pa.Table) -> pa.Table:
+        asked, first, number, bounds = _asked_keys(rows)
+        figures = np.concatenate([_unpacked(r["figures"], r["size"], np.float64, 2 + len(RESTS)) for r in asked])
+        total = figures[first, 0]
+        # A next word that came once is predicted by the suffix alone when it is left out.
+        once = total - np.bincount(number, weights=figures[:, 1])
+        gains = np.stack([np.bincount(number, weights=figures[:, 2 + k]) + once * w for k, w in enumerate(weights)])
+        best = len(RESTS) - 1 - np.argmax(gains[::-1], axis=0)
+        kept = np.where(gains.max(axis=0) >= divergence * total, best + 1, 0).astype(np.uint8)
+        return _table([
+            (r["range"], r["block"], r["level"], r["size"], _packed(kept[number[a:b]]), b"", 0, 0)
+            for r, a, b in zip(asked, bounds[:-1], bounds[1:])
+        ], ANSWERED)
 
     return run
 
 
-def _summed(asked: DataFrame) -> DataFrame:
-    """``c``: the count over all blocks; ``lead``: whether the row is the one that stands for its run."""
-    over = Window.partitionBy("run")  # at most one row per block
-    asked = asked.withColumn("c", F.sum("n").over(over)).withColumn("lead", F.min("block").over(over))
-    return asked.withColumn("lead", F.col("block") == F.col("lead"))
-
-
-GAINS = {f"gain{k}": pa.float64() for k in range(len(RESTS))}
-TESTED = pa.schema({"block": pa.int64(), "context": pa.int64(), "total": pa.int64(), "over": pa.int64(), **GAINS})
-
-
-def _tester(depth: int, least: int, tokens: int, ends: int):
-    """A block's frequent contexts with their counts, and sums over the runs that the block stands for: their occurrences,
-    and what those gain on the suffix, each left out in turn, for each weight of ``RESTS``."""
-
-    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        known, held, contexts_of = Known(rows, ends), [], []
-        for part in words.slices(iter(texts.to_batches())):
-            runs, contexts, before, _, _ = _runs(part, depth)
-            for k in range(1, depth + 1):
-                total = known.counts(contexts[k])
-                frequent = (before >= k - 1) & (total >= least)
-                context, first = np.unique(contexts[k][frequent], return_index=True)
-                contexts_of.append((context, total[frequent][first]))
-                at = np.flatnonzero(frequent & (_find(known.lead, runs[k]) >= 0))
-                value, first = np.unique(runs[k][at], return_index=True)
-                at = at[first]
-                shorter = known.counts(contexts[k - 1][at]) if k > 1 else np.full(len(at), float(tokens))
-                held.append((value, contexts[k][at], known.counts(value), total[at], known.counts(runs[k - 1][at]) / shorter))
-        if not held:
-            return TESTED.empty_table()
-        context, total = (np.concatenate(x) for x in zip(*contexts_of, strict=True))
-        context, first = np.unique(context, return_index=True)
-        total = total[first]
-        value, own, c, of, expected = (np.concatenate(x) for x in zip(*held, strict=True))
-        first = np.unique(value, return_index=True)[1]
-        own, c, of, expected = own[first], c[first], of[first], expected[first]
-        place = _find(context, own)
-        ratio = (c - 1) / (of - 1) / expected
-        gains = [np.bincount(place, weights=c * np.log((1 - rest) * ratio + rest), minlength=len(context)) for rest in RESTS]
-        over = np.bincount(place, weights=c, minlength=len(context)).astype(np.int64)
-        block = np.full(len(context), texts.column("block")[0].as_py(), np.int64)
-        return pa.table([block, context.view(np.int64), total.astype(np.int64), over, *gains], TESTED)
-
-    return run
-
+class Block:
+    """Tokens of a block's texts, one text after the other, each with its end, and what is known of their runs.
 
-def _kept(tested: DataFrame, divergence: float) -> DataFrame:
-    """``block, run, rest`` of the contexts whose next words are better predicted with them."""
-    window = Window.partitionBy("context")  # at most one row per block
-    # A next word that came once is predicted by the suffix alone when it is left out.
-    once = F.col("total") - F.sum("over").over(window)
-    options = F.array(*[
-        F.struct((F.sum(f"gain{k}").over(window) + once * math.log(rest)).alias("gain"), F.lit(rest).alias("rest"))
-        for k, rest in enumerate(RESTS)
-    ])
-    best = tested.select("block", F.col("context").alias("run"), "total", F.array_max(options).alias("_"))
-    return best.where(F.col("_.gain") >= divergence * F.col("total")).select("block", "run", "_.rest")
-
-
-def _scorer(depth: int, tokens: int, kinds: int, ends: int):
-    schema = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
-              "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-
-    def run(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        known, out = Known(rows, ends), [pa.schema(list(schema.items())).empty_table()]
-        for part in words.slices(iter(texts.to_batches())):
-            runs, contexts, before, last, size = _runs(part, depth)
-            learn = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), size)
-            of_token = known.counts(runs[0])
-            base = (of_token + 0.5) / (tokens + 0.5 * (kinds + 1))
-            chance = base.copy()
-            for k in range(1, depth + 1):
-                rest = np.where(before >= k - 1, known.rests(contexts[k]), 1.0)
-                at = np.flatnonzero(rest < 1)
-                # A run that came once, in this very document, is not sent back.
-                own = np.maximum(known.counts(runs[k][at]), learn[at]) / known.counts(contexts[k][at])
-                chance[at] = (1 - rest[at]) * own + rest[at] * chance[at]
-            begins = last - size + 1
-            columns = [
-                part.column("doc_id"), part.column("held_out"), size, np.add.reduceat((of_token > 0).astype(np.int64), begins),
-                np.full(part.num_rows, tokens, np.int64), np.add.reduceat(np.log10(base), begins), np.add.reduceat(np.log10(chance), begins),
-            ]
-            out.append(pa.table(columns, pa.schema(list(schema.items()))))
-        return pa.concat_tables(out)
+    By ``k``: ``runs``, the hash of the run of ``k`` tokens and the token itself; ``at``, the tokens that have a frequent
+    context of ``k`` tokens; ``counts``, how often the run stands in training documents, 0 where ``at`` lacks it; ``lead``,
+    one token for each run that the block stands for. There is a context of ``k`` tokens if at least ``k - 1`` come before:
+    the text's beginning counts as one end.
+    """
 
-    return run
+    def __init__(self, texts: pa.Table, least: int):
+        self.texts, self.least, self.number = texts, least, texts.column("block")[0].as_py()
+        held = [words.hashed(p.column("text"), lower=True) for p in words.slices(iter(texts.to_batches()))]
+        self.size = np.concatenate([np.diff(bounds) for _, bounds in held]) + 1
+        self.last = np.cumsum(self.size) - 1
+        word = np.full(int(self.size.sum()), END_WORD)
+        real = np.ones(len(word), bool)
+        real[self.last] = False
+        word[real] = np.concatenate([value for value, _ in held])
+        self.word, self.runs = word, [word]
+        self.before = np.arange(len(word)) - np.repeat(self.last - self.size + 1, self.size)
+        self.learn = np.repeat(~texts.column("held_out").to_numpy(), self.size)
+        self.at, self.counts, self.lead = [np.arange(len(word))], [], []
+
+    def of_context(self, k: int) -> np.ndarray:
+        """Count of the context of ``k`` tokens; that is the run that ends a token earlier."""
+        return np.concatenate((self.counts[0][self.last[:1]], self.counts[k - 1][:-1])) if k == 1 else np.concatenate(([0], self.counts[k - 1][:-1]))
+
+    def context(self, k: int) -> np.ndarray:
+        return np.concatenate(([END_WORD], self.runs[k - 1][:-1]))
+
+    def take(self, rows: pa.Table, depth: int) -> Block:
+        """Read the answers to the questions of as many levels as there are, up to ``depth``."""
+        found: dict[int, list] = {}
+        for r in rows.sort_by([("range", "ascending")]).to_pylist() if rows.num_rows else []:
+            found.setdefault(r["level"], []).append(r)
+        self.found = found
+        for k in range(depth + 1):
+            value, first, back = np.unique(self.runs[k][self.at[k]], return_index=True, return_inverse=True)
+            own = found.get(k, [])
+            c = np.concatenate([np.empty(0), *(_unpacked(r["answer"], r["size"], np.uint64) for r in own)])
+            lead = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["lead"], np.uint8), count=r["size"]) > 0 for r in own)])
+            counts = np.zeros(len(self.word))
+            counts[self.at[k]] = c[back]
+            self.counts.append(counts)
+            self.lead.append(self.at[k][first[lead]])
+            self.grow(k + 1)
+        return self
+
+    def grow(self, k: int) -> None:
+        context = self.context(k)
+        self.runs.append(words.mix(context * np.uint64(words.BASE) + self.word + np.uint64(k)))
+        self.at.append(np.flatnonzero((self.before >= k - 1) & (self.of_context(k) >= self.least)))
+
+    def ask(self, k: int, bits: int) -> pa.Table:
+        """How often the distinct runs of ``k`` tokens and one stand in the block's training documents."""
+        value, back = np.unique(self.runs[k][self.at[k]], return_inverse=True)
+        n = np.bincount(back, weights=self.learn[self.at[k]], minlength=len(value)).astype(np.uint32)
+        return _table(_questions(self.number, k, value, n, bits), ASKED)
+
+    def test(self, depth: int, tokens: int, bits: int) -> pa.Table:
+        """Frequent contexts with their counts, and sums over the runs that the block stands for: their occurrences, and
+        what those gain on the suffix, each left out in turn, for each weight of ``RESTS``."""
+        out = []
+        for k in range(1, depth + 1):
+            of, context = self.of_context(k), self.context(k)
+            value, first = np.unique(context[self.at[k]], return_index=True)
+            at = self.lead[k][self.counts[k][self.lead[k]] > 1]
+            place = np.searchsorted(value, context[at])
+            shorter = self.of_context(k - 1)[at] if k > 1 else tokens
+            c = self.counts[k][at]
+            ratio = (c - 1) / (of[at] - 1) / (self.counts[k - 1][at] / shorter)
+            sums = [c, *(c * np.log((1 - rest) * ratio + rest) for rest in RESTS)]
+            figures = np.stack([of[self.at[k][first]], *(np.bincount(place, weights=x, minlength=len(value)) for x in sums)], axis=1)
+            out += _questions(self.number, -k, value, figures, bits)
+        return _table(out, ASKED)
+
+    def score(self, depth: int, tokens: int, kinds: int) -> pa.Table:
+        base = (self.counts[0] + 0.5) / (tokens + 0.5 * (kinds + 1))
+        chance = base.copy()
+        weights = np.array([1.0, *RESTS])
+        for k in range(1, depth + 1):
+            kept = np.concatenate([np.empty(0, np.uint8), *(_unpacked(r["answer"], r["size"], np.uint8) for r in self.found.get(-k, []))])
+            at = self.at[k]
+            _, back = np.unique(self.context(k)[at], return_inverse=True)
+            rest = weights[kept[back]]
+            own = self.counts[k][at] / self.of_context(k)[at]
+            chance[at] = np.where(rest < 1, (1 - rest) * own, 0) + rest * chance[at]
+        begins = self.last - self.size + 1
+        return pa.table([
+            self.texts.column("doc_id"), self.texts.column("held_out"), self.size, np.add.reduceat((self.counts[0] > 0).astype(np.int64), begins),
+            np.full(len(self.size), tokens, np.int64), np.add.reduceat(np.log10(base), begins), np.add.reduceat(np.log10(chance), begins),
+        ], SCORED)
+
+
+SCORED = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
+                    "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()})
+SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _first_asker(least: int, bits: int):
+    return lambda texts: Block(texts, least).ask(0, bits)
+
+
+def _asker(level: int, least: int, bits: int):
+    return lambda texts, rows: Block(texts, least).take(rows, level - 1).ask(level, bits)
+
+
+def _tester(depth: int, least: int, tokens: int, bits: int):
+    return lambda texts, rows: Block(texts, least).take(rows, depth).test(depth, tokens, bits)
+
+
+def _scorer(depth: int, least: int, tokens: int, kinds: int):
+    return lambda texts, rows: Block(texts, least).take(rows, depth).score(depth, tokens, kinds)
 
 
 def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergence: float = 0.02) -> DataFrame:
@@ -325,37 +256,22 @@ def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergen
     Takes ``doc_id, text``; returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per input
     row, scores as log10 probabilities of the whole text.
     """
-    shelf = Shelf(docs.sparkSession)
+    least = max(least, 2)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    staged = shelf.put(docs.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long"), "texts")
-
-    counted = shelf.put(_summed(staged.mapInArrow(_word_counts, "block long, run long, n long")), "counts")
-    lexicon = counted.where("lead and c > 0")
-    in_words, kinds = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = staged.where("not held_out").count()
-    tokens, kinds = in_words + ends, kinds + (ends > 0)
-
-    rest = F.lit(float("nan")).alias("rest")
-    known = counted.where("c > 0").select("block", "run", "c", F.lit(False).alias("lead"), rest)
-    texts = staged.select("block", "doc_id", "held_out", "text").groupBy("block")
-    least = max(least, 2)
-    for level in range(1, depth + 1):
-        asked = texts.cogroup(known.groupBy("block")).applyInArrow(
-            _asker(level, least, ends), "block long, run long, n int, apart boolean"
-        )
-        counted = _summed(asked).where("c > 1 or c > 0 and apart").select("block", "run", "c", (F.col("lead") & (F.col("c") > 1)).alias("lead"))
-        known = known.union(shelf.put(counted, f"level{level}").select("*", rest))
-    tested = texts.cogroup(known.groupBy("block")).applyInArrow(
-        _tester(depth, least, tokens, ends),
-        ", ".join(["block long, context long, total long, over long", *(f"{g} double" for g in GAINS)]),
-    )
-    kept = shelf.put(_kept(tested, divergence), "kept")
-    known = known.union(kept.select("block", "run", F.lit(0).cast("long"), F.lit(False), "rest"))
-    scored = texts.cogroup(known.groupBy("block")).applyInArrow(
-        _scorer(depth, tokens, kinds, ends),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
-    result = keep(scored, "scores")
-    shelf.drop()
-    return result
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = size // BLOCK_BYTES + 1
+    bits = (buckets - 1).bit_length()
+    with shelf(docs.sparkSession) as own:
+        dealt = docs.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long")
+        texts = own.deal(dealt, "texts", "block", buckets).groupBy("block")
+        asked = texts.applyInArrow(_first_asker(least, bits), ASKED_SQL)
+        known = own.put(asked.groupBy("range").applyInArrow(_counted, ANSWERED_SQL), "words")
+        kinds, tokens = known.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        for level in range(1, depth + 1):
+            asked = texts.cogroup(known.groupBy("block")).applyInArrow(_asker(level, least, bits), ASKED_SQL)
+            known = known.union(own.put(asked.groupBy("range").applyInArrow(_counted, ANSWERED_SQL), f"level{level}"))
+        asked = texts.cogroup(known.groupBy("block")).applyInArrow(_tester(depth, least, tokens, bits), ASKED_SQL)
+        known = known.union(own.put(asked.groupBy("range").applyInArrow(_judge(divergence), ANSWERED_SQL), "kept"))
+        scored = texts.cogroup(known.groupBy("block")).applyInArrow(_scorer(depth, least, tokens, kinds), SCORED_SQL)
+        return keep(scored, "scores")

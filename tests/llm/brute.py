@@ -121,6 +121,45 @@ def training_counts(texts, held):
     return counts
 
 
+def suffix_tree(rows, held, depth=3, least=3, divergence=0.02):
+    """Base score and score of each (id, text): every run of a training text is counted, nothing is hashed."""
+    texts = [[None, *words(t, lower=True), None] for _, t in rows]
+    counts = Counter()
+    for (i, _), x in zip(rows, texts, strict=True):
+        if not held(i):
+            counts.update(tuple(x[j - k : j + 1]) for j in range(1, len(x)) for k in range(min(depth, j) + 1))
+    total = sum(c for r, c in counts.items() if len(r) == 1)
+    kinds = sum(len(r) == 1 for r in counts)
+    repeated = defaultdict(list)
+    for run, c in counts.items():
+        if len(run) > 1 and counts[run[:-1]] >= least and c > 1:
+            repeated[run[:-1]].append(run)
+    weight = {}
+    for context, runs in repeated.items():
+        of, options = counts[context], []
+        for rest in (0.1, 0.3, 0.5, 0.7, 0.9):
+            gain = (of - sum(counts[r] for r in runs)) * math.log(rest)
+            for r in runs:
+                shorter = counts[r[1:]] / (counts[r[1:-1]] if len(r) > 2 else total)
+                gain += counts[r] * math.log((1 - rest) * (counts[r] - 1) / (of - 1) / shorter + rest)
+            options.append((gain, rest))
+        if max(options)[0] >= divergence * of:
+            weight[context] = max(options)[1]
+    out = []
+    for x in texts:
+        base = score = 0.0
+        for j in range(1, len(x)):
+            p = (counts[(x[j],)] + 0.5) / (total + 0.5 * (kinds + 1))
+            base += math.log10(p)
+            for k in range(1, min(depth, j) + 1):
+                context = tuple(x[j - k : j])
+                if context in weight:
+                    p = (1 - weight[context]) * counts[(*context, x[j])] / counts[context] + weight[context] * p
+            score += math.log10(p)
+        out.append((base, score))
+    return out
+
+
 RUN = re.compile("[a-zÀ-ÿ]+")
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

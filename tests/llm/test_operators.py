@@ -385,18 +385,29 @@ def test_suffix_tree_scores(request, tables):
         assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
 
 
-def test_suffix_tree_distributions_sum_to_one():
-    classes = suffix_tree.Classes(np.array([5, 9], np.uint64), np.array([70, 80]), np.array([40, 60]), np.array([4, 6]), 300, 20)
-    tree = suffix_tree.Tree(classes)
-    tree.set_root(np.array([20.0, 0, 80, 100, 40, 60]))
-    bits = suffix_tree.CLASS_BITS
-    one = np.array([2, 3])
-    tree.add(one, np.array([80.0, 100.0]), np.array([(2 << bits) | 3, (3 << bits) | 2]), np.array([50, 70]))
-    tree.add(np.array([(3 << bits) | 2]), np.array([70.0]), np.array([(((3 << bits) | 2) << bits) | 4]), np.array([60]))
-    number = np.arange(classes.count)
-    for context in product([2, 3, 4], repeat=2):
-        packed = np.stack([np.zeros_like(number), np.full_like(number, context[1]), np.full_like(number, context[0] << bits | context[1])])
-        assert math.isclose(tree.probability(packed, number).sum(), 1.0)
+def test_suffix_tree_scores_equal_a_plain_tree(request, spark, monkeypatch):
+    """Also over many blocks and ranges, with copies, and with texts that begin or end in the same words."""
+    small = request.getfixturevalue("small")[1]
+    shared = [(1000 + k, f"once upon a time {prose(k % 5, 20, 30)} the end") for k in range(60)]
+    rows = [*small.items(), *shared, *[(2000, "a b a b a b a b")] * 4, (None, None), (3000, ""), (3001, None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    plain = brute.suffix_tree(rows, held)
+    expected = sorted((-1 if i is None else i, *x) for (i, _), x in zip(rows, plain, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (12 << 20, 20_000):
+        monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", size)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.base_score, r.score) for r in suffix_tree.suffix_tree_scores(df).collect())
+        assert [r[0] for r in got] == [r[0] for r in expected]
+        assert np.allclose([r[1:] for r in got], [r[1:] for r in expected], rtol=1e-9)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+
+
+def test_suffix_tree_texts_move_once(spark):
+    """Grouping the dealt texts by block needs no exchange."""
+    with staging.shelf(spark) as own:
+        texts = own.deal(spark.createDataFrame([(1, "a")], "block long, text string"), "texts", "block", 3)
+        plan = texts.groupBy("block").applyInArrow(lambda t: t, texts.schema)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_suffix_tree_keeps_a_phrase_in_a_larger_corpus(spark):
