@@ -34,6 +34,8 @@ from tallyward.llm.staging import keep, shelf
 BLOCK_BYTES = 12 << 20
 #: Weights that the suffix of a context may have.
 RESTS = (0.1, 0.3, 0.5, 0.7, 0.9)
+#: Gains are rounded to so many parts of a nat for each run, so that their sums do not depend on how texts are dealt.
+GRAIN = 4096
 #: Stands for the hash of the end of a text.
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 
@@ -66,6 +68,34 @@ def _unpacked(data: bytes, size: int, kind: type, width: int = 1) -> np.ndarray:
     return out if width == 1 else out.reshape(size, width)
 
 
+def _signless(values: np.ndarray) -> np.ndarray:
+    """Whole numbers with the sign in the last bit, so that the high bytes of small ones are zero."""
+    return (values << 1) ^ (values >> 63)
+
+
+def _signed(values: np.ndarray) -> np.ndarray:
+    return (values >> 1) ^ -(values & 1)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, the first place of each, and for every hash its number among them.
+
+    High bits and the place are sorted as one number; if two hashes share the high bits, all are sorted whole.
+    """
+    if not len(values):
+        return values, np.empty(0, np.int64), np.empty(0, np.int32)
+    low = np.uint64((1 << (len(values) - 1).bit_length()) - 1)
+    order = (np.sort((values & ~low) | np.arange(len(values), dtype=np.uint64)) & low).astype(np.int64)
+    own = values[order]
+    if ((own[1:] != own[:-1]) & ((own[1:] ^ own[:-1]) <= low)).any():
+        order = np.argsort(values, kind="stable")
+        own = values[order]
+    new = np.concatenate(([True], own[1:] != own[:-1]))
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return own[new], order[new], number
+
+
 #: ``level``: length of the context, negative where contexts and not runs are asked for.
 ASKED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "keys": pa.binary(), "figures": pa.binary()})
 ANSWERED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "answer": pa.binary(), "lead": pa.binary(),
@@ -95,7 +125,7 @@ def _asked_keys(rows: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.
     """The questions in the order of their blocks, the distinct hashes' first places, each hash's number, and the bounds."""
     asked = rows.sort_by([("block", "ascending"), ("level", "ascending")]).to_pylist()
     keys = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint64), dtype=np.uint64) for r in asked]
-    _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    _, first, number = _distinct(np.concatenate(keys))
     return asked, first, number, np.cumsum([0, *(r["size"] for r in asked)])
 
 
@@ -120,11 +150,11 @@ def _judge(divergence: float):
 
     def run(rows: pa.Table) -> pa.Table:
         asked, first, number, bounds = _asked_keys(rows)
-        figures = np.concatenate([_unpacked(r["figures"], r["size"], np.float64, 2 + len(RESTS)) for r in asked])
+        figures = _signed(np.concatenate([_unpacked(r["figures"], r["size"], np.int64, 2 + len(RESTS)) for r in asked]))
         total = figures[first, 0]
         # A next word that came once is predicted by the suffix alone when it is left out.
         once = total - np.bincount(number, weights=figures[:, 1])
-        gains = np.stack([np.bincount(number, weights=figures[:, 2 + k]) + once * w for k, w in enumerate(weights)])
+        gains = np.stack([np.bincount(number, weights=figures[:, 2 + k]) / GRAIN + once * w for k, w in enumerate(weights)])
         best = len(RESTS) - 1 - np.argmax(gains[::-1], axis=0)
         kept = np.where(gains.max(axis=0) >= divergence * total, best + 1, 0).astype(np.uint8)
         return _table([
@@ -138,10 +168,11 @@ def _judge(divergence: float):
 class Block:
     """Tokens of a block's texts, one text after the other, each with its end, and what is known of their runs.
 
-    By ``k``: ``runs``, the hash of the run of ``k`` tokens and the token itself; ``at``, the tokens that have a frequent
-    context of ``k`` tokens; ``counts``, how often the run stands in training documents, 0 where ``at`` lacks it; ``lead``,
-    one token for each run that the block stands for. There is a context of ``k`` tokens if at least ``k - 1`` come before:
-    the text's beginning counts as one end.
+    By ``k``: ``at``, the tokens that have a frequent context of ``k`` tokens; ``values``, the distinct hashes of their runs
+    of ``k`` tokens and themselves; ``spot``, the number of each token's run among those; ``known``, how often each run
+    stands in training documents, and ``counts`` the same by token, 0 where ``at`` lacks it; ``lead``, one token for each
+    run that the block stands for. There is a context of ``k`` tokens if at least ``k - 1`` come before: the text's
+    beginning counts as one end.
     """
 
     def __init__(self, texts: pa.Table, least: int):
@@ -153,45 +184,63 @@ class Block:
         real = np.ones(len(word), bool)
         real[self.last] = False
         word[real] = np.concatenate([value for value, _ in held])
-        self.word, self.runs = word, [word]
+        self.word = self.run = word
         self.before = np.arange(len(word)) - np.repeat(self.last - self.size + 1, self.size)
         self.learn = np.repeat(~texts.column("held_out").to_numpy(), self.size)
-        self.at, self.counts, self.lead = [np.arange(len(word))], [], []
-
-    def of_context(self, k: int) -> np.ndarray:
-        """Count of the context of ``k`` tokens; that is the run that ends a token earlier."""
-        return np.concatenate((self.counts[0][self.last[:1]], self.counts[k - 1][:-1])) if k == 1 else np.concatenate(([0], self.counts[k - 1][:-1]))
-
-    def context(self, k: int) -> np.ndarray:
-        return np.concatenate(([END_WORD], self.runs[k - 1][:-1]))
+        self.at, self.values, self.spot, self.known, self.counts, self.lead = [], [], [], [], [], []
+        self._list(np.arange(len(word)))
+
+    def _list(self, at: np.ndarray) -> None:
+        value, first, number = _distinct(self.run[at])
+        spot = np.zeros(len(self.word), np.int32)
+        spot[at] = number
+        self.at.append(at)
+        self.values.append(value)
+        self.first = at[first]
+        self.spot.append(spot)
+
+    def earlier(self, at: np.ndarray) -> np.ndarray:
+        """The token before each; before the first of the block stands an end like any other."""
+        return np.where(at > 0, at - 1, self.last[0])
 
     def take(self, rows: pa.Table, depth: int) -> Block:
-        """Read the answers to the questions of as many levels as there are, up to ``depth``."""
+        """Read the answers to the questions of all levels up to ``depth``."""
         found: dict[int, list] = {}
-        for r in rows.sort_by([("range", "ascending")]).to_pylist() if rows.num_rows else []:
+        for r in rows.sort_by([("range", "ascending")]).to_pylist():
             found.setdefault(r["level"], []).append(r)
         self.found = found
         for k in range(depth + 1):
-            value, first, back = np.unique(self.runs[k][self.at[k]], return_index=True, return_inverse=True)
             own = found.get(k, [])
-            c = np.concatenate([np.empty(0), *(_unpacked(r["answer"], r["size"], np.uint64) for r in own)])
+            known = np.concatenate([np.empty(0, np.uint64), *(_unpacked(r["answer"], r["size"], np.uint64) for r in own)])
             lead = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["lead"], np.uint8), count=r["size"]) > 0 for r in own)])
             counts = np.zeros(len(self.word))
-            counts[self.at[k]] = c[back]
+            counts[self.at[k]] = known[self.spot[k][self.at[k]]]
+            self.known.append(known)
             self.counts.append(counts)
-            self.lead.append(self.at[k][first[lead]])
-            self.grow(k + 1)
+            self.lead.append(self.first[lead & (known > 1)])
+            if k < depth:
+                self.grow()
+        return self
+
+    def grow(self) -> Block:
+        """List the runs of one token more whose context is frequent."""
+        k = len(self.at)
+        context = np.concatenate(([END_WORD], self.run[:-1]))
+        of = self.counts[-1][self.earlier(np.arange(len(self.word)))]
+        self.run = words.mix(context * np.uint64(words.BASE) + self.word + np.uint64(k))
+        self._list(np.flatnonzero((self.before >= k - 1) & (of >= self.least)))
         return self
 
-    def grow(self, k: int) -> None:
-        context = self.context(k)
-        self.runs.append(words.mix(context * np.uint64(words.BASE) + self.word + np.uint64(k)))
-        self.at.append(np.flatnonzero((self.before >= k - 1) & (self.of_context(k) >= self.least)))
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the runs a level below are frequent contexts of the block, and the number of each run among those."""
+        seen = np.zeros(len(self.values[k - 1]), bool)
+        seen[self.spot[k - 1][self.earlier(self.at[k])]] = True
+        return seen, np.cumsum(seen) - 1
 
     def ask(self, k: int, bits: int) -> pa.Table:
         """How often the distinct runs of ``k`` tokens and one stand in the block's training documents."""
-        value, back = np.unique(self.runs[k][self.at[k]], return_inverse=True)
-        n = np.bincount(back, weights=self.learn[self.at[k]], minlength=len(value)).astype(np.uint32)
+        value, at = self.values[k], self.at[k]
+        n = np.bincount(self.spot[k][at], weights=self.learn[at], minlength=len(value)).astype(np.uint32)
         return _table(_questions(self.number, k, value, n, bits), ASKED)
 
     def test(self, depth: int, tokens: int, bits: int) -> pa.Table:
@@ -199,16 +248,17 @@ class Block:
         what those gain on the suffix, each left out in turn, for each weight of ``RESTS``."""
         out = []
         for k in range(1, depth + 1):
-            of, context = self.of_context(k), self.context(k)
-            value, first = np.unique(context[self.at[k]], return_index=True)
-            at = self.lead[k][self.counts[k][self.lead[k]] > 1]
-            place = np.searchsorted(value, context[at])
-            shorter = self.of_context(k - 1)[at] if k > 1 else tokens
-            c = self.counts[k][at]
-            ratio = (c - 1) / (of[at] - 1) / (self.counts[k - 1][at] / shorter)
-            sums = [c, *(c * np.log((1 - rest) * ratio + rest) for rest in RESTS)]
-            figures = np.stack([of[self.at[k][first]], *(np.bincount(place, weights=x, minlength=len(value)) for x in sums)], axis=1)
-            out += _questions(self.number, -k, value, figures, bits)
+            seen, number = self.contexts(k)
+            value, at = self.values[k - 1][seen], self.lead[k]
+            before = self.earlier(at)
+            place = number[self.spot[k - 1][before]]
+            of, c = self.counts[k - 1][before], self.counts[k][at]
+            shorter = self.counts[k - 2][self.earlier(at)] if k > 1 else tokens
+            ratio = (c - 1) / (of - 1) / (self.counts[k - 1][at] / shorter)
+            sums = [c, *(np.rint(GRAIN * c * np.log((1 - rest) * ratio + rest)) for rest in RESTS)]
+            sums = [np.bincount(place, weights=x, minlength=len(value)) for x in sums]
+            figures = np.stack([self.known[k - 1][seen], *sums], axis=1).astype(np.int64)
+            out += _questions(self.number, -k, value, _signless(figures), bits)
         return _table(out, ASKED)
 
     def score(self, depth: int, tokens: int, kinds: int) -> pa.Table:
@@ -217,10 +267,9 @@ class Block:
         weights = np.array([1.0, *RESTS])
         for k in range(1, depth + 1):
             kept = np.concatenate([np.empty(0, np.uint8), *(_unpacked(r["answer"], r["size"], np.uint8) for r in self.found.get(-k, []))])
-            at = self.at[k]
-            _, back = np.unique(self.context(k)[at], return_inverse=True)
-            rest = weights[kept[back]]
-            own = self.counts[k][at] / self.of_context(k)[at]
+            at, before = self.at[k], self.earlier(self.at[k])
+            rest = weights[kept[self.contexts(k)[1][self.spot[k - 1][before]]]]
+            own = self.counts[k][at] / self.counts[k - 1][before]
             chance[at] = np.where(rest < 1, (1 - rest) * own, 0) + rest * chance[at]
         begins = self.last - self.size + 1
         return pa.table([
@@ -239,7 +288,7 @@ def _first_asker(least: int, bits: int):
 
 
 def _asker(level: int, least: int, bits: int):
-    return lambda texts, rows: Block(texts, least).take(rows, level - 1).ask(level, bits)
+    return lambda texts, rows: Block(texts, least).take(rows, level - 1).grow().ask(level, bits)
 
 
 def _tester(depth: int, least: int, tokens: int, bits: int):
@@ -262,7 +311,8 @@ def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergen
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // BLOCK_BYTES + 1
     bits = (buckets - 1).bit_length()
-    with shelf(docs.sparkSession) as own:
+    spark = docs.sparkSession
+    with shelf(spark) as own:
         dealt = docs.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long")
         texts = own.deal(dealt, "texts", "block", buckets).groupBy("block")
         asked = texts.applyInArrow(_first_asker(least, bits), ASKED_SQL)
@@ -271,7 +321,9 @@ def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergen
         for level in range(1, depth + 1):
             asked = texts.cogroup(known.groupBy("block")).applyInArrow(_asker(level, least, bits), ASKED_SQL)
             known = known.union(own.put(asked.groupBy("range").applyInArrow(_counted, ANSWERED_SQL), f"level{level}"))
-        asked = texts.cogroup(known.groupBy("block")).applyInArrow(_tester(depth, least, tokens, bits), ASKED_SQL)
+            spark._jvm.System.gc()  # what a level shuffled goes from the disks once no plan holds it
+        asked = texts.cogroup(known.groupBy("block")).applyInArrow(_tester(depth, least, tokens, bits + 2), ASKED_SQL)
         known = known.union(own.put(asked.groupBy("range").applyInArrow(_judge(divergence), ANSWERED_SQL), "kept"))
+        spark._jvm.System.gc()
         scored = texts.cogroup(known.groupBy("block")).applyInArrow(_scorer(depth, least, tokens, kinds), SCORED_SQL)
         return keep(scored, "scores")

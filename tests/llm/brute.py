@@ -141,7 +141,7 @@ def suffix_tree(rows, held, depth=3, least=3, divergence=0.02):
             gain = (of - sum(counts[r] for r in runs)) * math.log(rest)
             for r in runs:
                 shorter = counts[r[1:]] / (counts[r[1:-1]] if len(r) > 2 else total)
-                gain += counts[r] * math.log((1 - rest) * (counts[r] - 1) / (of - 1) / shorter + rest)
+                gain += round(4096 * counts[r] * math.log((1 - rest) * (counts[r] - 1) / (of - 1) / shorter + rest)) / 4096
             options.append((gain, rest))
         if max(options)[0] >= divergence * of:
             weight[context] = max(options)[1]

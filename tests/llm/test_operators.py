@@ -402,6 +402,14 @@ def test_suffix_tree_scores_equal_a_plain_tree(request, spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
 
 
+def test_distinct_hashes():
+    """Also where hashes differ in their last bits only."""
+    own = np.random.default_rng(3)
+    for values in (own.integers(0, 1 << 63, 500, dtype=np.uint64), own.integers(0, 300, 500, dtype=np.uint64) + np.uint64(1 << 40), np.empty(0, np.uint64)):
+        for got, expected in zip(suffix_tree._distinct(values), np.unique(values, return_index=True, return_inverse=True), strict=True):
+            assert (got == expected).all()
+
+
 def test_suffix_tree_texts_move_once(spark):
     """Grouping the dealt texts by block needs no exchange."""
     with staging.shelf(spark) as own:
