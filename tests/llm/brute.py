@@ -224,3 +224,38 @@ def vector_codes(rows):
         (i, "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), by_label[c], digest)
         for (i, _, c), f in zip(kept, found, strict=True)
     ]
+
+
+def licenses(rows, templates, percent=80):
+    """(id, license, matches, first word, containment) by laying each template on every shingle of it that a text holds."""
+
+    def plain(text):
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        return "".join(c if not c.isascii() or c.isalnum() else " " for c in low).split(" ")
+
+    out = []
+    for doc, text in rows:
+        w = [x for x in plain(text) if x]
+        best = {}
+        for name, texts in templates.items():
+            for template in texts:
+                own = [x for x in plain(template) if x]
+                n, size = len(own), min(5, len(own))
+                slack = n // 4 if n > 5 else 0
+                grams = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+                places = defaultdict(list)
+                for k in range(n - size + 1):
+                    places[tuple(own[k : k + size])].append(k)
+                last = None
+                for at in sorted({k - p for k, g in enumerate(grams) for p in places.get(g, ())}):
+                    held = len(set(grams[max(0, at - slack) : max(0, at + n - size + 1 + slack)]) & set(places))
+                    share = 100 * held / len(places)
+                    if share < percent:
+                        continue
+                    at = max(at, 0)
+                    entry = best.setdefault(name, [0, at, 0.0])
+                    if last is None or last + max(3, n // 2) < at:
+                        entry[0], last = entry[0] + 1, at
+                    entry[1], entry[2] = min(entry[1], at), max(entry[2], share)
+        out += [(doc, name, *entry) for name, entry in best.items()]
+    return out

@@ -249,6 +249,51 @@ def test_license_scan_misses_no_edit_and_no_begin(spark):
         assert {(r.doc_id, r.license_id) for r in got} == expected and all(r.n_matches == 1 for r in got)
 
 
+def _shuffled_notices(seed, count):
+    """Texts of one notice each with cut, moved, repeated, replaced and added words, and its own words anywhere."""
+    own = random.Random(seed)
+    every = [t for texts in license_scan.TEMPLATES.values() for t in texts]
+    rows = []
+    for i in range(count):
+        w = own.choice(every).split()
+        for _ in range(own.randrange(4)):
+            k, n = own.randrange(len(w)), own.randrange(1, 9)
+            kind = own.randrange(4)
+            if kind == 0 and len(w) > n:
+                del w[k : k + n]
+            elif kind == 1:
+                w[k:k] = w[max(0, k - n) : k]
+            elif kind == 2:
+                w[k:k] = [f"x{own.random()}"] * n
+            else:
+                cut = w[k:]
+                w = cut + w[:k]
+        lead = [f"p{j}" for j in range(own.randrange(9))]
+        rows.append((i, " ".join([*lead, *w, *own.choice(every).split()[: own.randrange(12)]])))
+    return rows
+
+
+def test_license_scan_agrees_with_laying_templates_everywhere(spark, odd):
+    repeating = {"again": ["one two three four five one two three four six one two three four seven one two one two one two"]}
+    rows = _shuffled_notices(5, 1500) + [(i, t) for i, t in odd[1].items()]
+    own = random.Random(3)
+    rows += [(10_000 + i, " ".join(own.choices(["one", "two", "three", "four", "five", "six"], k=40))) for i in range(50)]
+    base = repeating["again"][0].split()
+    for i in range(300):
+        cuts = [own.randrange(len(base)) for _ in range(own.randrange(1, 4))]
+        rows.append((20_000 + i, " ".join(x for k in cuts for x in base[k : k + own.randrange(5, 20)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for templates, percent in ((license_scan.TEMPLATES, 80), (license_scan.TEMPLATES, 60), (repeating, 50)):
+        got = {tuple(r) for r in license_scan.licenses(df, templates, percent).collect()}
+        assert got == set(brute.licenses(rows, templates, percent)) and len(got) > 20
+
+
+def test_license_windows_fit_in_every_intact_run():
+    index = license_scan.Index(license_scan.TEMPLATES, 80)
+    for _, width, step in index.classes:
+        assert 1 <= step <= width + 1 and width <= 8
+
+
 def test_license_scan_finds_every_notice(small):
     df, texts = small
     got = {(r.doc_id, r.license_id) for r in license_scan.licenses(df).collect()}
