@@ -34,10 +34,10 @@ SHAPES = 16
 GRADES = 3
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 12_000
-#: Features in a smaller share of the fitted documents (or in fewer than five) get no weight: they only fit noise.
-LEAST_SHARE = 0.004
-#: Words in more of them than this are the common words of a language and get no weight either.
-MOST_SHARE = 0.2
+#: Words get a weight if at least so many fitted documents hold them, however many others do or do not,
+LEAST_DOCUMENTS = 5
+#: and if they are held by more documents below a grade than chance explains, by so many standard deviations.
+LEAST_DEVIATIONS = 3.0
 #: Share of the fitted documents of the top grade that the selection may lose. The penalty draws all probabilities together,
 #: the more the fewer rows there are, so the limit is set on them and not at a fixed probability.
 SPARED = 0.005
@@ -134,6 +134,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[None, :] - self.thresholds[:, None], -40, 40)))
 
 
+def telling(grades: np.ndarray, hashed: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets whose words speak against a text, and the number of documents with each.
+
+    For each threshold the documents below it that hold the word are compared with the number that a draw without regard to
+    the grade would give, so a word in most documents or in a handful counts by what it tells alone.
+    """
+    held = np.zeros((GRADES, BUCKETS))
+    begin = 0
+    for lists in hashed:
+        own = np.repeat(grades[begin : begin + len(lists)], lists.value_lengths())
+        held += np.bincount(own * BUCKETS + lists.flatten(), minlength=GRADES * BUCKETS).reshape(GRADES, BUCKETS)
+        begin += len(lists)
+    found, n = held.sum(axis=0), len(grades)
+    deviation = np.zeros(BUCKETS)
+    for k in range(1, GRADES):
+        below = np.mean(grades < k)
+        spread = np.sqrt(np.maximum(found * below * (1 - below) * (1 - found / n), 1e-9))
+        deviation = np.maximum(deviation, (held[:k].sum(axis=0) - found * below) / spread)
+    used = np.flatnonzero((found >= LEAST_DOCUMENTS) & (deviation >= LEAST_DEVIATIONS))
+    return used, found[used]
+
+
 def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], rounds: int = 150, noise: float = 0.6) -> Model:
     """Likelihood less an absolute penalty on the weights, by full-batch steps with a step size per weight.
 
@@ -141,11 +163,8 @@ def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], roun
     weight. Words only count against a text: else many ordinary ones outweigh a bad one in long texts. Rows are weighted
     so that each grade counts alike. The thresholds are a first one and positive gaps, so their order holds throughout.
     """
-    found = np.zeros(BUCKETS, np.int64)
-    for lists in hashed:
-        found += np.bincount(lists.flatten(), minlength=BUCKETS)
-    shared = (found >= max(5, LEAST_SHARE * len(grades))) & (found <= MOST_SHARE * len(grades))
-    used, kinds = np.flatnonzero(shared), shapes.shape[1]
+    used, found = telling(grades, hashed)
+    kinds = shapes.shape[1]
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used)) + kinds
     # The shapes of every text, then its words that are used; the fit works on these alone.
@@ -162,6 +181,8 @@ def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], roun
     counts = np.bincount(grades, minlength=GRADES)
     balance = (len(grades) / (GRADES * np.maximum(counts, 1)))[grades]
     balance = balance / balance.mean()
+    # A gradient is a mean over all rows, of which only those that hold the word add noise.
+    penalty = noise * np.sqrt(np.concatenate((np.ones(kinds), found / len(grades))) / len(grades))
     w, squares = np.zeros(n_used), np.full(n_used, 1e-8)
     raw = np.array([-4.0, 0.7])  # first threshold, log of the gap; a text without telling features is good
     raw_squares = np.full(2, 1e-8)
@@ -178,7 +199,7 @@ def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], roun
         squares += gradient**2
         step = 0.25 / np.sqrt(squares)
         w = w + step * gradient
-        w = np.sign(w) * np.maximum(np.abs(w) - step * noise / np.sqrt(len(grades)), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         w[kinds:] = np.minimum(w[kinds:], 0)
         by_low = np.where(grades >= 1, -lower_slope, 0) * (grades == 1) + np.where(grades == 0, upper_slope, 0)
         by_high = np.where(grades == 2, -lower_slope, 0) + np.where(grades == 1, upper_slope, 0)
@@ -197,7 +218,7 @@ def fit(grades: np.ndarray, shapes: np.ndarray, hashed: list[pa.ListArray], roun
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Fit on at most ``fit_rows`` rated documents; None if no rating can be used.
 
-    The driver gets their features, about 4 KB a document, and keeps those that enough documents share.
+    The driver gets their features, about 4 KB a document, and keeps those that tell a grade.
     """
     rated = labels.select(F.col("doc_id").cast("long"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))

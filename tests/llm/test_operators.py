@@ -326,6 +326,26 @@ def test_ordinal_model_on_held_out_documents(spark):
     assert means[0] < means[1] < means[2]
 
 
+def test_ordinal_model_takes_common_and_rare_words(spark):
+    """A word of a bad source that holds a third of the rows, and a toxic word in 0.2 % of them."""
+    rows, ratings, kinds = [], [], {}
+    for i in range(4500):
+        own, w = random.Random(i), prose(i, 60).split()
+        kinds[i] = "source" if i % 3 == 0 else "rare" if i % 500 in (1, 251) and i < 3000 or i >= 3000 and i % 50 == 1 else (
+            "toxic" if i % 40 == 2 else "good")
+        mark = {"source": "brandmark", "rare": "vile", "toxic": "nasty"}.get(kinds[i])
+        if mark:
+            w[own.randrange(60)] = mark
+        rows.append((i, " ".join(w)))
+        ratings.append((i, int(kinds[i] != "source"), int(kinds[i] in ("rare", "toxic"))))
+    assert 4 <= sum(kinds[i] == "rare" for i in range(3000)) <= 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    labels = spark.createDataFrame(ratings, "doc_id long, quality int, toxic int").where("doc_id < 3000").coalesce(4)
+    got = {r.doc_id: r.kept for r in ordinal.graded(docs, ordinal.train(docs, labels)).collect()}
+    kept = {k: np.mean([got[i] for i in range(3000, 4500) if kinds[i] == k]) for k in ("source", "rare", "toxic", "good")}
+    assert kept["source"] < 0.02 and kept["rare"] < 0.05 and kept["toxic"] < 0.05 and kept["good"] > 0.97, kept
+
+
 def test_ordinal_odd(odd):
     df, _, rows = odd
     labels = df.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
