@@ -152,11 +152,13 @@ def of_run(df: DataFrame, run_id: str, run: str = "run_id") -> DataFrame:
 
 def entity_risk(register: DataFrame, scored: DataFrame, masked: bool = False, entity: str = "employee_id", run: str = "run_id") -> DataFrame:
     """Current risk of each entity with the explanation from its last run, that of the record whose score stands for it."""
-    texts = scored.groupBy(F.col(entity).cast("string").alias(entity), F.col(run).alias("last_run_id")).agg(
-        _told(scored).alias("explanation")
-    )
-    out = register.join(texts, [entity, "last_run_id"], "left")
-    out = out.withColumn("explanation", F.coalesce("explanation", F.lit("")))
+    key = [entity, "last_run_id"]
+    used = [c for c in ("final_anomaly_score", "explanation") if c in scored.columns]
+    told = scored.select(F.col(entity).cast("string").alias(entity), F.col(run).alias("last_run_id"), *used)
+    # Joined before it is grouped: only records of a last run are sorted, and once. The register has one row per entity.
+    found = register.join(told, key, "left").groupBy(*key)
+    kept = [F.first(c).alias(c) for c in register.columns if c not in key]
+    out = found.agg(*kept, F.coalesce(_told(told), F.lit("")).alias("explanation")).select(*register.columns, "explanation")
     return out.withColumn(entity, mask_id(F.col(entity))) if masked else out
 
 

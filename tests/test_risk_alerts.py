@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators import alerts, risk
+from tallyward.plans import catalog, reports
+
+from .conftest import SMALL_TABLES, rows
 
 STATES = "employee_id string, run_id string, score double, absenteeism boolean, overtime_calc boolean, salary_manipulation boolean"
 
@@ -115,3 +118,25 @@ def test_other_alerts(spark):
     assert [r["run_id"] for r in alerts.cold_start_notices(pairs).collect()] == ["r1"]
     policy = spark.createDataFrame([("r", True, 25.0), ("s", True, 3.0), ("t", False, 30.0)], "run_id string, retrain_triggered boolean, accuracy_decay_pct double")
     assert [r["run_id"] for r in alerts.policy_alerts(policy).collect()] == ["r"]
+
+
+def test_entity_risk_tells_the_last_run_of_its_highest_record(spark):
+    register = spark.createDataFrame([("E1", "r2", 0.5), ("E2", "r1", 0.1), ("E3", "r2", 0.0)], "employee_id string, last_run_id string, current_score double")
+    scored = spark.createDataFrame(
+        [("E1", "r1", 9.0, "old"), ("E1", "r2", 0.9, "high"), ("E1", "r2", 0.2, "low"), ("E1", "r2", None, "none"), ("E2", "r1", 0.1, None)],
+        "employee_id string, run_id string, final_anomaly_score double, explanation string",
+    )
+    out = reports.entity_risk(register, scored)
+    assert out.columns == ["employee_id", "last_run_id", "current_score", "explanation"]
+    assert rows(out, "employee_id") == [("E1", "r2", 0.5, "high"), ("E2", "r1", 0.1, ""), ("E3", "r2", 0.0, "")]
+
+
+def test_queries_derive_their_records_once(spark, monkeypatch):
+    """What several steps of a query need is derived once and handed on, and no unused z-score is made."""
+    pays, made = [], []
+    own_pay, own_z = catalog.pay, catalog.features.robust_z
+    monkeypatch.setattr(catalog, "pay", lambda *a: pays.append(a) or own_pay(*a))
+    monkeypatch.setattr(catalog.features, "robust_z", lambda df, columns=None, **k: made.append(columns) or own_z(df, columns, **k))
+    for name in ("entity_risk", "sectioned_summary"):
+        catalog.QUERIES[name](spark, SMALL_TABLES)
+    assert len(pays) == 2 and made == [catalog.scoring.Z_COLUMNS] * 2
