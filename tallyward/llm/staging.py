@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyward.session import fresh_path
 
+#: Seconds that Spark's listeners get to hear of the end of a query.
+LISTENERS_S = 1.5
+
 
 class Shelf:
     """Parquet stage tables in the shared folder, each removed by ``drop`` once nothing reads it any more."""
@@ -53,6 +57,17 @@ def shelf(spark: SparkSession):
         own.drop()
 
 
+def let_go(spark: SparkSession) -> None:
+    """What finished queries shuffled goes from the disks, if no plan in use holds it.
+
+    Spark does so when the driver collects its garbage. Listeners hold the last query until they have heard of its end, so the
+    driver is asked again a moment later; else its shuffle would lie there until the end of the next.
+    """
+    spark._jvm.System.gc()
+    time.sleep(LISTENERS_S)
+    spark._jvm.System.gc()
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a result once, so that it does not depend on stage tables that are removed."""
     return Shelf(df.sparkSession).put(df, label)

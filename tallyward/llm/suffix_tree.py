@@ -10,8 +10,10 @@ text's beginning counts as the end of another.
 Scale: what is learned grows with the corpus and is never gathered. Texts are dealt once to blocks of ``BLOCK_BYTES``, in a
 table bucketed by block, and do not move again. Level by level each block asks for the counts of its distinct runs whose
 context is frequent enough: the sorted hashes are cut into ranges, and a range travels as one packed row. One task per range
-adds up what all blocks hold and answers each block in the order of its question, so no hash travels back. Contexts are
-tested in the same way by sums over blocks. A run or context has at most one entry per block. The driver gets two numbers.
+adds up what all blocks hold and answers each block in the order of its question, so no hash travels back. It also numbers
+the frequent runs, and when contexts are tested blocks name them by these numbers and send the counts of the runs that they
+stand for. To list the next runs a block reads back only one bit for each run, whether it is frequent. A run or context has at
+most one entry per block. The driver gets two numbers.
 
 Defined results: null text is empty and has one token, its end. A null id counts as the empty text when documents are
 dealt to training and held-out ones. Repeated rows are learned and scored each. Equal gains go to the larger weight of the
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm import words
-from tallyward.llm.staging import keep, shelf
+from tallyward.llm.staging import keep, let_go, shelf
 
 #: Text that shares its questions.
 BLOCK_BYTES = 12 << 20
@@ -56,25 +58,47 @@ def _blocks(batches):
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Numbers, one row each, with bytes of the same place side by side, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.Codec("zstd").compress(np.ascontiguousarray(planes), asbytes=True)
+    """Numbers, one row each, as planes of the bytes of the same place: left out if zero, else compressed if that is shorter.
+
+    Each plane is compressed for itself, as random low bytes would spoil the code of the others.
+    """
+    item = values.dtype.itemsize * int(np.prod(values.shape[1:]))
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), item).T)
+    kinds, sizes, parts = np.zeros(len(planes), np.uint8), [], []
+    for i, plane in enumerate(planes):
+        if plane.any():
+            raw, small = plane.tobytes(), pa.Codec("zstd").compress(plane, asbytes=True)
+            if len(small) + 4 < len(raw):
+                kinds[i] = 2
+                sizes.append(len(small))
+                parts.append(small)
+            else:
+                kinds[i] = 1
+                parts.append(raw)
+    return b"".join([kinds.tobytes(), np.array(sizes, np.uint32).tobytes(), *parts])
 
 
 def _unpacked(data: bytes, size: int, kind: type, width: int = 1) -> np.ndarray:
     item = np.dtype(kind).itemsize * width
-    planes = np.frombuffer(pa.Codec("zstd").decompress(data, size * item, asbytes=True), np.uint8).reshape(item, size)
+    kinds = np.frombuffer(data, np.uint8, item)
+    sizes = iter(np.frombuffer(data, np.uint32, int((kinds == 2).sum()), item).tolist())
+    at = item + 4 * int((kinds == 2).sum())
+    planes = np.zeros((item, size), np.uint8)
+    for i in np.flatnonzero(kinds):
+        n = size if kinds[i] == 1 else next(sizes)
+        part = data[at : at + n]
+        planes[i] = np.frombuffer(part if kinds[i] == 1 else pa.Codec("zstd").decompress(part, size, asbytes=True), np.uint8)
+        at += n
     out = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
     return out if width == 1 else out.reshape(size, width)
 
 
-def _signless(values: np.ndarray) -> np.ndarray:
-    """Whole numbers with the sign in the last bit, so that the high bytes of small ones are zero."""
-    return (values << 1) ^ (values >> 63)
+def _packed_bits(mask: np.ndarray) -> bytes:
+    return _packed(np.packbits(mask))
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return (values >> 1) ^ -(values & 1)
+def _unpacked_bits(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(_unpacked(data, -(-size // 8), np.uint8), count=size) > 0
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,23 +121,30 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: ``level``: length of the context, negative where contexts and not runs are asked for.
-ASKED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "keys": pa.binary(), "figures": pa.binary()})
+ASKED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "keys": pa.binary(), "figures": pa.binary(),
+                   "runs": pa.binary()})
 ANSWERED = pa.schema({"range": pa.int64(), "block": pa.int64(), "level": pa.int32(), "size": pa.int32(), "answer": pa.binary(), "lead": pa.binary(),
-                      "kinds": pa.int64(), "total": pa.int64()})
-ASKED_SQL = "range long, block long, level int, size int, keys binary, figures binary"
-ANSWERED_SQL = "range long, block long, level int, size int, answer binary, lead binary, kinds long, total long"
+                      "often": pa.binary(), "place": pa.binary(), "kinds": pa.int64(), "total": pa.int64()})
+ASKED_SQL = "range long, block long, level int, size int, keys binary, figures binary, runs binary"
+ANSWERED_SQL = "range long, block long, level int, size int, answer binary, lead binary, often binary, place binary, kinds long, total long"
+#: What of the answers is read to list the next runs, to test contexts, and to score.
+GROWING = ["range", "block", "level", "size", "often"]
+TESTING = ["range", "block", "level", "size", "answer", "lead", "place"]
+SCORING = ["range", "block", "level", "size", "answer"]
 
 
-def _questions(block: int, level: int, keys: np.ndarray, figures: np.ndarray, bits: int) -> list[tuple]:
-    """Sorted hashes and their figures, one row for each of the ``2 ** bits`` ranges of hashes that holds any."""
+def _pieces(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Range, first and past-the-last place of sorted hashes, for each of the ``2 ** bits`` ranges of hashes that holds any."""
     if not len(keys):
         return []
     own = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(keys)]
-    return [
-        (int(own[a]), block, level, b - a, _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(figures[a:b]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-    ]
+    return [(int(own[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return _packed(np.diff(values, prepend=values.dtype.type(0)))
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -121,57 +152,81 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema)
 
 
-def _asked_keys(rows: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
-    """The questions in the order of their blocks, the distinct hashes' first places, each hash's number, and the bounds."""
-    asked = rows.sort_by([("block", "ascending"), ("level", "ascending")]).to_pylist()
-    keys = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint64), dtype=np.uint64) for r in asked]
-    _, first, number = _distinct(np.concatenate(keys))
-    return asked, first, number, np.cumsum([0, *(r["size"] for r in asked)])
+def _counter(least: int, last: bool):
+    """Answers to the questions of one range: how often each run stands in training documents of other blocks, whether the block
+    is the one that stands for the run (the first that holds it) if that came twice, and, unless no run grows further, whether the run is frequent
+    and the numbers of those that are."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        asked = rows.sort_by([("block", "ascending")]).to_pylist()
+        _, first, number = _distinct(np.concatenate([np.cumsum(_unpacked(r["keys"], r["size"], np.uint64), dtype=np.uint64) for r in asked]))
+        n = np.concatenate([_unpacked(r["figures"], r["size"], np.uint32) for r in asked])
+        sums = np.bincount(number, weights=n).astype(np.uint64)
+        others = sums[number] - n
+        lead = np.zeros(len(number), bool)
+        lead[first] = sums > 1
+        often = (sums >= least)[number]
+        place = (np.cumsum(sums >= least) - 1).astype(np.uint32)[number]
+        bounds = np.cumsum([0, *(r["size"] for r in asked)])
+        figures = [(int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(asked)
+        return _table([
+            (r["range"], r["block"], r["level"], r["size"], _packed(others[a:b]), _packed_bits(lead[a:b]),
+             b"" if last else _packed_bits(often[a:b]), b"" if last else _steps(place[a:b][often[a:b]]), *f)
+            for r, a, b, f in zip(asked, bounds[:-1], bounds[1:], figures)
+        ], ANSWERED)
 
-def _counted(rows: pa.Table) -> pa.Table:
-    """Answers to the questions of one range: how often each run stands in training documents, and whether the block is the
-    one that stands for the run (the first that holds it)."""
-    asked, first, number, bounds = _asked_keys(rows)
-    n = np.concatenate([_unpacked(r["figures"], r["size"], np.uint32) for r in asked])
-    sums = np.bincount(number, weights=n).astype(np.uint64)
-    lead = np.zeros(len(number), bool)
-    lead[first] = True
-    figures = [(int((sums > 0).sum()), int(sums.sum()))] + [(0, 0)] * len(asked)
-    return _table([
-        (r["range"], r["block"], r["level"], r["size"], _packed(sums[number[a:b]]), np.packbits(lead[a:b]).tobytes(), *f)
-        for r, a, b, f in zip(asked, bounds[:-1], bounds[1:], figures)
-    ], ANSWERED)
+    return run
 
 
 def _judge(divergence: float):
-    """Answers for contexts: 0 if the suffix alone predicts as well, else the place of the suffix's weight, from 1."""
+    """Answers for contexts: 0 if the suffix alone predicts as well, else the place of the suffix's weight, from 1.
+
+    The gain of each run is what its occurrences, each left out in turn, gain on the suffix, for each weight of ``RESTS``.
+    """
     weights = np.log(RESTS)
 
     def run(rows: pa.Table) -> pa.Table:
-        asked, first, number, bounds = _asked_keys(rows)
-        figures = _signed(np.concatenate([_unpacked(r["figures"], r["size"], np.int64, 2 + len(RESTS)) for r in asked]))
-        total = figures[first, 0]
-        # A next word that came once is predicted by the suffix alone when it is left out.
-        once = total - np.bincount(number, weights=figures[:, 1])
-        gains = np.stack([np.bincount(number, weights=figures[:, 2 + k]) / GRAIN + once * w for k, w in enumerate(weights)])
-        best = len(RESTS) - 1 - np.argmax(gains[::-1], axis=0)
-        kept = np.where(gains.max(axis=0) >= divergence * total, best + 1, 0).astype(np.uint8)
-        return _table([
-            (r["range"], r["block"], r["level"], r["size"], _packed(kept[number[a:b]]), b"", 0, 0)
-            for r, a, b in zip(asked, bounds[:-1], bounds[1:])
-        ], ANSWERED)
+        levels: dict[int, list] = {}
+        for r in rows.sort_by([("block", "ascending")]).to_pylist():
+            levels.setdefault(r["level"], []).append(r)
+        out = []
+        for asked in levels.values():
+            places = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint32), dtype=np.uint32) for r in asked]
+            figures = [_unpacked(r["figures"], r["size"], np.int64, 3) for r in asked]
+            pairs = [_unpacked(r["runs"], int(f[:, 0].sum()), np.int64, 2) for r, f in zip(asked, figures)]
+            place, figures, pairs = np.concatenate(places), np.concatenate(figures), np.concatenate(pairs)
+            total, shorter = np.bincount(place, weights=figures[:, 1]), np.bincount(place, weights=figures[:, 2])
+            own = np.repeat(place, figures[:, 0])
+            c, suffix = pairs[:, 0], pairs[:, 1]
+            ratio = (c - 1) / (total[own] - 1) / (suffix / shorter[own])
+            # A next word that came once is predicted by the suffix alone when it is left out.
+            once = total - np.bincount(own, weights=c, minlength=len(total))
+            gains = np.stack([
+                np.bincount(own, weights=np.rint(GRAIN * c * np.log((1 - rest) * ratio + rest)), minlength=len(total)) / GRAIN + once * w
+                for rest, w in zip(RESTS, weights)
+            ])
+            best = len(RESTS) - 1 - np.argmax(gains[::-1], axis=0)
+            kept = np.where(gains.max(axis=0) >= divergence * total, best + 1, 0).astype(np.uint8)
+            out += [
+                (r["range"], r["block"], r["level"], r["size"], _packed(kept[p]), b"", b"", b"", 0, 0) for r, p in zip(asked, places)
+            ]
+        return _table(out, ANSWERED)
 
     return run
 
 
+def _joined(kind: type, parts) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
 class Block:
     """Tokens of a block's texts, one text after the other, each with its end, and what is known of their runs.
 
     By ``k``: ``at``, the tokens that have a frequent context of ``k`` tokens; ``values``, the distinct hashes of their runs
-    of ``k`` tokens and themselves; ``spot``, the number of each token's run among those; ``known``, how often each run
-    stands in training documents, and ``counts`` the same by token, 0 where ``at`` lacks it; ``lead``, one token for each
-    run that the block stands for. There is a context of ``k`` tokens if at least ``k - 1`` come before: the text's
+    of ``k`` tokens and themselves; ``spot``, the number of each token's run among those; ``often``, the tokens whose run is
+    frequent. Where counts are read: ``known``, how often each run stands in training documents, and ``counts`` the same by token,
+    0 where ``at`` lacks it; ``leads``, the runs that the block stands for, if they came twice; ``firsts``, one token for each
+    run; ``place``, the number of each frequent run in its range. There is a context of ``k`` tokens if at least ``k - 1`` come before: the text's
     beginning counts as one end.
     """
 
@@ -187,7 +242,8 @@ class Block:
         self.word = self.run = word
         self.before = np.arange(len(word)) - np.repeat(self.last - self.size + 1, self.size)
         self.learn = np.repeat(~texts.column("held_out").to_numpy(), self.size)
-        self.at, self.values, self.spot, self.known, self.counts, self.lead = [], [], [], [], [], []
+        self.at, self.values, self.spot, self.often = [], [], [], []
+        self.known, self.counts, self.leads, self.firsts, self.place = [], [], [], [], []
         self._list(np.arange(len(word)))
 
     def _list(self, at: np.ndarray) -> None:
@@ -200,35 +256,60 @@ class Block:
         self.spot.append(spot)
 
     def earlier(self, at: np.ndarray) -> np.ndarray:
-        """The token before each; before the first of the block stands an end like any other."""
-        return np.where(at > 0, at - 1, self.last[0])
+        """The token before each; before the first of the block stands its last, an end like any other."""
+        return at - 1
+
+    def own(self, k: int) -> np.ndarray:
+        """How often each run stands in the block's training documents."""
+        at = self.at[k]
+        return np.bincount(self.spot[k][at], weights=self.learn[at], minlength=len(self.values[k])).astype(np.uint32)
 
     def take(self, rows: pa.Table, depth: int) -> Block:
-        """Read the answers to the questions of all levels up to ``depth``."""
+        """Read the answers to the questions of all levels up to ``depth``, as far as ``rows`` has them."""
         found: dict[int, list] = {}
         for r in rows.sort_by([("range", "ascending")]).to_pylist():
             found.setdefault(r["level"], []).append(r)
         self.found = found
         for k in range(depth + 1):
             own = found.get(k, [])
-            known = np.concatenate([np.empty(0, np.uint64), *(_unpacked(r["answer"], r["size"], np.uint64) for r in own)])
-            lead = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(r["lead"], np.uint8), count=r["size"]) > 0 for r in own)])
-            counts = np.zeros(len(self.word))
-            counts[self.at[k]] = known[self.spot[k][self.at[k]]]
-            self.known.append(known)
-            self.counts.append(counts)
-            self.lead.append(self.first[lead & (known > 1)])
+            if "answer" in rows.column_names:
+                known = _joined(np.uint64, (_unpacked(r["answer"], r["size"], np.uint64) for r in own)) + self.own(k)
+                self.known.append(known)
+                self.counts.append(self._by_token(k, known.astype(float)))
+                self.often.append(self.counts[k] >= self.least)
+            else:
+                self.often.append(self._by_token(k, _joined(bool, (_unpacked_bits(r["often"], r["size"]) for r in own))))
+            if "lead" in rows.column_names:
+                self._read_lead(k, own, k < depth)
             if k < depth:
                 self.grow()
         return self
 
+    def _by_token(self, k: int, values: np.ndarray) -> np.ndarray:
+        if not k:
+            return values[self.spot[0]]
+        out = np.zeros(len(self.word), values.dtype)
+        out[self.at[k]] = values[self.spot[k][self.at[k]]]
+        return out
+
+    def _read_lead(self, k: int, rows: list[dict], grows: bool) -> None:
+        lead = _joined(bool, (_unpacked_bits(r["lead"], r["size"]) for r in rows))
+        self.leads.append(lead)
+        self.firsts.append(self.first)
+        place = np.zeros(len(lead), np.uint32)
+        if grows:
+            often = self.known[k] >= self.least
+            sizes = np.add.reduceat(often, np.cumsum([0, *(r["size"] for r in rows[:-1])]), dtype=np.int64).tolist() if rows else []
+            place[often] = _joined(np.uint32, (np.cumsum(_unpacked(r["place"], n, np.uint32), dtype=np.uint32) for r, n in zip(rows, sizes)))
+        self.place.append(place)
+
     def grow(self) -> Block:
         """List the runs of one token more whose context is frequent."""
         k = len(self.at)
         context = np.concatenate(([END_WORD], self.run[:-1]))
-        of = self.counts[-1][self.earlier(np.arange(len(self.word)))]
+        of = np.roll(self.often[-1], 1)
         self.run = words.mix(context * np.uint64(words.BASE) + self.word + np.uint64(k))
-        self._list(np.flatnonzero((self.before >= k - 1) & (of >= self.least)))
+        self._list(np.flatnonzero((self.before >= k - 1) & of))
         return self
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,26 +320,27 @@ class Block:
 
     def ask(self, k: int, bits: int) -> pa.Table:
         """How often the distinct runs of ``k`` tokens and one stand in the block's training documents."""
-        value, at = self.values[k], self.at[k]
-        n = np.bincount(self.spot[k][at], weights=self.learn[at], minlength=len(value)).astype(np.uint32)
-        return _table(_questions(self.number, k, value, n, bits), ASKED)
+        value, n = self.values[k], self.own(k)
+        return _table([(own, self.number, k, b - a, _steps(value[a:b]), _packed(n[a:b]), b"") for own, a, b in _pieces(value, bits)], ASKED)
 
     def test(self, depth: int, tokens: int, bits: int) -> pa.Table:
-        """Frequent contexts with their counts, and sums over the runs that the block stands for: their occurrences, and
-        what those gain on the suffix, each left out in turn, for each weight of ``RESTS``."""
+        """Frequent contexts by their numbers. For each: how many runs after it the block stands for, and, if it stands for the
+        context itself, the counts of that and of its suffix, else zeros; for each of those runs its count and its suffix's."""
         out = []
         for k in range(1, depth + 1):
             seen, number = self.contexts(k)
-            value, at = self.values[k - 1][seen], self.lead[k]
-            before = self.earlier(at)
-            place = number[self.spot[k - 1][before]]
-            of, c = self.counts[k - 1][before], self.counts[k][at]
-            shorter = self.counts[k - 2][self.earlier(at)] if k > 1 else tokens
-            ratio = (c - 1) / (of - 1) / (self.counts[k - 1][at] / shorter)
-            sums = [c, *(np.rint(GRAIN * c * np.log((1 - rest) * ratio + rest)) for rest in RESTS)]
-            sums = [np.bincount(place, weights=x, minlength=len(value)) for x in sums]
-            figures = np.stack([self.known[k - 1][seen], *sums], axis=1).astype(np.int64)
-            out += _questions(self.number, -k, value, _signless(figures), bits)
+            value, place, stands, at = self.values[k - 1][seen], self.place[k - 1][seen], self.leads[k - 1][seen], self.firsts[k][self.leads[k]]
+            context = number[self.spot[k - 1][self.earlier(at)]]
+            order = np.argsort(context, kind="stable")
+            runs = np.stack([self.counts[k][at], self.counts[k - 1][at]], axis=1).astype(np.int64)[order]
+            held = np.bincount(context, minlength=len(value))
+            shorter = self.counts[k - 2][self.firsts[k - 1][seen]] if k > 1 else tokens
+            figures = np.stack([held, np.where(stands, self.known[k - 1][seen], 0), np.where(stands, shorter, 0)], axis=1).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(held)))
+            out += [
+                (own, self.number, -k, b - a, _steps(place[a:b]), _packed(figures[a:b]), _packed(runs[ends[a] : ends[b]]))
+                for own, a, b in _pieces(value, bits)
+            ]
         return _table(out, ASKED)
 
     def score(self, depth: int, tokens: int, kinds: int) -> pa.Table:
@@ -266,9 +348,10 @@ class Block:
         chance = base.copy()
         weights = np.array([1.0, *RESTS])
         for k in range(1, depth + 1):
-            kept = np.concatenate([np.empty(0, np.uint8), *(_unpacked(r["answer"], r["size"], np.uint8) for r in self.found.get(-k, []))])
             at, before = self.at[k], self.earlier(self.at[k])
-            rest = weights[kept[self.contexts(k)[1][self.spot[k - 1][before]]]]
+            weight = np.ones(len(self.values[k - 1]))
+            weight[self.contexts(k)[0]] = weights[_joined(np.uint8, (_unpacked(r["answer"], r["size"], np.uint8) for r in self.found.get(-k, [])))]
+            rest = weight[self.spot[k - 1][before]]
             own = self.counts[k][at] / self.counts[k - 1][before]
             chance[at] = np.where(rest < 1, (1 - rest) * own, 0) + rest * chance[at]
         begins = self.last - self.size + 1
@@ -316,14 +399,15 @@ def suffix_tree_scores(docs: DataFrame, depth: int = 3, least: int = 3, divergen
         dealt = docs.mapInArrow(_blocks, "doc_id long, text string, held_out boolean, block long")
         texts = own.deal(dealt, "texts", "block", buckets).groupBy("block")
         asked = texts.applyInArrow(_first_asker(least, bits), ASKED_SQL)
-        known = own.put(asked.groupBy("range").applyInArrow(_counted, ANSWERED_SQL), "words")
+        known = own.put(asked.groupBy("range").applyInArrow(_counter(least, depth == 0), ANSWERED_SQL), "words")
         kinds, tokens = known.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
         for level in range(1, depth + 1):
-            asked = texts.cogroup(known.groupBy("block")).applyInArrow(_asker(level, least, bits), ASKED_SQL)
-            known = known.union(own.put(asked.groupBy("range").applyInArrow(_counted, ANSWERED_SQL), f"level{level}"))
-            spark._jvm.System.gc()  # what a level shuffled goes from the disks once no plan holds it
-        asked = texts.cogroup(known.groupBy("block")).applyInArrow(_tester(depth, least, tokens, bits + 2), ASKED_SQL)
+            let_go(spark)
+            asked = texts.cogroup(known.select(GROWING).groupBy("block")).applyInArrow(_asker(level, least, bits), ASKED_SQL)
+            known = known.union(own.put(asked.groupBy("range").applyInArrow(_counter(least, level == depth), ANSWERED_SQL), f"level{level}"))
+        let_go(spark)
+        asked = texts.cogroup(known.select(TESTING).groupBy("block")).applyInArrow(_tester(depth, least, tokens, bits), ASKED_SQL)
         known = known.union(own.put(asked.groupBy("range").applyInArrow(_judge(divergence), ANSWERED_SQL), "kept"))
-        spark._jvm.System.gc()
-        scored = texts.cogroup(known.groupBy("block")).applyInArrow(_scorer(depth, least, tokens, kinds), SCORED_SQL)
+        let_go(spark)
+        scored = texts.cogroup(known.select(SCORING).groupBy("block")).applyInArrow(_scorer(depth, least, tokens, kinds), SCORED_SQL)
         return keep(scored, "scores")

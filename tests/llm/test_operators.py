@@ -10,6 +10,8 @@ from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -483,6 +485,43 @@ def test_suffix_tree_texts_move_once(spark):
     assert "Exchange" not in plan
 
 
+def test_suffix_tree_packs_numbers():
+    """Also none, equal ones and several a row; random low bytes do not spoil the code of the high ones."""
+    own = np.random.default_rng(4)
+    for values in (np.empty((0, 2), np.int64), np.zeros(9, np.uint32), own.integers(0, 1 << 40, (700, 3)), own.integers(0, 5, 3000).astype(np.uint64)):
+        packed = suffix_tree._packed(values)
+        assert (suffix_tree._unpacked(packed, len(values), values.dtype.type, *values.shape[1:]) == values).all()
+    mask = own.random(1001) < 0.1
+    assert (suffix_tree._unpacked_bits(suffix_tree._packed_bits(mask), 1001) == mask).all()
+    # The differences of 10,000 sorted hashes out of 64 bits / 128 hold 45.2 bits each.
+    steps = np.diff(np.sort(own.integers(0, 1 << 57, 10_000, dtype=np.uint64)))
+    assert len(suffix_tree._packed(steps)) < 5.75 * len(steps)
+
+
+def test_suffix_tree_moves_no_hash_of_a_context():
+    """What blocks send to test contexts, and read to list longer runs, takes few bytes for each."""
+    blocks, answers, sent, read = [], [[], []], [], []
+    for k in range(2):
+        texts = [f"{prose(k * 100 + i, 200, 40)} ." for i in range(60)]
+        blocks.append(pa.table({"doc_id": range(60), "text": texts, "held_out": [i % 5 == 1 for i in range(60)], "block": [k] * 60}))
+    for level in range(4):
+        rows = []
+        for k, block in enumerate(blocks):
+            own = suffix_tree.Block(block, 3)
+            if level:
+                seen = pa.concat_tables(answers[k]).select(suffix_tree.GROWING)
+                read.append(sum(len(x.as_py() or b"") for c in seen.columns if pa.types.is_binary(c.type) for x in c) / sum(seen["size"].to_pylist()))
+                own = own.take(seen, level - 1).grow()
+            rows.append(own.ask(level, 0))
+        found = suffix_tree._counter(3, level == 3)(pa.concat_tables(rows))
+        for k in range(2):
+            answers[k].append(found.filter(pc.equal(found["block"], k)))
+    for k, block in enumerate(blocks):
+        asked = suffix_tree.Block(block, 3).take(pa.concat_tables(answers[k]).select(suffix_tree.TESTING), 3).test(3, 24_000, 0)
+        sent.append(sum(len(r["keys"]) + len(r["figures"]) + len(r["runs"]) for r in asked.to_pylist()) / sum(asked["size"].to_pylist()))
+    assert max(read) < 0.25 and max(sent) < 6
+
+
 def test_suffix_tree_keeps_a_phrase_in_a_larger_corpus(spark):
     """A rare phrase is learned however much other text there is."""
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
