@@ -34,6 +34,8 @@ from tallyward.llm.staging import keep, let_go, shelf
 
 #: Text that shares its questions.
 BLOCK_BYTES = 12 << 20
+#: Text that is hashed at once, so that its figures stay in a core's cache; hashes do not depend on it.
+HASHED_BYTES = 256 << 10
 #: Weights that the suffix of a context may have.
 RESTS = (0.1, 0.3, 0.5, 0.7, 0.9)
 #: Gains are rounded to so many parts of a nat for each run, so that their sums do not depend on how texts are dealt.
@@ -232,7 +234,7 @@ class Block:
 
     def __init__(self, texts: pa.Table, least: int):
         self.texts, self.least, self.number = texts, least, texts.column("block")[0].as_py()
-        held = [words.hashed(p.column("text"), lower=True) for p in words.slices(iter(texts.to_batches()))]
+        held = [words.hashed(p.column("text"), lower=True) for p in words.slices(iter(texts.to_batches()), most=HASHED_BYTES)]
         self.size = np.concatenate([np.diff(bounds) for _, bounds in held]) + 1
         self.last = np.cumsum(self.size) - 1
         word = np.full(int(self.size.sum()), END_WORD)
