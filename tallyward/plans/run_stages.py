@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,6 +19,7 @@ from tallyward.operators import (
     alerts, classifier, cleaning, drift, evaluation, features, forecast, isolation, profile, quality, risk, rules,
     schema, scoring,
 )
+from tallyward.operators.forest import read_forest
 from tallyward.operators.settling import measure, stage
 from tallyward.plans import reports
 from tallyward.sources import ledger, readers, store
@@ -190,7 +190,7 @@ def train(place: Place, run_id: str, fired: list[DataFrame], attempt: int = 1) -
         model = classifier.fit_absenteeism(coded, inputs, "away", ROW, place.trees, place.depth)
         only = bool(coded.select("away").first()[0]) if model is None else None
         if model is not None:
-            model.write().overwrite().save(f"{folder}/forest")
+            model.node_table(spark).write.mode("overwrite").parquet(f"{folder}/forest")
         spark.createDataFrame([(inputs, only)], "features array<string>, only_label boolean").write.mode(
             "overwrite"
         ).parquet(f"{folder}/facts")
@@ -325,7 +325,7 @@ def assess(place: Place, run_id: str, fired: list[DataFrame]) -> None:
     if version:
         folder = place.path(f"models/{AWAY}/{version}")
         facts = place.spark.read.parquet(f"{folder}/facts").first()
-        model = None if facts["only_label"] is not None else RandomForestClassificationModel.load(f"{folder}/forest")
+        model = None if facts["only_label"] is not None else read_forest(place.spark.read.parquet(f"{folder}/forest"), facts["features"])
         names = rows.columns
         rows = classifier.positive_share(model, _coded(place, rows, version), facts["features"], facts["only_label"])
         rows = rows.select(*names, "absenteeism_score")
